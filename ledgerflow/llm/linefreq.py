@@ -35,15 +35,18 @@ def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
 
 
 def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs with text less its boilerplate lines, in the column r_text, and r_lines, r_dropped (counts of lines)."""
-    drop = small(saved(boilerplate(docs, max_ratio, min_pages)), 10_000).select(F.col("host").alias("r_host"), F.col("drop").alias("r_drop"))
-    joined = docs.join(drop, F.coalesce(docs["source"], F.lit("")) == F.col("r_host"), "left")
-    lines = joined.withColumn("r_all", F.split("text", "\n"))
-    keep = F.filter("r_all", lambda x: ~F.array_contains(F.col("r_drop"), F.xxhash64(_trimmed(x))) | (_trimmed(x) == ""))
-    return (
-        lines.withColumn("r_keep", F.when(F.col("r_drop").isNull(), F.col("r_all")).otherwise(keep))
-        .withColumn("r_text", F.when(F.col("r_drop").isNull(), F.col("text")).otherwise(F.array_join("r_keep", "\n")))
-        .withColumn("r_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("r_all")).cast("long"))
-        .withColumn("r_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.size("r_all") - F.size("r_keep")).cast("long"))
-        .drop("r_host", "r_drop", "r_all", "r_keep")
-    )
+    """(doc, text, n_lines, n_dropped): the row of docs as a struct, its text less boilerplate lines, and counts of lines."""
+    drop = small(saved(boilerplate(docs, max_ratio, min_pages)), 10_000)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    joined = rows.join(drop, F.coalesce("doc.source", F.lit("")) == F.col("host"), "left").select("doc", "drop", F.split("doc.text", "\n").alias("lines"))
+    kept = F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), F.xxhash64(_trimmed(x))) | (_trimmed(x) == ""))
+    joined = joined.select("doc", "lines", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
+    count = lambda a: F.when(F.col("doc.text").isNull(), 0).otherwise(a).cast("long")
+    text = F.when(F.size("lines") == F.size("kept"), F.col("doc.text")).otherwise(F.array_join("kept", "\n"))
+    return joined.select("doc", text.alias("text"), count(F.size("lines")).alias("n_lines"), count(F.size("lines") - F.size("kept")).alias("n_dropped"))
+
+
+def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the struct doc, with the column text in place of doc.text, and n_chars after it where there is one."""
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in columns))

@@ -190,9 +190,8 @@ def secret_spans(docs: DataFrame, q: float = Q) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", q: float = Q) -> DataFrame:
-    """docs with every span in text replaced by the mark; spans that touch or overlap become one."""
+    """(doc, text): the row of docs as a struct, and its text with every span replaced by the mark; spans that touch or overlap become one."""
     rejected = rejected_from(saved(scanned(docs.select("text")).select("s_random")), q)
-    spans = F.array_sort(F.concat("s_base", _standing(rejected)))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -200,5 +199,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", q: float = Q) -> DataFrame:
         out = F.when(fresh, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("s_all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return scanned(docs).withColumn("s_all", spans).withColumn("text", F.when(F.size("s_all") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    found = scanned(docs.select(F.struct(*docs.columns).alias("doc"), "text"))
+    spans = found.select("doc", "text", F.array_sort(F.concat("s_base", _standing(rejected))).alias("spans"))
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return spans.select("doc", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias("text"))
