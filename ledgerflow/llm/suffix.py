@@ -32,8 +32,8 @@ from ledgerflow.llm._spark import row_key, saved, small
 MIN_BYTES, GRAM = 200, 32
 #: Bytes of runs that a task orders at once; distinct runs of an anchor beyond which its starts are grouped by fingerprint.
 BLOCK, MANY = 4 << 20, 1_000
-#: Rows up to which tables of removed spans (a few numbers a text) are broadcast to the texts.
-SPAN_ROWS = 300_000
+#: Rows up to which tables of runs and spans (lists of numbers for a text) are broadcast to the texts.
+SPAN_ROWS = 10_000
 
 
 def _words(data: np.ndarray, order: str = "<u8") -> np.ndarray:
