@@ -31,6 +31,8 @@ from ledgerflow.llm._spark import row_key, saved, small, without
 THRESHOLD, WORDS = 80, 5
 SMALLEST, SHARED, LANES = 20, 3, 16
 BITS = 64 * LANES
+#: Further rounds of leaders (each costs a pass over the open tiles) while the pairs of open tiles exceed OPEN a member, and leaders a tile in each.
+ROUNDS, OPEN, LEADERS = 2, 8, 8
 
 
 def _sets(c: tx.Chunk) -> Iterator[np.ndarray]:
@@ -133,22 +135,38 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leader = tiles.groupBy("h", "band").agg(F.min(F.struct(F.col("node"), F.col("n"))).alias("l"), F.count("*").alias("members")).where("members > 1").select("h", "band", F.col("l.node").alias("a"), F.col("l.n").alias("m"))
     stars = tiles.join(leader, ["h", "band"]).where((F.col("node") != F.col("a")) & _fits("n", "m")).groupBy("a", F.col("node").alias("b")).agg(F.count_distinct("h").alias("times")).where(F.col("times") >= SHARED)
     first = verified(saved(stars))
-    found = components(first)
 
-    # the rest: tiles whose members are in different components, all pairs that the sizes and the bitmaps allow
-    named = tiles.join(small(found), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    split = named.groupBy("h", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h", "band")
-    left = saved(named.join(split, ["h", "band"]))
     bits = classes.select("node", *(F.col("lanes")[i].alias(f"w{i}") for i in range(LANES)))
-    left = saved(left.join(small(bits, 20_000), "node"))
-    a, b = left.alias("a"), left.alias("b")
+    a, b = F.col("a.n"), F.col("b.n")
     differ = sum((F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(1, LANES)), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
-    total = F.col("a.n") + F.col("b.n")
-    may = (F.col("a.h") == F.col("b.h")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.own") | F.col("b.own")) & _fits("a.n", "b.n")
     # |A & B| <= (total - differ) / 2, and Jaccard >= t asks for |A & B| >= total * t / (1 + t)
-    bound = (100 + THRESHOLD) * (total - differ) >= 2 * THRESHOLD * total
-    pairs = a.join(b, may & bound).groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count_distinct("a.h").alias("times")).where(F.col("times") >= SHARED)
-    return rows.select("k_id", "k_row", "doc_id", "node", "n"), components(first.unionByName(verified(saved(pairs))))
+    bound = (100 + THRESHOLD) * (a + b - differ) >= 2 * THRESHOLD * (a + b)
+    may = (F.col("a.h") == F.col("b.h")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.own") | F.col("b.own")) & _fits("a.n", "b.n") & bound
+
+    def open_tiles(found: DataFrame) -> DataFrame:
+        """The tiles whose members are in different components, with components and bitmaps."""
+        named = tiles.join(small(found), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        split = named.groupBy("h", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h", "band")
+        return saved(saved(named.join(split, ["h", "band"])).join(small(bits, 20_000), "node"))
+
+    def proposed(pairs: DataFrame) -> DataFrame:
+        one, other = F.least("a.node", "b.node"), F.greatest("a.node", "b.node")
+        return saved(pairs.groupBy(one.alias("a"), other.alias("b")).agg(F.count_distinct("a.h").alias("times")).where(F.col("times") >= SHARED))
+
+    # while many pairs are open, further leaders (other members by hash) draw in those that the first ones missed
+    links, left = first, open_tiles(components(first))
+    for turn in range(ROUNDS):
+        per = left.groupBy("h", "band", "c").agg(F.count("*").alias("m")).groupBy("h", "band").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("open"), F.sum("m").alias("m"))
+        total = per.agg(F.sum("open").alias("open"), F.sum("m").alias("m")).first()
+        if (total["open"] or 0) <= OPEN * (total["m"] or 0):
+            break
+        least = [F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + k)).alias("order"), *left.columns)).alias(f"l{k}") for k in range(LEADERS)]
+        chosen = left.groupBy("h", "band").agg(*least).select(F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS))))).alias("l")).select("l.*").drop("order").dropDuplicates(["h", "band", "node"])
+        links = saved(links.unionByName(verified(proposed(left.alias("a").join(chosen.alias("b"), may)))))
+        left = open_tiles(components(links))
+    # the rest: all pairs of open tiles that the sizes and the bitmaps allow
+    pairs = proposed(left.alias("a").join(left.alias("b"), may & (F.col("a.node") < F.col("b.node"))))
+    return rows.select("k_id", "k_row", "doc_id", "node", "n"), components(links.unionByName(verified(pairs)))
 
 
 def link_components(docs: DataFrame) -> DataFrame:
