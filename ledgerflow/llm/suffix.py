@@ -8,11 +8,11 @@ longest previous factor of a start reaches min_bytes exactly when a smaller posi
 in its stretch of that order (after it: the next smaller one, found the same way from the other copy).
 Anchors with very many distinct runs are settled by grouping fingerprints of their starts, so no task holds such a group.
 
-keep="first" removes later copies and keeps the first (by id, then row, then position); keep="none" removes every copy.
+Every copy is removed, the first too.
 
 Defined cases: a null text is empty; texts below min_bytes are never changed; matches never cross texts; repeated
 rows are copies of each other; invalid ids do not matter, rows are told apart by id and content; other columns are
-not read. With keep="first", fully equal rows (same id, text and source) have no order and all count as first.
+not read.
 """
 
 from __future__ import annotations
