@@ -18,6 +18,8 @@ fewer than five words is one shingle; repeated rows are one class; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -160,8 +162,9 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         total = per.agg(F.sum("open").alias("open"), F.sum("m").alias("m")).first()
         if (total["open"] or 0) <= OPEN * (total["m"] or 0):
             break
-        least = [F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + k)).alias("order"), *left.columns)).alias(f"l{k}") for k in range(LEADERS)]
-        chosen = left.groupBy("h", "band").agg(*least).select(F.explode(F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS))))).alias("l")).select("l.*").drop("order").dropDuplicates(["h", "band", "node"])
+        order = [F.xxhash64("node", F.lit(turn * LEADERS + k)) for k in range(LEADERS)]
+        least = left.groupBy("h", "band").agg(*(F.min(x).alias(f"l{k}") for k, x in enumerate(order)))
+        chosen = left.join(least, ["h", "band"]).where(reduce(or_, (x == F.col(f"l{k}") for k, x in enumerate(order)))).select(*left.columns)
         links = saved(links.unionByName(verified(proposed(left.alias("a").join(chosen.alias("b"), may)))))
         left = open_tiles(components(links))
     # the rest: all pairs of open tiles that the sizes and the bitmaps allow
