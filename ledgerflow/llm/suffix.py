@@ -8,11 +8,12 @@ longest previous factor of a start reaches min_bytes exactly when a smaller posi
 in its stretch of that order (after it: the next smaller one, found the same way from the other copy).
 Anchors with very many distinct runs are settled by grouping fingerprints of their starts, so no task holds such a group.
 
-Every copy is removed, the first too.
+Every copy is removed, the first too; with keep_first the first one stays. For that the distinct runs of an anchor are laid
+end to end in the order of their first copies, so that a previous factor is an earlier copy.
 
 Defined cases: a null text is empty; texts below min_bytes are never changed; matches never cross texts; repeated
-rows are copies of each other; invalid ids do not matter, rows are told apart by id and content; other columns are
-not read.
+rows are copies of each other (with keep_first, rows equal in id, text and source stay alike: all are the first);
+invalid ids do not matter, rows are told apart by id and content; other columns are not read.
 """
 
 from __future__ import annotations
@@ -85,8 +86,9 @@ def _runs(min_bytes: int) -> Callable:
                 row, text = c.doc_of(p), c.data.tobytes()
                 seg = np.fromiter((xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(p.tolist(), (p + n + min_bytes - 1).tolist(), strict=True)), np.uint64, len(p))
                 seg = tx.mix(seg + (a - p).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                doc = np.asarray(batch.column("doc")).astype(np.int64)[c.first + row]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, tx.signed(h[a]), tx.signed(seg), p - c.off[row], n.astype(np.int32))], names=["doc", "key", "seg", "p", "n"])
+                names = [x for x in batch.schema.names if x != "text"]
+                of = [batch.column(x).take(pa.array(c.first + row)) for x in names]
+                yield pa.RecordBatch.from_arrays(of + [pa.array(x) for x in (tx.signed(h[a]), tx.signed(seg), p - c.off[row], n.astype(np.int32))], names=[*names, "key", "seg", "p", "n"])
 
     return runs
 
@@ -109,8 +111,8 @@ def suffix_ranks(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray
     return _rank(rank[starts] << np.uint64(32) | rank[starts + depth - length])
 
 
-def _settle(runs: list[tuple[int, int, int, bytes]], min_bytes: int) -> list[tuple[int, int, int, int]]:
-    """(key, seg, first, last) of the stretches of starts that also occur elsewhere in these runs (key, seg, n, bytes)."""
+def _settle(runs: list[tuple[int, int, int, bytes]], min_bytes: int, keep_first: bool) -> list[tuple[int, int, int, int]]:
+    """(key, seg, first, last) of the stretches of starts that also occur elsewhere (or: earlier) in these runs (key, seg, n, bytes)."""
     runs = list({(r[0], r[1]): r for r in runs}.values())
     n = np.array([r[2] for r in runs])
     base = np.concatenate(([0], np.cumsum([len(r[3]) for r in runs])))[:-1]
@@ -124,7 +126,7 @@ def _settle(runs: list[tuple[int, int, int, bytes]], min_bytes: int) -> list[tup
     size = np.bincount(rank.astype(np.int64))
     previous = first[rank.astype(np.int64)] < starts  # a longest previous factor of min_bytes
     following = ~previous & (size[rank.astype(np.int64)] > 1)  # only later copies
-    at = np.flatnonzero(previous | following)
+    at = np.flatnonzero(previous if keep_first else previous | following)
     if not len(at):
         return []
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (run[at[1:]] != run[at[:-1]]))))
@@ -132,14 +134,14 @@ def _settle(runs: list[tuple[int, int, int, bytes]], min_bytes: int) -> list[tup
     return [(*runs[r][:2], s, e) for r, s, e in zip(run[at[new]].tolist(), inner[at[new]].tolist(), inner[at[last]].tolist(), strict=True)]
 
 
-def _matches(min_bytes: int) -> Callable:
+def _matches(min_bytes: int, keep_first: bool) -> Callable:
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by key; a block ends between keys."""
+        """Rows come by key, then in the order of the texts; a block ends between keys."""
         held: list[tuple[int, int, int, bytes]] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            if held and (found := _settle(held, min_bytes)):
+            if held and (found := _settle(held, min_bytes, keep_first)):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "seg", "s", "e"])
 
         for batch in batches:
@@ -159,26 +161,38 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(k_id, k_row).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(texts with the key doc, (doc, spans): stretches of starts [a, b] of strings of min_bytes that occur more than once)."""
+def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(texts with the key doc, (doc, spans): stretches of starts [a, b] of strings of min_bytes that occur more than once).
+
+    With keep_first only those that occur earlier, in the order of doc_id (null first), content hash and place.
+    """
     texts = _texts(docs)
-    runs = saved(texts.select("doc", "text").mapInArrow(_runs(min_bytes), "doc bigint, key bigint, seg bigint, p bigint, n int"))
+    ids = ["doc_id", "doc"] if keep_first else ["doc"]
+    runs = saved(texts.select(*ids, "text").mapInArrow(_runs(min_bytes), ", ".join(f"{x} bigint" for x in ids) + ", key bigint, seg bigint, p bigint, n int"))
     twice = runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     shared = saved(runs.join(twice, "key"))
-    segs = saved(shared.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "p", "n")).alias("rep")))
+    segs = saved(shared.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct(*ids, "p", "n")).alias("rep")))
     keys = segs.groupBy("key").agg(F.count("*").alias("segs")).where("segs > 1")
     open_ = saved(segs.join(keys, "key").select("key", "seg", "rep.doc", "rep.p", "rep.n", "segs"))
     wanted = small(saved(open_.groupBy("doc").agg(F.collect_list(F.struct("key", "seg", "p", "n", "segs")).alias("runs"))), SPAN_ROWS)
-    cut = texts.join(wanted, "doc").select(F.col("text").cast("binary").alias("raw"), F.explode("runs").alias("r"))
-    cut = saved(cut.select("r.key", "r.seg", "r.n", "r.segs", F.expr(f"substring(raw, cast(r.p + 1 as int), r.n + {min_bytes - 1})").alias("run")))
-    found = cut.where(F.col("segs") <= MANY).select("key", "seg", "n", "run").repartition("key").sortWithinPartitions("key").mapInArrow(_matches(min_bytes), "key bigint, seg bigint, s int, e int")
-    many = cut.where(F.col("segs") > MANY).dropDuplicates(["key", "seg"]).select("key", "seg", F.posexplode(F.expr(f"transform(sequence(1, n), i -> xxhash64(key, substring(run, i, {min_bytes})))")).alias("s", "w"))
-    again = many.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-    many = many.join(again, "w").select("key", "seg", "s", F.col("s").alias("e"))
-    equal = segs.where("copies > 1").select("key", "seg", F.lit(0).alias("s"), (F.col("rep.n") - 1).alias("e"))
-    marks = found.join(equal.select("key", "seg"), ["key", "seg"], "left_anti").unionByName(many).unionByName(equal)
-    spans = shared.join(marks, ["key", "seg"]).groupBy("doc").agg(F.collect_set(F.struct((F.col("p") + F.col("s")).alias("a"), (F.col("p") + F.col("e")).alias("b"))).alias("spans"))
-    return texts, spans
+    cut = texts.join(wanted, "doc").select(*ids, F.col("text").cast("binary").alias("raw"), F.explode("runs").alias("r"))
+    cut = saved(cut.select(*ids, "r.key", "r.seg", "r.p", "r.n", "r.segs", F.expr(f"substring(raw, cast(r.p + 1 as int), r.n + {min_bytes - 1})").alias("run")))
+    few = cut.where(F.col("segs") <= MANY).repartition("key").sortWithinPartitions("key", *ids, "p").select("key", "seg", "n", "run")
+    found = few.mapInArrow(_matches(min_bytes, keep_first), "key bigint, seg bigint, s int, e int")
+    many = cut.where(F.col("segs") > MANY).dropDuplicates(["key", "seg"]).select(*ids, "p", "key", "seg", F.posexplode(F.expr(f"transform(sequence(1, n), i -> xxhash64(key, substring(run, i, {min_bytes})))")).alias("s", "w"))
+    place = F.struct(*ids, (F.col("p") + F.col("s")).alias("at"))
+    again = many.groupBy("w").agg(F.count("*").alias("c"), F.min(place).alias("earliest")).where("c > 1").select("w", "earliest")
+    many = many.join(again, "w").where(~place.eqNullSafe(F.col("earliest")) if keep_first else F.lit(True)).select("key", "seg", "s", F.col("s").alias("e"))
+    span = F.struct((F.col("p") + F.col("s")).alias("a"), (F.col("p") + F.col("e")).alias("b"))
+    if keep_first:  # the first copy of a run loses what its marks say, every other copy all of it
+        firsts = segs.select("key", "seg", "rep.doc", "rep.p").join(found.unionByName(many), ["key", "seg"])
+        copies = shared.join(segs.where("copies > 1").select("key", "seg", "rep"), ["key", "seg"]).where("doc <> rep.doc or p <> rep.p")
+        marked = firsts.select("doc", span.alias("x")).unionByName(copies.select("doc", F.struct(F.col("p").alias("a"), (F.col("p") + F.col("n") - 1).alias("b")).alias("x")))
+    else:
+        equal = segs.where("copies > 1").select("key", "seg", F.lit(0).alias("s"), (F.col("rep.n") - 1).alias("e"))
+        marks = found.join(equal.select("key", "seg"), ["key", "seg"], "left_anti").unionByName(many).unionByName(equal)
+        marked = shared.join(marks, ["key", "seg"]).select("doc", span.alias("x"))
+    return texts, marked.groupBy("doc").agg(F.collect_set("x").alias("spans"))
 
 
 def _gone(size: int, spans: list[dict] | None, min_bytes: int) -> np.ndarray:
@@ -206,8 +220,30 @@ def _digest(min_bytes: int) -> Callable:
     return digest
 
 
-def removed_digests(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the bytes that stay, for each row of docs; every copy goes."""
-    texts, spans = repeated_spans(docs, min_bytes)
-    joined = texts.join(small(saved(spans), SPAN_ROWS), "doc", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_digest(min_bytes), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+def _rest(min_bytes: int) -> Callable:
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            spans = batch.column("spans")
+            for c in tx.chunks(batch.column("text")):
+                for k in range(c.n):
+                    data = c.data[c.off[k] : c.off[k + 1]]
+                    kept.append(data[~_gone(len(data), spans[c.first + k].as_py(), min_bytes)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary())], names=["doc_id", "kept"])
+
+    return rest
+
+
+def _with_spans(docs: DataFrame, min_bytes: int, keep_first: bool) -> DataFrame:
+    texts, spans = repeated_spans(docs, min_bytes, keep_first)
+    return texts.join(small(saved(spans), SPAN_ROWS), "doc", "left").select("doc_id", "text", "spans")
+
+
+def kept_bytes(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool = True) -> DataFrame:
+    """doc_id and kept, the bytes that stay of each row of docs (binary: a removed run may begin or end inside a character)."""
+    return _with_spans(docs, min_bytes, keep_first).mapInArrow(_rest(min_bytes), "doc_id bigint, kept binary")
+
+
+def removed_digests(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the bytes that stay, for each row of docs."""
+    return _with_spans(docs, min_bytes, keep_first).mapInArrow(_digest(min_bytes), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

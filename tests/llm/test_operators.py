@@ -174,6 +174,31 @@ def test_suffix(spark, docs, texts, many, monkeypatch):
         assert suffix.removed_digests(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("many", [1000, 2])
+def test_suffix_keeps_the_first_copy(spark, many, monkeypatch):
+    monkeypatch.setattr(suffix, "MANY", many)
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(40)]
+    passages = [" ".join(rng.choice(words) for _ in range(70)) for _ in range(5)]
+    rows = {k: "".join(rng.choice(passages)[rng.randrange(30) :] + f" own {k} {j} " for j in range(3)) for k in range(40)} | {100: "ab" * 300, 101: "ab" * 150, 102: None, 103: "", 104: "é" * 250, 105: "x" + "é" * 120}
+    seen, want = set(), {}
+    for i in sorted(rows):
+        b = (rows[i] or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 199):
+            if b[p : p + 200] in seen:
+                gone[p : p + 200] = True
+            seen.add(b[p : p + 200])
+        want[i] = np.frombuffer(b, np.uint8)[~gone].tobytes()
+    d = spark.createDataFrame([(i, t, "s") for i, t in rows.items()], "doc_id long, text string, source string")
+    assert {r["doc_id"]: bytes(r["kept"]) for r in suffix.kept_bytes(d).collect()} == want
+    digests = {r["doc_id"]: r["kept_sha256"] for r in suffix.removed_digests(d, keep_first=True).collect()}
+    assert digests == {i: hashlib.sha256(b).hexdigest() for i, b in want.items()}
+    twice = spark.createDataFrame([(1, "ab cd " * 60, "s")] * 2, d.schema)  # equal rows stay alike
+    assert len({bytes(r["kept"]) for r in suffix.kept_bytes(twice).collect()}) == 1
+    assert suffix.kept_bytes(d.limit(0)).count() == 0
+
+
 def test_secrets(docs, texts):
     want = Counter()
     for i, t in texts:
