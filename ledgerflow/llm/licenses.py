@@ -29,9 +29,10 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 WORD = tx.byte_table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-#: Label, words that a text must have, names as they are written (words joined by spaces).
+#: Label, words that a text must have (each way of writing the name holds them all), names as they are written (words joined by spaces).
 NAMES = (
-    ("mit", "mit", r"mit|expat"),
+    ("mit", "mit", r"mit"),
+    ("mit", "expat", r"expat"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)? (?:version |v)?1 1"),
     ("apache-2", "apache", r"apache(?: software)?(?: license)? (?:version |v)?2(?: 0)?"),
     ("gpl-2", "gpl", r"gpl v?2(?: 0)?|gpl version 2(?: 0)?"),
@@ -44,7 +45,8 @@ NAMES = (
     ("lgpl-3", "lesser", r"gnu lesser general public license (?:version |v)?3(?: 0)?"),
     ("agpl-3", "agpl", r"agpl v?3(?: 0)?|agpl version 3(?: 0)?"),
     ("agpl-3", "affero", r"gnu affero general public license (?:version |v)?3(?: 0)?"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
+    ("bsd-2-clause", "freebsd", r"freebsd"),
+    ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)"),
     ("isc", "isc", r"isc"),
@@ -61,7 +63,8 @@ NAMES = (
     ("unlicense", "unlicense", r"unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl"),
     ("artistic-2", "artistic", r"artistic license (?:version |v)?2(?: 0)?"),
-    ("python-2", "python", r"python software foundation license(?: version 2)?|psf license"),
+    ("python-2", "python", r"python software foundation license(?: version 2)?"),
+    ("python-2", "psf", r"psf license"),
     ("postgresql", "postgresql", r"postgresql"),
     ("odbl-1", "database", r"open database license(?: (?:version |v)?1(?: 0)?)?"),
     ("ofl-1.1", "sil", r"sil open font license(?: (?:version |v)?1 1)?"),

@@ -233,6 +233,40 @@ def test_licenses(docs, texts):
     assert [f.label for f in licenses.detections("licensed under the gnu general public license version 3 or later".split())] == ["gpl-3"]
 
 
+def spelled(parsed):
+    """All texts that a parsed pattern of literals, classes, alternatives and optional groups matches."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(c) for kind, one in arg for c in ([one] if str(kind) == "LITERAL" else range(one[0], one[1] + 1))]
+        elif name == "BRANCH":
+            more = [x for part in arg[1] for x in spelled(part)]
+        elif name == "SUBPATTERN":
+            more = spelled(arg[-1])
+        elif name == "MAX_REPEAT":
+            assert arg[:2] == (0, 1)
+            more = ["", *spelled(arg[2])]
+        else:
+            assert name == "ASSERT_NOT"
+            continue
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_keywords_hold_in_every_alternative(spark):
+    for rule in licenses.rules():
+        for line in spelled(re._parser.parse(rule.find.pattern)):
+            have = set(line.split())
+            assert rule.find.fullmatch(line) and rule.keywords <= have and (not rule.notice or rule.notice & have), (rule.label, line)
+            assert any(g.decode() in line for g in licenses.GATES), line
+    rows = [(1, "Licensed under the Expat license", "mit", 0.95), (2, "under the FreeBSD license", "bsd-2-clause", 0.9), (3, "under the PSF license", "python-2", 0.9)]
+    got = licenses.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in got} == {i: (label, score) for i, _, label, score in rows}
+
+
 def test_main_text(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r, o in zip(pages.collect(), extract.main_texts(pages).collect(), strict=True):
