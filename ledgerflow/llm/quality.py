@@ -2,7 +2,8 @@
 
 measure() is one pass over the texts. frequent_lines() counts, for each host and normalised line, the
 distinct documents (equal texts count once, so copies do not condemn each other) and keeps the lines
-above a limit. verdicts() takes those lines out and rejects documents of which too little is left.
+above a limit. verdicts() takes those lines out and rejects documents of which too little is left;
+without_frequent_lines() gives the texts less those lines.
 
 Defined cases: a null text is an empty one (no words, base_failed); a null source is a host of its own;
 lines without a word are never counted; repeated rows are judged each for itself; an empty table gives
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm import _text as tx
 from ledgerflow.llm._spark import row_key, saved, small, without
+from ledgerflow.llm.linefreq import with_text
 
 #: Production parameters. A line is frequent when it stands in more than MAX_DOCS distinct documents of a host and in more than MAX_SHARE of them.
 MAX_DOCS, MAX_SHARE = 100, 0.05
@@ -125,3 +127,42 @@ def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_S
 def quality_filter(docs: DataFrame, **limits) -> DataFrame:
     """The rows of docs that verdicts() keeps, with all their columns."""
     return without(docs, saved(verdicts(docs, **limits).where("not kept").select("k_id", "k_row").distinct()))
+
+
+def _line_keys(c: tx.Chunk, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, hash of the normalised words, as in _chunk) of the lines with a word; start and end are the words' places."""
+    row, ls, le = c.lines()
+    first, last = np.searchsorted(start, ls), np.searchsorted(start, le)
+    full = last > first
+    row, ls, le, first, last = (x[full] for x in (row, ls, le, first, last))
+    return row, ls, le, tx.sequence_hash(tx.Prefix(NORMAL[c.data]).hash(start, end), first, last)
+
+
+def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column, frequent, out = batch.column("text"), batch.column("frequent"), []
+        for c in tx.chunks(column):
+            _, start, end = c.words(~tx.SPACE[c.data])
+            row, ls, le, key = _line_keys(c, start, end)
+            span = np.searchsorted(row, np.arange(c.n + 1))
+            for k in range(c.n):
+                text, drop, mine = column[c.first + k].as_py(), frequent[c.first + k], slice(span[k], span[k + 1])
+                gone = np.isin(tx.signed(key[mine]), drop.values.to_numpy()) if drop.is_valid else np.zeros(0, bool)
+                if gone.any():
+                    starts = set((ls[mine][gone] - c.off[k]).tolist())
+                    at, left = 0, []
+                    for line in text.encode().split(b"\n"):
+                        if at not in starts:
+                            left.append(line)
+                        at += len(line) + 1
+                    text = b"\n".join(left).decode()
+                out.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.string())], names=["doc", "text"])
+
+
+def without_frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """Every row of docs, its text less the frequent lines of its host (a null text stays null), with all its columns; n_chars follows the text."""
+    frequent = small(saved(frequent_lines(saved(measure(docs)), max_docs, max_share)), 10_000)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text", F.coalesce("source", F.lit("")).alias("own_host"))
+    rows = rows.join(frequent, F.col("own_host") == F.col("host"), "left").select("doc", "text", "frequent")
+    return with_text(rows.mapInArrow(_stripped, f"doc {rows.schema['doc'].dataType.simpleString()}, text string"), docs.columns)

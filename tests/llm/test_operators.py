@@ -7,12 +7,13 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerflow.llm import _graph, bpe, extract, jaccard, licenses, linefreq, packing, quality, secretscan, suffix, vectors
+from ledgerflow.llm import _graph, bpe, extract, jaccard, licenses, linefreq, packing, quality, queries, secretscan, suffix, vectors
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,6 +59,27 @@ def test_quality_rejects_depleted(spark):
     assert gone == 30
 
 
+def test_quality_depleted_under_the_production_parameters(spark, tmp_path):
+    """Hosts with lines on more than MAX_DOCS texts: documents are depleted, the SQL form agrees, and the texts less those lines come back."""
+    own = lambda k, n: " ".join(f"own{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}{chr(97 + j)}" for j in range(n))
+    menu = "Home About Contact Imprint Privacy Terms Careers Press Help Login 2024"
+    rows = [(k, f"{menu.upper() if k % 2 else menu}\n{own(k, 1 if k % 3 else 20)}", "big") for k in range(130)]
+    rows += [(1000 + k, f"{menu}\n{own(k, 1)}", "few") for k in range(100)]  # not more than MAX_DOCS
+    rows += [(2000 + k, (f"{menu}\n" if k < 110 else "") + own(k, 12), "rare") for k in range(2300)]  # not more than MAX_SHARE
+    rows += [(5000, f"{menu}\n{own(1, 1)}", None), (5001, None, "big"), (5002, f"{menu}\n\n{own(1, 1)}\n {menu}", "big"), (5002, f"{menu}\n\n{own(1, 1)}\n {menu}", "big")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.oracle_sql()["op1_quality_rules"])
+    got = queries.op1_quality_rules(spark, str(tmp_path))
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
+    assert {r["doc_id"] for r in got.where("not kept and not base_failed").collect()} == {k for k in range(130) if k % 3}
+    texts = {r["doc_id"]: (r["text"], r["source"]) for r in quality.without_frequent_lines(d).collect()}
+    assert texts == {i: (None if t is None else "\n".join(x for x in t.split("\n") if h != "big" or x.strip().lower() != menu.lower()), h) for i, t, h in rows}
+    assert quality.without_frequent_lines(d).columns == d.columns and quality.without_frequent_lines(d.limit(0)).count() == 0
+
+
 def test_line_frequency(spark):
     d = spark.createDataFrame([(k, f"menu\nown {k}\n\n menu ", "h") for k in range(10)] + [(99, "menu", "g"), (98, None, None)], "doc_id long, text string, source string")
     got = {r["doc.doc_id"] if "doc.doc_id" in r else r[0]: tuple(r)[1:] for r in linefreq.drop_boilerplate(d).selectExpr("doc.doc_id", "text", "n_lines", "n_dropped").collect()}
