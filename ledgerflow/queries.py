@@ -520,6 +520,20 @@ def n4(spark, sf_dir):
     return network.cycles(transfers(spark, sf_dir), 3, 14_400)
 
 
+_CYCLE_T = f"with {T}, z as (select distinct from_account as a, to_account as b, cast(floor(epoch(timestamp)) as bigint) as s, amount_paid as m from t where from_account <> to_account)"
+
+
+@query("N4_cycles_2", f"{_CYCLE_T} select x.a || '>' || y.a as ring, x.s as first_s, y.s as last_s, cast(cast(x.m as decimal(18,4)) + cast(y.m as decimal(18,4)) as double) as total from z x join z y on y.a = x.b and y.s > x.s and y.s <= x.s + 14400 and y.b = x.a")
+def n4_2(spark, sf_dir):
+    return network.cycles(transfers(spark, sf_dir), 2, 14_400)
+
+
+@query("N4_cycles_4", f"{_CYCLE_T} select x.a || '>' || y.a || '>' || w.a || '>' || v.a as ring, x.s as first_s, v.s as last_s, cast(cast(x.m as decimal(18,4)) + cast(y.m as decimal(18,4)) + cast(w.m as decimal(18,4)) + cast(v.m as decimal(18,4)) as double) as total from z x join z y on y.a = x.b and y.s > x.s and y.s <= x.s + 14400 join z w on w.a = y.b and w.s > y.s and w.s <= y.s + 14400 join z v on v.a = w.b and v.s > w.s and v.s <= w.s + 14400 and v.b = x.a where y.b <> x.a and w.b <> x.a and w.b <> y.a")
+def n4_4(spark, sf_dir):
+    """Rings of four accounts, as the reference deals them."""
+    return network.cycles(transfers(spark, sf_dir), 4, 14_400)
+
+
 @query("N5_scatter_gather", f"with {T} select a.date, a.from_account as source, b.to_account as sink, count(distinct a.to_account) as middles from t a join t b on a.date = b.date and a.to_account = b.from_account and a.timestamp < b.timestamp where a.from_account <> a.to_account and b.from_account <> b.to_account and a.from_account <> b.to_account group by all having count(distinct a.to_account) >= 2")
 def n5(spark, sf_dir):
     return network.scatter_gather(transfers(spark, sf_dir))

@@ -95,6 +95,27 @@ def test_networks(spark, day):
     assert [(r["hub"], r["most"]) for r in network.fans(ring, True, 600).collect()] == [("H", 3)]
 
 
+def test_cycles_of_each_registered_length(spark, tmp_path):
+    """Rings of 2, 3 and 4 accounts among few accounts: brute force, the registered queries and their SQL forms agree."""
+    rng = np.random.default_rng(6)
+    start = dt.datetime(2024, 1, 1)
+    events = [(k, start + dt.timedelta(minutes=int(rng.integers(0, 3000))), int(rng.integers(1, 7)), "view", float(rng.integers(100, 9000)) / 100, f'{{"k": {rng.integers(1, 7)}}}') for k in range(90)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql("set timezone = 'UTC'")
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    moves = {(r["from_account"], r["to_account"], int((r["timestamp"] - start).total_seconds()), round(100 * r["amount_paid"])) for r in core.transfers(spark, str(tmp_path)).collect()}
+    paths = [[m] for m in moves if m[0] != m[1]]
+    shift = int(start.replace(tzinfo=dt.timezone.utc).timestamp())
+    for length, key in ((2, "N4_cycles_2"), (3, "N4_cycles"), (4, "N4_cycles_4")):
+        paths = [[*p, m] for p in paths for m in moves if m[0] != m[1] and m[0] == p[-1][1] and p[-1][2] < m[2] <= p[-1][2] + 14_400]
+        rings = [p for p in paths if p[-1][1] == p[0][0] and len({m[0] for m in p}) == length]
+        want = sorted((">".join(m[0] for m in p), p[0][2] + shift, p[-1][2] + shift, sum(m[3] for m in p) / 100) for p in rings)
+        assert want
+        assert sorted(map(tuple, core.QUERIES[key](spark, str(tmp_path)).select("ring", "first_s", "last_s", "total").collect())) == want
+        assert sorted(con.sql(core.SQL[key]).fetchall()) == want
+
+
 def test_forest_finds_outliers():
     rng = np.random.default_rng(0)
     points = np.vstack([rng.normal(0, 1, (300, 3)), [[9, 9, 9]]])
