@@ -321,6 +321,22 @@ def test_vectors(spark):
     assert vectors.linked_vectors(d.limit(0)).count() == 0
 
 
+def test_vector_audit_and_lengths(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 16))
+    x[:100] = x[0] + 0.02 * rng.normal(size=(100, 16))  # one large group, and 20 pairs
+    x[101:141:2] = x[100:140:2] + 0.02 * rng.normal(size=(20, 16))
+    found = spark.createDataFrame([(k, 1, k, v.tolist()) for k, v in enumerate(x)], "key long, n long, least long, v array<double>")
+    large = spark.createDataFrame([(k, 99) for k in range(100)], "key long, found long")  # no pair was found
+    got = vectors.audit(found, large, 0.9)
+    assert got.recall == pytest.approx(100 / 140) and got[1:] == (140, 600)
+    alone = found.where("key >= 200")
+    assert vectors.audit(alone, large, 0.9) == (None, 0, 400)
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0]), (5, [2.0, 0.01]), (6, [0.0, 1.0])]
+    links = vectors.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in links} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, 50), (None, 3), (7, 7)] + [(200, k) for k in range(201, 260)]
     got = {r["node"]: r["component"] for r in _graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
