@@ -1,7 +1,7 @@
 """Main text of HTML pages by tree scoring.
 
 A page becomes a tree of its block elements, without scripts, menus, forms and other furniture (by element,
-and by the words of class, id and role). Each paragraph passes points for its length and commas to its container, half
+and by the words of class, id and role where what they mark is small or mostly links; larger ones only count less, and wrappers of an article, a main or most of the text stay). Each paragraph passes points for its length and commas to its container, half
 to the next and a third to the one above; a container's points are discounted by its share of link text. The best container
 is kept, or the article or main element around it, with those siblings that score like it or are long prose.
 
@@ -38,6 +38,8 @@ SIGNS = re.compile(
 )
 #: Signs that headings of the article itself may carry.
 HEADING = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.IGNORECASE)
+#: Characters outside links below which what names mark as furniture goes; share of its points that a larger one passes on.
+SMALL, FAINT = 200, 0.25
 #: An open paragraph ends where one of these starts; others end with their like.
 ENDS_P = BLOCK - {"html", "body", "option", "button", "select"}
 LIKE = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -45,36 +47,79 @@ BARRIER = {"ul", "ol", "dl", "table", "menu", "div", "section", "article", "body
 
 
 class Node:
-    __slots__ = ("drop", "kids", "link", "names", "parent", "points", "size", "tag")
+    __slots__ = ("drop", "faint", "kids", "link", "names", "parent", "points", "size", "tag")
 
     def __init__(self, tag: str, names: str, parent: Node | None, drop: bool):
         self.tag, self.names, self.parent, self.drop = tag, names, parent, drop
-        self.points, self.size, self.link = 0.0, 0, 0
+        self.faint, self.points, self.size, self.link = False, 0.0, 0, 0
         self.kids: list[Node] = []
         if parent is not None:
             parent.kids.append(self)
 
 
-def _furniture(tag: str, names: str, attrs: str, parent: Node) -> bool:
+def _furniture(tag: str, names: str, attrs: str, parent: Node) -> tuple[bool, bool]:
+    """Whether an element goes with all it holds, and whether its names mark furniture, which its contents decide."""
     if parent.drop or tag in FURNITURE:
-        return True
-    inside = False
-    up: Node | None = parent
-    while up is not None and not inside:
-        inside, up = up.tag in ("article", "main"), up.parent
+        return True, False
+    inside = _inside(parent) is not None
     if tag == "header":
-        return not inside
+        return not inside, False
     if tag in ("html", "body", "article", "main"):
-        return False
-    if names and SIGNS.search(HEADING.sub(" ", names) if inside else names):
-        return True
-    return bool(attrs) and HIDDEN.search(attrs) is not None
+        return False, False
+    if attrs and HIDDEN.search(attrs):
+        return True, False
+    return False, bool(names) and SIGNS.search(HEADING.sub(" ", names) if inside else names) is not None
+
+
+def _inside(n: Node | None) -> Node | None:
+    """The nearest article or main among a node and those around it."""
+    while n is not None and n.tag not in ("article", "main"):
+        n = n.parent
+    return n
+
+
+def _holds(outer: Node, n: Node | None) -> bool:
+    while n is not None and n is not outer:
+        n = n.parent
+    return n is outer
+
+
+def _judge(marked: list[Node], found: list[tuple[Node, str, int]]) -> None:
+    """Of the nodes that names mark: small or link-dense ones go, others are faint, and wrappers of the page's text stay as they are."""
+    total, own_of, size_of, bodies, holders = 0, {}, {}, {}, set()
+    for n, words, linked in found:
+        prose = len(words) - linked
+        total += prose
+        up: Node | None = n
+        while up is not None:
+            own_of[id(up)] = own_of.get(id(up), 0) + prose
+            size_of[id(up)] = size_of.get(id(up), 0) + len(words)
+            if up.tag in ("article", "main"):
+                bodies[id(up)] = up
+            up = up.parent
+    for a in bodies.values():
+        up = a.parent
+        while up is not None and id(up) not in holders:
+            holders.add(id(up))
+            up = up.parent
+    for n in marked:
+        own, size, holder = own_of.get(id(n), 0), size_of.get(id(n), 0), id(n) in holders
+        if holder or 2 * own > total:
+            # an element that is named as furniture itself, beside a text in an article or main, is no wrapper
+            itself = any(SIGNS.fullmatch(x) for x in n.names.split())
+            rival = any(own_of[k] - (own if _holds(a, n) else 0) >= SMALL for k, a in bodies.items() if not _holds(n, a))
+            if not rival or not (itself or (not holder and _inside(n) is None)):
+                continue
+        if not holder and (own < SMALL or 2 * own < size):
+            n.drop = True
+        else:
+            n.faint = True
 
 
 def blocks(page: str) -> list[tuple[Node, str]]:
     """(container, text) of each block outside furniture, in page order; points are passed on the way."""
     root = Node("", "", None, False)
-    at, found = root, []
+    at, found, marked = root, [], []
     text: list[str] = []
     linked = depth = 0
 
@@ -83,19 +128,7 @@ def blocks(page: str) -> list[tuple[Node, str]]:
         if text:
             words = " ".join(html.unescape("".join(text)).split())
             if words and not at.drop:
-                found.append((at, words))
-                up = at.parent if at.tag in PARAGRAPH and at.parent is not None else at
-                points = 1.0 + words.count(",") + words.count("，") + words.count("、") + min(len(words) // 100, 3)
-                for share in (1.0, 0.5, 1 / 3):
-                    up.points += points * share
-                    if up.parent is None:
-                        break
-                    up = up.parent
-                up = at
-                while up is not None:
-                    up.size += len(words)
-                    up.link += min(linked, len(words))
-                    up = up.parent
+                found.append((at, words, min(linked, len(words))))
             text.clear()
         linked = 0
 
@@ -148,11 +181,36 @@ def blocks(page: str) -> list[tuple[Node, str]]:
                 if up.tag in LIKE[tag]:
                     at = up.parent
             names = " ".join(x or y or z for x, y, z in NAMES.findall(attrs)) if attrs else ""
-            at = Node(tag, names, at, _furniture(tag, names, attrs, at))
+            drop, sign = _furniture(tag, names, attrs, at)
+            at = Node(tag, names, at, drop)
+            if sign:
+                marked.append(at)
             if attrs.endswith("/") and tag in ("svg", "canvas", "object"):
                 at = at.parent
     close()
-    return found
+    if marked:
+        _judge(marked, found)
+    left = []
+    for n, words, links in found:
+        up, weight, gone = n, 1.0, False
+        while up is not None:
+            weight, gone, up = FAINT if up.faint else weight, gone or up.drop, up.parent
+        if gone:
+            continue
+        left.append((n, words))
+        up = n.parent if n.tag in PARAGRAPH and n.parent is not None else n
+        points = weight * (1.0 + words.count(",") + words.count("，") + words.count("、") + min(len(words) // 100, 3))
+        for share in (1.0, 0.5, 1 / 3):
+            up.points += points * share
+            if up.parent is None:
+                break
+            up = up.parent
+        up = n
+        while up is not None:
+            up.size += len(words)
+            up.link += links
+            up = up.parent
+    return left
 
 
 def _score(n: Node) -> float:
@@ -186,13 +244,13 @@ def main_text(page: str | None) -> str:
             density = n.link / n.size if n.size else 1.0
             like = _score(n) + (0.2 * _score(best) if n.names and n.names == best.names else 0) >= least
             prose = n.tag == "p" and (n.size > 80 and density < 0.25)
-            if not n.drop and (like or prose):
+            if not n.drop and not n.faint and (like or prose):
                 kept.add(id(n))
     out = []
     for n, words in found:
         up = n
         while up is not None and id(up) not in kept:
-            up = up.parent
+            up = None if up.faint else up.parent
         if up is not None:
             out.append(words)
     return "\n".join(out)

@@ -300,6 +300,18 @@ def test_main_text(spark):
     assert [extract.main_text(x) for x in (None, "", "<nav>a</nav>", "plain")] == ["", "", "", "plain"]
 
 
+@pytest.mark.parametrize("names", ["layout with-sidebar", "has-sidebar", "post with-comments", "page no-nav"])
+def test_main_text_inside_wrappers_with_furniture_names(names):
+    prose = ["A sentence, with commas, and words. " * 12, "Another one, somewhat longer, of the same article. " * 9]
+    body, want = "".join(f"<p>{p}</p>" for p in prose), "\n".join(p.strip() for p in prose)
+    side = f"<div class='sidebar'><p>{'See this, that, and more. ' * 12}</p></div><div class='menu'><a href=x>one</a></div>"
+    for page in (f"<article>{body}</article>{side}", f"<main>{body}</main>{side}", f"<div class=body>{body}</div>{side}"):
+        assert extract.main_text(f"<body><div class='{names}'>{page}</div></body>") == want
+    assert extract.main_text(f"<main><div class='{names}'>{body}</div></main>") == want
+    comments = f"<div id=comments>{'<p>I think, and say, so much more here.</p>' * 60}</div>"
+    assert extract.main_text(f"<body><article>{body}{comments}</article></body>") == extract.main_text(f"<body><article>{body}</article>{comments}</body>") == want
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 16))
