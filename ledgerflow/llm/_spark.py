@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if it was counted and has at most this many rows (times its row width: a few MB).
-BROADCAST_ROWS = 100_000
+#: A side is broadcast only if it was measured and has at most this many rows and bytes of values.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
+#: Bytes of an Arrow batch that a Python worker gets; rows longer than that are a batch of their own.
+BATCH_BYTES = "2m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the cluster names none, a temporary one is set."""
+    """The folder that all executors share. Only a local session, as in tests, may go without one and gets a temporary one."""
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if where:
         return where
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -35,18 +42,38 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """With a broadcast hint if the (saved) table has at most that many rows; else unchanged, and Spark joins by shuffle and splits skewed keys."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def in_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow in batches of about BATCH_BYTES (a session setting), so that a worker's memory follows its longest row and not 10,000 rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(f, schema)
+
+
+def _width(kind: T.DataType, value: Column) -> Column:
+    """About the bytes of a value."""
+    if isinstance(kind, T.ArrayType):
+        inner = 8 * (len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1)
+        return 16 + F.coalesce(F.size(value), F.lit(0)) * inner
+    if isinstance(kind, T.StructType):
+        return reduce(add, (_width(f.dataType, value[f.name]) for f in kind.fields), F.lit(0))
+    return F.coalesce(F.octet_length(value), F.lit(0)) + 16 if isinstance(kind, T.StringType | T.BinaryType) else F.lit(8)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """With a broadcast hint if the (saved) table has at most that many rows and bytes; else unchanged, and Spark joins by shuffle and splits skewed keys."""
+    width = reduce(add, (_width(f.dataType, F.col(f.name)) for f in df.schema.fields), F.lit(0)).cast("long")
+    size = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= rows and size["b"] <= most else df
 
 
 def row_key() -> list:
-    """What decides about a document row beside its id: repeated ids may carry different texts or hosts."""
-    return [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("k_id"), F.xxhash64("text", "source").alias("k_row")]
+    """k_id and k_row: what decides about a document row. Repeated ids may carry other texts or hosts, and a null is neither an empty string nor skipped; rows share a key only if id, text and source are equal (or 64 bits of hash collide under one id)."""
+    parts = [F.col("doc_id").isNull(), F.col("text").isNull(), F.coalesce("text", F.lit("")), F.col("source").isNull(), F.coalesce(F.col("source").cast("string"), F.lit(""))]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k_id"), F.xxhash64(*parts).alias("k_row")]
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose row_key() is in dropped; all columns of docs are kept as they are."""
-    k_id, k_row = row_key()
-    d = small(dropped.select("k_id", "k_row"))
-    return docs.join(d, (k_id == d.k_id) & (k_row == d.k_row), "left_anti")
+    d = small(dropped.select(F.col("k_id").alias("gone_id"), F.col("k_row").alias("gone_row")))
+    keyed = docs.select(F.struct(*docs.columns).alias("kept_doc"), *row_key())
+    left = keyed.join(d, (F.col("k_id") == F.col("gone_id")) & (F.col("k_row") == F.col("gone_row")), "left_anti")
+    return left.select(*(F.col("kept_doc")[c].alias(c) for c in docs.columns))

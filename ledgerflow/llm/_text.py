@@ -1,8 +1,9 @@
 """Vectorised work on the UTF-8 bytes of many texts at once (numpy, inside tasks).
 
-A Chunk holds the bytes of consecutive rows of an Arrow column, at most about CHUNK bytes unless one
+A Chunk holds the bytes of consecutive rows of an Arrow column, at most about CHUNK bytes and ROWS rows unless one
 text alone is longer. Words and lines are found with byte tables, and any byte range gets a 64-bit
-hash in constant time from prefix sums: a polynomial modulo 2**64 and one modulo a 31-bit prime.
+hash in constant time from prefix sums: a polynomial modulo 2**64 and one modulo a 31-bit prime. The sums are taken over at
+most PIECE bytes at once, so a very long text costs a few bytes of memory a byte, besides what its words take.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-CHUNK = 1 << 20
+CHUNK, ROWS, PIECE = 1 << 18, 1_024, 1 << 18
 PRIME = np.uint64((1 << 31) - 1)
 U = np.uint64
 
@@ -58,7 +60,7 @@ _tables: list[np.ndarray] = []
 def tables(n: int) -> list[np.ndarray]:
     """Powers of both bases and of their inverses, at least n of each."""
     if not _tables or len(_tables[0]) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = max(n, 1 << 16, PIECE + 2)
         two, p = 1 << 64, int(PRIME)
         _tables[:] = [_powers(BASE, size, two), _powers(pow(BASE, -1, two), size, two), _powers(BASE31, size, p), _powers(pow(BASE31, -1, p), size, p)]
     return _tables
@@ -81,12 +83,43 @@ class Prefix:
         return mix(a + b * U(0xD6E8FEB86659FD93) + (end - start).astype(U))
 
 
+def _by_piece(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[slice, int, int, bool]]:
+    """(ranges, first place, last place, whether it is one long range) of stretches of ascending ranges, each of at most PIECE places."""
+    lo = 0
+    while lo < len(start):
+        base = int(start[lo])
+        hi = int(np.searchsorted(end[lo:], base + PIECE, "right")) + lo
+        long_ = hi == lo
+        hi = max(hi, lo + 1)
+        yield slice(lo, hi), base, int(end[hi - 1]), long_
+        lo = hi
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ascending byte ranges that do not overlap; ranges of more than PIECE bytes are hashed whole."""
+    out = np.empty(len(start), U)
+    for at, lo, hi, long_ in _by_piece(start, end):
+        if long_:
+            out[at] = xxhash.xxh3_64_intdigest(np.ascontiguousarray(data[lo:hi]))
+        else:
+            out[at] = Prefix(data[lo:hi]).hash(start[at] - lo, end[at] - lo)
+    return out
+
+
 def sequence_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of ranges of a sequence of 64-bit values, such as the words of a line."""
-    up, down, *_ = tables(len(values) + 1)
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum(mix(values) * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+    """Hashes of ascending ranges of a sequence of 64-bit values, such as the words of a line; ranges of more than PIECE values are hashed whole."""
+    out = np.empty(len(start), U)
+    for at, lo, hi, long_ in _by_piece(start, end):
+        part = mix(values[lo:hi])
+        if long_:
+            out[at] = xxhash.xxh3_64_intdigest(part)
+            continue
+        up, down, *_ = tables(len(part) + 1)
+        total = np.zeros(len(part) + 1, U)
+        np.cumsum(part * up[: len(part)], out=total[1:])
+        s, e = start[at] - lo, end[at] - lo
+        out[at] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
+    return out
 
 
 def windows(values: np.ndarray, group: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +170,7 @@ class Chunk:
 
 
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[Chunk]:
-    """The rows of a string column in order (null: empty), cut between rows into chunks of about limit bytes."""
+    """The rows of a string column in order (null: empty), cut between rows into chunks of about limit bytes and at most ROWS rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -148,7 +181,7 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[Chunk]:
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1), lo + ROWS)
         yield Chunk(lo, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         lo = hi
 

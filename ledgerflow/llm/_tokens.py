@@ -170,7 +170,7 @@ def token_rows(column: pa.Array, words: WordIds, spaced: bool, special: list[byt
     for c in tx.chunks(column):
         if len(c.data):
             start, end, rare = split(c, spaced)
-            held.append((c, start, end, tx.Prefix(c.data).hash(start, end), rare))
+            held.append((c, start, end, tx.range_hashes(c.data, start, end), rare))
         else:
             held.append((c, *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.uint64), np.zeros(0, np.int64)))
         if sum(len(x[0].data) for x in held) >= limit:

@@ -10,9 +10,13 @@ Candidates: two sets with Jaccard >= 0.8 share at least 3 of their 20 smallest h
 shingles always, for larger ones but for a chance of 4e-11 a pair (P[Binomial(20, 0.8) <= 2]); there is no cap.
 Groups of near copies are first linked to one leader for each tile; the pairs of a tile are looked at
 only where its members are not yet in one component, so a large group costs links in proportion to its size.
+Every pair, a leader's too, passes the bitmap bound before its arrays are fetched.
 
 Defined cases: null or blank texts have no shingles, n_shingles 0, and are a component of their own; a text of
-fewer than five words is one shingle; repeated rows are one class; other columns are not read.
+fewer than five words is one shingle; repeated rows are one class; a null doc_id stays null, and is no component's
+smallest id unless all of its ids are null; of equally small candidates for leader or representative the
+least hash or row key wins; a very long text is hashed in pieces and its set kept whole (about 8 bytes a
+word); an empty table gives no rows; other columns are not read, and near_dedup() hands them on whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm import _text as tx
 from ledgerflow.llm._graph import components
-from ledgerflow.llm._spark import row_key, saved, small, without
+from ledgerflow.llm._spark import in_arrow, row_key, saved, small, without
 
 THRESHOLD, WORDS = 80, 5
 SMALLEST, SHARED, LANES = 20, 3, 16
@@ -41,7 +45,7 @@ def _sets(c: tx.Chunk) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
     data = tx.LOWER[c.data]
     row, start, end = c.words(~tx.SPACE[data])
-    words = tx.Prefix(data).hash(start, end)
+    words = tx.range_hashes(data, start, end)
     win, at = tx.windows(words, row, WORDS)
     win_of = np.searchsorted(row[at], np.arange(c.n + 1))
     word_of = np.searchsorted(row, np.arange(c.n + 1))
@@ -113,43 +117,48 @@ def _fits(a: str, b: str):
 
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row per row of docs: k_id, k_row, doc_id, node, n; node -> component of the linked classes)."""
-    rows = saved(_keyed(docs).mapInArrow(_sketch, "k_id bigint, k_row bigint, doc_id bigint, node bigint, n bigint, least array<bigint>, lanes array<bigint>"))
-    classes = saved(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("k_id", "k_row")).alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("lanes").alias("lanes")))
-
-    held = classes.select("node", "n", F.explode("least").alias("h"))
-    shared = held.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("h")
-    held = saved(held.join(shared, "h"))
+    rows = saved(in_arrow(_keyed(docs), _sketch, "k_id bigint, k_row bigint, doc_id bigint, node bigint, n bigint, least array<bigint>, lanes array<bigint>"))
+    full = rows.where("node is not null")
+    every = saved(full.select("node", "n", F.explode("least").alias("h")).distinct())  # copies meet here, before any join
+    shared = saved(every.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("h"))
+    held = saved(every.join(small(shared), "h"))
     active = saved(held.groupBy("node").agg(F.count("*").alias("shares")).where(F.col("shares") >= SHARED).select("node"))
     held = held.join(small(active), "node", "left_semi")
+    classes = saved(full.join(small(active), "node", "left_semi").groupBy("node").agg(F.min(F.struct("k_id", "k_row")).alias("rep"), F.first("n").alias("n"), F.first("lanes").alias("lanes")))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26))).cast("int")
     tiles = held.select("h", "node", "n", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("t")).select("h", "t.band", "t.own", "node", "n")
     tiles = saved(tiles)
 
-    reps = small(active).join(classes, "node").select("rep.k_id", "rep.k_row")
-    keyed = _keyed(docs)
-    arrays = saved(keyed.join(small(saved(reps)), ["k_id", "k_row"], "left_semi").select("text").mapInArrow(_arrays, "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
+    reps = saved(classes.select("rep.k_id", "rep.k_row"))
+    arrays = saved(in_arrow(_keyed(docs).join(small(reps), ["k_id", "k_row"], "left_semi").select("text"), _arrays, "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
+
+    bits = saved(classes.select("node", "n", *(F.col("lanes")[i].alias(f"w{i}") for i in range(LANES))))
+    # |A & B| <= (total - differ) / 2, and Jaccard >= t asks for |A & B| >= total * t / (1 + t)
+    differ = sum((F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(1, LANES)), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
+    total = F.col("a.n") + F.col("b.n")
+    bound = (100 + THRESHOLD) * (total - differ) >= 2 * THRESHOLD * total
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose bitmaps allow the threshold."""
+        side = small(bits, 20_000)
+        return pairs.select(F.col("a").alias("pa"), F.col("b").alias("pb")).join(side.alias("a"), F.col("pa") == F.col("a.node")).join(side.alias("b"), F.col("pb") == F.col("b.node")).where(bound).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = arrays.select(F.col("node").alias("a"), F.col("shingles").alias("x")), arrays.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return saved(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a bigint, b bigint"))
+        return saved(in_arrow(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y"), _linked, "a bigint, b bigint"))
 
     # leaders: in each tile its smallest class; a pair is tried when enough tiles propose it
     leader = tiles.groupBy("h", "band").agg(F.min(F.struct(F.col("node"), F.col("n"))).alias("l"), F.count("*").alias("members")).where("members > 1").select("h", "band", F.col("l.node").alias("a"), F.col("l.n").alias("m"))
     stars = tiles.join(leader, ["h", "band"]).where((F.col("node") != F.col("a")) & _fits("n", "m")).groupBy("a", F.col("node").alias("b")).agg(F.count_distinct("h").alias("times")).where(F.col("times") >= SHARED)
-    first = verified(saved(stars))
+    first = verified(saved(bounded(saved(stars))))
 
-    bits = classes.select("node", *(F.col("lanes")[i].alias(f"w{i}") for i in range(LANES)))
-    a, b = F.col("a.n"), F.col("b.n")
-    differ = sum((F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(1, LANES)), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
-    # |A & B| <= (total - differ) / 2, and Jaccard >= t asks for |A & B| >= total * t / (1 + t)
-    bound = (100 + THRESHOLD) * (a + b - differ) >= 2 * THRESHOLD * (a + b)
     may = (F.col("a.h") == F.col("b.h")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.own") | F.col("b.own")) & _fits("a.n", "b.n") & bound
 
     def open_tiles(found: DataFrame) -> DataFrame:
         """The tiles whose members are in different components, with components and bitmaps."""
         named = tiles.join(small(found), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         split = named.groupBy("h", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h", "band")
-        return saved(saved(named.join(split, ["h", "band"])).join(small(bits, 20_000), "node"))
+        return saved(saved(named.join(split, ["h", "band"])).join(small(bits.drop("n"), 20_000), "node"))
 
     def proposed(pairs: DataFrame) -> DataFrame:
         one, other = F.least("a.node", "b.node"), F.greatest("a.node", "b.node")
@@ -181,15 +190,13 @@ def link_components(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row left of each component (smallest id, then row hash), and one of fully equal rows; texts without shingles all stay."""
+    """docs with one row left of each component (smallest id, then row hash), and one of rows equal in id, text and source (the least by a hash of all its columns); texts without shingles all stay."""
     named = saved(link_components(docs))
     kept = without(docs, saved(named.where("rep is not null and (k_id <> rep.k_id or k_row <> rep.k_row)").select("k_id", "k_row").distinct()))
     again = saved(named.where("rep is not null").groupBy("k_id", "k_row").agg(F.count("*").alias("n")).where("n > 1").select("k_id", "k_row"))
     if again.isEmpty():
         return kept
-    k_id, k_row = row_key()
-    d = small(again)
-    cols = kept.columns
-    twice = kept.join(d, (k_id == d.k_id) & (k_row == d.k_row), "left_semi")
-    once = twice.select(F.struct(*cols).alias("all"), k_id, k_row).dropDuplicates(["k_id", "k_row"]).select("all.*")
-    return without(kept, again).unionByName(once)
+    keyed = kept.select(F.struct(*kept.columns).alias("doc"), *row_key())
+    twice = keyed.join(small(again), ["k_id", "k_row"], "left_semi")
+    once = twice.groupBy("k_id", "k_row").agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
+    return without(kept, again).unionByName(once.select(*(F.col("doc")[c].alias(c) for c in kept.columns)))

@@ -5,9 +5,11 @@ distinct documents (equal texts count once, so copies do not condemn each other)
 above a limit. verdicts() takes those lines out and rejects documents of which too little is left;
 without_frequent_lines() gives the texts less those lines.
 
-Defined cases: a null text is an empty one (no words, base_failed); a null source is a host of its own;
-lines without a word are never counted; repeated rows are judged each for itself; an empty table gives
-no rows; other columns of the input are not read.
+Defined cases: a null text is an empty one (no words, base_failed); a null source counts as the empty host;
+lines without a word are never counted; a line at a limit is not frequent and a document with just the least share left
+is not depleted; repeated rows are judged each for itself; a very long text is hashed in pieces and judged whole (a
+few tens of bytes a word); an empty table gives no rows; other columns of the input are not read, and the
+filters hand them on whatever their names.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import _text as tx
-from ledgerflow.llm._spark import row_key, saved, small, without
+from ledgerflow.llm._spark import in_arrow, row_key, saved, small, without
 from ledgerflow.llm.linefreq import with_text
 
-#: Production parameters. A line is frequent when it stands in more than MAX_DOCS distinct documents of a host and in more than MAX_SHARE of them.
-MAX_DOCS, MAX_SHARE = 100, 0.05
+#: Production parameters. A line is frequent when it stands in more than MAX_SHARE of a host's distinct documents, and in more than MAX_DOCS of them: a small floor, below which a share says nothing.
+MAX_DOCS, MAX_SHARE = 5, 0.05
 #: A document is depleted when frequent lines leave less than this share of its word characters.
 MIN_LEFT = 0.3
 
@@ -51,25 +53,21 @@ def _chunk(c: tx.Chunk) -> tuple[list[np.ndarray], pa.Array, pa.Array]:
     letter = inside & ((c.data & 0xC0) != 0x80)
     n_words = np.bincount(row, minlength=c.n)
 
-    plain = tx.Prefix(c.data)
-    win, at = tx.windows(plain.hash(start, end), row, 5)
+    win, at = tx.windows(tx.range_hashes(c.data, start, end), row, 5)
     twice = at[_repeated(tx.mix(win ^ tx.mix(row[at].astype(np.uint64))))]
-    cover = np.zeros(len(row) + 5, np.int64)
-    np.add.at(cover, twice, 1)
-    np.add.at(cover, twice + 5, -1)
+    cover = np.bincount(twice, minlength=len(row) + 5) - np.bincount(twice + 5, minlength=len(row) + 5)
     n_repeat = np.bincount(row[np.cumsum(cover)[: len(row)] > 0], minlength=c.n)
 
     lrow, ls, le = c.lines()
     first, last = np.searchsorted(start, ls), np.searchsorted(start, le)
     full = last > first
     lrow, ls, le, first, last = (x[full] for x in (lrow, ls, le, first, last))
-    exact = plain.hash(ls, le)
+    exact = tx.range_hashes(c.data, ls, le)
     order = np.lexsort((exact, lrow))
     same = (exact[order][1:] == exact[order][:-1]) & (lrow[order][1:] == lrow[order][:-1])
     n_dup = np.bincount(lrow[order][1:][same], minlength=c.n)
 
-    normal = tx.Prefix(NORMAL[c.data])
-    key = tx.sequence_hash(normal.hash(start, end), first, last)
+    key = tx.sequence_hash(tx.range_hashes(NORMAL[c.data], start, end), first, last)
     chars = np.concatenate(([0], np.cumsum(letter)))
     weight = chars[le] - chars[ls]
     order = np.lexsort((key, lrow))  # one entry for each distinct line of a document, with all its characters
@@ -97,8 +95,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text, source): the measures, and its distinct normalised lines with their word characters."""
     k_id, k_row = row_key()
-    rows = docs.select(k_id, k_row, F.xxhash64("text").alias("k_text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), "text")
-    return rows.mapInArrow(_measure, MEASURED)
+    rows = docs.select(k_id, k_row, F.xxhash64("text").alias("k_text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), "text")
+    return in_arrow(rows, _measure, MEASURED)
 
 
 def frequent_lines(measured: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -135,7 +133,7 @@ def _line_keys(c: tx.Chunk, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     first, last = np.searchsorted(start, ls), np.searchsorted(start, le)
     full = last > first
     row, ls, le, first, last = (x[full] for x in (row, ls, le, first, last))
-    return row, ls, le, tx.sequence_hash(tx.Prefix(NORMAL[c.data]).hash(start, end), first, last)
+    return row, ls, le, tx.sequence_hash(tx.range_hashes(NORMAL[c.data], start, end), first, last)
 
 
 def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +161,6 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """Every row of docs, its text less the frequent lines of its host (a null text stays null), with all its columns; n_chars follows the text."""
     frequent = small(saved(frequent_lines(saved(measure(docs)), max_docs, max_share)), 10_000)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text", F.coalesce("source", F.lit("")).alias("own_host"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("own_host"))
     rows = rows.join(frequent, F.col("own_host") == F.col("host"), "left").select("doc", "text", "frequent")
-    return with_text(rows.mapInArrow(_stripped, f"doc {rows.schema['doc'].dataType.simpleString()}, text string"), docs.columns)
+    return with_text(in_arrow(rows, _stripped, f"doc {rows.schema['doc'].dataType.simpleString()}, text string"), docs.columns)
