@@ -1,23 +1,27 @@
 """Secret scans in DataFrame functions alone: fixed patterns, and a battery of randomness tests.
 
-The battery looks at tokens of 20 characters and more that mix letters and digits. Each gets the encoding that its
-characters allow (hex, base32, base62, base64), is read as numbers in that alphabet, and is tested for
+The battery looks at tokens of 20 characters and more that mix letters and digits, outside the spans of the fixed patterns. Each
+gets the encoding that its characters allow (hex, base32, base62, base64), is read as numbers in that alphabet, and is tested for
 randomness three times: chi-squared for uniform use of the alphabet, the runs test about the middle, and lag-one serial
-correlation. Fisher's method joins the three p-values. Small ones speak against randomness: in each stratum
-(encoding and length class, as long tokens give more power than short ones) the Benjamini-Hochberg
-procedure over the whole corpus rejects those at false-discovery rate Q. Tokens that stand are reported as random,
-if their length gives the tests power at all and they do not overlap a span of the fixed patterns.
+correlation. Fisher's method joins the three p-values; a token stands as random if the joined one is at least LEVEL.
+
+What is reported must also be unlike readable text, with false discoveries controlled: letters and numbers of a readable token
+follow READABLE, so the sum of their log ratios against uniform signs has a known mean and spread for each length. How far
+below it a token lies gives its p-value (1 for tokens that do not stand). In each stratum, encoding and length
+class, the Benjamini-Hochberg procedure over the whole corpus reports those that stay below false-discovery rate Q. Short
+tokens must therefore lie further out, and a single odd name among many readable ones is not reported.
 
 Defined cases: a null text is empty (no spans; the digest of the empty string); positions count code points, ends are exclusive;
-spans go by start, then kind (assign, access, hex, random); repeated rows are scanned each; a corpus without
-candidates has no strata and reports none; other columns are not read.
+spans go by start, then kind (assign, access, hex, random); tokens of one p-value are reported together or not at all;
+repeated rows are scanned each; a text of any length is scanned whole; a corpus without candidates has no strata and
+reports none; an empty table gives no rows; other columns are not read, and redact() hands them on whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.llm._spark import saved
@@ -37,8 +41,13 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-#: Production parameters: false-discovery rate; length classes by power of two, the last open; places of -log10 p (100 to a decade, 30 decades).
-Q, CLASSES, BINS = 0.05, 5, 3000
+#: Production parameters: false-discovery rate of what is reported; level of the randomness tests; length classes by power of two, the last open; places of -log10 p (100 to a decade, 30 decades).
+Q, LEVEL, CLASSES, BINS = 0.001, 0.01, 5, 3000
+#: Per cent of each letter, a to z, in English text; and of numbers among the letters and numbers of a readable name.
+READABLE = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+NUMBER = 0.03
+#: Names differ more from each other than draws of single letters would: their spread over that of such draws.
+SPREAD = 1.6
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
@@ -136,6 +145,27 @@ def battery(token: Column) -> Column:
     return _let(F.struct(encoding.alias("encoding"), token.alias("token")), lambda x: F.struct(x["encoding"].alias("encoding"), tests(x).alias("p")))
 
 
+def _readable() -> tuple[list[float], float, float]:
+    """Log ratio of each letter and of a number (readable against uniform signs), and their mean and deviation in readable tokens."""
+    share = [(1 - NUMBER) * v / sum(READABLE) for v in READABLE] + [NUMBER]
+    ratio = [math.log(v / u) for v, u in zip(share, [2 / 62] * 26 + [10 / 62], strict=True)]
+    mean = sum(v * r for v, r in zip(share, ratio, strict=True))
+    return ratio, mean, SPREAD * math.sqrt(sum(v * (r - mean) ** 2 for v, r in zip(share, ratio, strict=True)))
+
+
+def unlike_text(token: Column) -> Column:
+    """The chance of a readable token of as many letters and numbers (runs of digits) to lie as far from text as this one."""
+    ratio, mean, deviation = _readable()
+    signs, values = F.lit("abcdefghijklmnopqrstuvwxyz#"), F.array(*map(F.lit, ratio))
+    plain = F.regexp_replace(F.regexp_replace(F.lower(token), "[0-9]+", "#"), "[^a-z#]", "")
+    places = F.transform(F.filter(F.split(plain, ""), lambda ch: ch != ""), lambda ch: F.instr(signs, ch))
+
+    def tail(a: Column) -> Column:
+        return normal_tail((F.size(a) * mean - _total(a, lambda v: F.element_at(values, v))) / (deviation * F.sqrt(F.size(a).cast("double"))))
+
+    return _let(places, tail)
+
+
 def _found(text: Column) -> list[Column]:
     base = F.array_sort(F.concat(_spans(text, ASSIGN, 0, 2, MIN_VALUE), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
     return [base.alias("s_base"), _spans(text, TOKEN, 3).alias("s_tokens")]
@@ -146,9 +176,9 @@ def _candidates(text: Column, base: Column, tokens: Column) -> Column:
     free = F.filter(tokens, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     named = F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.substring(text, x["s"] + 1, x["e"] - x["s"]).alias("token")))
     mixed = F.filter(named, lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]"))
-    tested = F.transform(mixed, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), battery(x["token"]).alias("t")))
+    tested = F.transform(mixed, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), battery(x["token"]).alias("t"), unlike_text(x["token"]).alias("p")))
     length = lambda x: F.least(F.floor(F.log2((x["e"] - x["s"]) / F.lit(20.0))), F.lit(CLASSES - 1)).cast("string")
-    place = lambda x: F.least(F.floor(-F.log10(F.greatest(x["t"]["p"], F.lit(1e-30))) * 100), F.lit(BINS - 1)).cast("int")
+    place = lambda x: F.when(x["t"]["p"] < LEVEL, 0).otherwise(F.least(F.floor(-F.log10(F.greatest(x["p"], F.lit(1e-30))) * 100), F.lit(BINS - 1))).cast("int")
     return F.transform(tested, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.concat_ws(":", x["t"]["encoding"], length(x)).alias("stratum"), place(x).alias("bin")))
 
 
@@ -159,21 +189,20 @@ def scanned(docs: DataFrame) -> DataFrame:
     return out.withColumn("s_random", F.when(F.size("s_tokens") > 0, _candidates(F.coalesce(docs["text"], F.lit("")), F.col("s_base"), F.col("s_tokens"))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,stratum:string,bin:int>>"))).drop("s_tokens")
 
 
-def rejected_from(found: DataFrame, q: float = Q) -> dict[str, int]:
-    """For each stratum the least place of -log10 p from which Benjamini-Hochberg rejects randomness. Strata are at most encodings x length classes, places a fixed number."""
-    from pyspark.sql import Window
-
+def limits(found: DataFrame, q: float = Q) -> dict[str, int]:
+    """For each stratum with reports the least place of -log10 p that Benjamini-Hochberg reports. Strata are at most encodings x length classes, places a fixed number."""
     counts = found.select(F.explode("s_random").alias("x")).groupBy("x.stratum", "x.bin").agg(F.count("*").alias("n"))
     down = Window.partitionBy("stratum").orderBy(F.desc("bin"))
     ranked = counts.withColumn("upto", F.sum("n").over(down)).withColumn("all", F.sum("n").over(Window.partitionBy("stratum")))
-    fit = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / 100) <= q * F.col("upto") / F.col("all"))
+    fit = ranked.where((F.col("bin") > 0) & (F.pow(F.lit(10.0), -F.col("bin") / 100) <= q * F.col("upto") / F.col("all")))
     return {r["stratum"]: r["bin"] for r in fit.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
 
 
-def _standing(rejected: dict[str, int]) -> Column:
-    limit = F.create_map(*(F.lit(v) for kv in rejected.items() for v in kv)) if rejected else None
-    keep = (lambda x: F.lit(True)) if limit is None else (lambda x: F.coalesce(x["bin"] < limit[x["stratum"]], F.lit(True)))
-    return F.transform(F.filter("s_random", keep), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+def _reported(least: dict[str, int]) -> Column:
+    if not least:
+        return F.array().cast("array<struct<s:int,k:int,e:int>>")
+    limit = F.create_map(*(F.lit(v) for kv in least.items() for v in kv))
+    return F.transform(F.filter("s_random", lambda x: F.coalesce(x["bin"] >= limit[x["stratum"]], F.lit(False))), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
 
 
 def _line(spans: Column) -> Column:
@@ -182,24 +211,23 @@ def _line(spans: Column) -> Column:
 
 
 def secret_spans(docs: DataFrame, q: float = Q) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random for each row of docs."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random (spans of the battery), n_candidates (tokens it tested) for each row of docs."""
     found = saved(scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "s_base", "s_random"))
-    every = F.array_sort(F.concat("s_base", _standing(rejected_from(found, q))))
+    random = _reported(limits(found, q))
     count = lambda k: F.size(F.filter("s_base", lambda x: x["k"] == k)).cast("long")
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_line(F.col("s_base")), 256).alias("base_sha256"), _line(every).alias("spans"), F.size(_standing({})).cast("long").alias("n_candidates"))
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_line(F.col("s_base")), 256).alias("base_sha256"), _line(F.array_sort(F.concat("s_base", random))).alias("spans"), F.size(random).cast("long").alias("n_random"), F.size("s_random").cast("long").alias("n_candidates"))
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", q: float = Q) -> DataFrame:
-    """(doc, text): the row of docs as a struct, and its text with every span replaced by the mark; spans that touch or overlap become one."""
-    rejected = rejected_from(saved(scanned(docs.select("text")).select("s_random")), q)
+    """(doc, text): the row of docs as a struct, and its text with every span replaced by the mark; spans that touch or overlap become one. The rows are written once with what the scan found, as the limits need the whole corpus first."""
+    found = saved(scanned(docs.select(F.struct(*docs.columns).alias("doc"), "text")).select("doc", "s_base", "s_random"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    spans = found.select("doc", F.col("doc.text").alias("text"), F.array_sort(F.concat("s_base", _reported(limits(found, q)))).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = (x["s"] > acc["at"]) | ((acc["at"] == 0) & (x["s"] == 0))
         out = F.when(fresh, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
 
-    found = scanned(docs.select(F.struct(*docs.columns).alias("doc"), "text"))
-    spans = found.select("doc", "text", F.array_sort(F.concat("s_base", _standing(rejected))).alias("spans"))
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     return spans.select("doc", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias("text"))

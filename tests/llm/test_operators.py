@@ -2,6 +2,9 @@
 
 import hashlib
 import html
+import itertools
+import math
+import operator
 import random
 import re
 import zlib
@@ -252,12 +255,71 @@ def test_secrets(docs, texts):
     assert clean[-9] == "[secret] [secret] [secret]" and clean[-1] is None
 
 
+def tail(z):
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def plain_battery(token):
+    """(encoding, Fisher's p of the three randomness tests) in plain Python."""
+    name = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token) else "base32" if re.fullmatch("[A-Z2-7]+", token) else "base62" if re.fullmatch("[0-9A-Za-z]+", token) else "base64"
+    c = [secretscan.ALPHABETS[name].index(x) for x in (token.lower() if name == "hex" else token)]
+    k, n = len(secretscan.ALPHABETS[name]), len(c)
+    w = 2 / (9 * (k - 1))
+    chi = max(k / n * sum(v * v for v in Counter(c).values()) - n, 0)
+    high = [v > (k - 1) / 2 for v in c]
+    n1, runs = sum(high), 1 + sum(x != y for x, y in itertools.pairwise(high))
+    m = 2 * n1 * (n - n1) / n + 1
+    var = (m - 1) * (m - 2) / (n - 1)
+    d = [v - sum(c) / n for v in c]
+    all_ = sum(v * v for v in d)
+    ps = [tail(((chi / (k - 1)) ** (1 / 3) - 1 + w) / math.sqrt(w)), 2 * tail(abs((runs - m) / math.sqrt(var) if var > 0 else math.sqrt(n))), 2 * tail(abs((sum(x * y for x, y in itertools.pairwise(d)) / all_ + 1 / n) * math.sqrt(n) if all_ > 0 else math.sqrt(n)))]
+    v = sum(-math.log(max(p, 1e-12)) for p in ps)
+    return name, math.exp(-v) * (1 + v + v * v / 2)
+
+
+def plain_unlike(token):
+    share = [0.97 * v / sum(secretscan.READABLE) for v in secretscan.READABLE] + [0.03]
+    ratio = [math.log(v / (10 / 62 if i == 26 else 2 / 62)) for i, v in enumerate(share)]
+    mean = sum(map(operator.mul, share, ratio))
+    sd = secretscan.SPREAD * math.sqrt(sum(v * (r - mean) ** 2 for v, r in zip(share, ratio, strict=True)))
+    signs = [26 if x == "#" else ord(x) - 97 for x in re.sub("[^a-z#]", "", re.sub("[0-9]+", "#", token.lower()))]
+    return tail((len(signs) * mean - sum(ratio[i] for i in signs)) / (sd * math.sqrt(len(signs))))
+
+
+def plain_spans(rows):
+    """doc -> spans of all kinds."""
+    base, tests = {}, []
+    for i, t in rows:
+        base[i] = [(m.start(), 0, m.end()) for m in re.finditer(secretscan.ASSIGN, t) if len(m[2]) >= 12] + [(m.start(), 1, m.end()) for m in re.finditer(secretscan.ACCESS, t)] + [(m.start(), 2, m.end()) for m in re.finditer(secretscan.HEX, t)]
+        for m in re.finditer(secretscan.TOKEN, t):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < e for a, _, e in base[i]):
+                name, p = plain_battery(m[0])
+                tests.append((i, m.start(), m.end(), (name, min(int(math.log2(len(m[0]) / 20)), 4)), plain_unlike(m[0]) if p >= secretscan.LEVEL else 1.0))
+    for stratum in {x[3] for x in tests}:
+        mine = sorted((x for x in tests if x[3] == stratum), key=lambda x: x[4])
+        fit = [x[4] for r, x in enumerate(mine, 1) if x[4] <= secretscan.Q * r / len(mine)]
+        for i, s, e, _, p in mine:
+            if fit and p <= fit[-1]:
+                base[i].append((s, 3, e))
+    return {i: ",".join(f"{secretscan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(x)) for i, x in base.items()}
+
+
+READABLE_TOKENS = ["TheQuickBrownFox2JumpedOverTheLazyDog", "usr/local/lib/python3/site-packages/numpy", "getElementsByClassName2", "org_apache_spark_sql_catalyst_v2", "user-account-settings-page-v3", "MAX_RETRY_COUNT_PER_HOST_2", "INTERNATIONALIZATION2", "report-2024-01-15-final-version2", "src/main/java/com/acme/Utf8StringTokenizer2", "HttpXmlParserFactoryBeanImpl3", "aaaaaaaaaabbbbbbbbbbcccccccccc1111111111"]
+
+
 def test_randomness(spark):
+    """Random keys of every encoding are found, readable tokens are not, and all spans are those of the plain version."""
     rng = random.Random(5)
-    signs = secretscan.ALPHABETS["base62"]
-    rows = [(k, "".join(rng.choice(signs) for _ in range(40)), "s") for k in range(60)] + [(100 + k, "aaaaaaaaaabbbbbbbbbbcccccccccc1111111111", "s") for k in range(60)]
-    got = {r["doc_id"]: r["spans"] for r in secretscan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert sum("random" in got[k] for k in range(60)) >= 50 and not any("random" in got[100 + k] for k in range(60))
+    keys = {(name, n, k): "".join(rng.choice(signs) for _ in range(n)) for name, signs in secretscan.ALPHABETS.items() for n in (20, 24, 32, 40, 64) for k in range(20)}
+    keys = {x: f"{t.upper()}" if x[0] == "hex" else t for x, t in keys.items()}
+    rows = [(i, f"see {t} here", "s") for i, t in enumerate([*keys.values(), *READABLE_TOKENS * 20])]
+    got = {r["doc_id"]: r for r in secretscan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i: r["spans"] for i, r in got.items()} == plain_spans([r[:2] for r in rows])
+    hits = Counter((name, n) for i, (name, n, _) in enumerate(keys) if got[i]["n_random"])
+    least = {20: 10, 24: 10, 32: 13, 40: 17, 64: 19}  # of 20: short tokens give the tests less power
+    assert all(hits[name, n] >= m for name in secretscan.ALPHABETS for n, m in least.items()), hits
+    assert not any(got[i]["n_random"] for i in range(len(keys), len(rows)))
+    assert secretscan.secret_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_licenses(docs, texts):
