@@ -1,20 +1,25 @@
 """License scans by ordered signature rules.
 
-Texts become lower-case words joined by single spaces. A rule is a label, a keyword, a priority and a regular
-expression; it is tried only where its keyword occurs. Detections are word intervals. In descending priority, then
-length, then order of the rules, a detection inside one already taken is suppressed. The fixed phrases of
-the base rules always count, and their labels stay.
+Texts become lower-case words joined by single spaces. A rule is a label, keywords, a priority and a regular
+expression; it is tried only where its keywords occur. Rules are texts of licenses, their headers and addresses, notices
+around names ("licensed under", "X licensed", identifiers), and names that hold a version; a notice goes on over further
+names ("A or B", "A/B"). Detections are word intervals. A notice that is denied ("not licensed under") is none. In
+descending priority, then length, then order of the rules, a detection inside one already taken is suppressed. The
+fixed phrases of the base rules always count, denied or not, and their labels stay.
 
 Defined cases: a null text is empty; no detection gives empty labels, null first and last word and score 0; an interval held
-by two labels of one priority goes to the longer, then to the earlier rule; repeated rows are scanned each; other
+by two labels of one priority goes to the longer, then to the earlier rule; repeated rows are scanned each; a very long
+text is scanned whole, in time in proportion to its words and matches; an empty table gives no rows; other
 columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import _text as tx
+from ledgerflow.llm._spark import in_arrow
 
 #: The base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -73,28 +79,147 @@ NAMES = (
     *((f"cc-{k.replace(' ', '-')}", "cc", rf"cc {k}(?: [1-4] 0)?") for k in ("by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by")),
     *((f"cc-{k.replace(' ', '-')}", "creative", f"creative commons {w}(?: [1-4] 0)?") for k, w in (("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"), ("by nc sa", "attribution non ?commercial share ?alike"), ("by nc", "attribution non ?commercial"), ("by nd", "attribution no ?deriv(?:ative)?s"), ("by sa", "attribution share ?alike"), ("by", "attribution"))),
 )
+#: Of the names, those that say enough by themselves, with the version they must hold.
+VERSIONED = {
+    ("apache-2", "apache"): r"apache(?: software)?(?: license)? (?:version |v)?2 0",
+    ("gpl-2", "gpl"): r"gpl v?2(?: 0)?|gpl version 2(?: 0)?", ("gpl-3", "gpl"): r"gpl v?3(?: 0)?|gpl version 3(?: 0)?",
+    ("gpl-2", "general public"): r"gnu general public license (?:version |v)?2(?: 0)?", ("gpl-3", "general public"): r"gnu general public license (?:version |v)?3(?: 0)?",
+    ("lgpl-2.1", "lgpl"): r"lgpl v?2 1|lgpl version 2 1", ("lgpl-3", "lgpl"): r"lgpl v?3(?: 0)?|lgpl version 3(?: 0)?", ("agpl-3", "agpl"): r"agpl v?3(?: 0)?|agpl version 3(?: 0)?",
+    ("lgpl-2.1", "lesser"): r"gnu lesser general public license (?:version |v)?2 1", ("lgpl-3", "lesser"): r"gnu lesser general public license (?:version |v)?3(?: 0)?", ("agpl-3", "affero"): r"gnu affero general public license (?:version |v)?3(?: 0)?",
+    ("gpl-2", "gplv2"): r"gplv2(?: 0)?", ("gpl-3", "gplv3"): r"gplv3(?: 0)?", ("lgpl-3", "lgplv3"): r"lgplv3(?: 0)?", ("agpl-3", "agplv3"): r"agplv3(?: 0)?", ("mpl-2", "mplv2"): r"mplv2(?: 0)?",
+    ("bsd-2-clause", "bsd"): r"bsd 2 clause|2 clause bsd|two clause bsd", ("bsd-3-clause", "bsd"): r"bsd 3 clause|3 clause bsd|three clause bsd", ("bsd-4-clause", "bsd"): r"bsd 4 clause|4 clause bsd|four clause bsd",
+    ("mpl-2", "mpl"): r"mpl (?:v|version )?2 0", ("mpl-2", "mozilla"): r"mozilla public license (?:version |v)?2(?: 0)?", ("mpl-1.1", "mozilla"): r"mozilla public license (?:version |v)?1 1",
+    ("epl-1", "eclipse"): r"eclipse public license (?:version |v)?1(?: 0)?", ("epl-2", "eclipse"): r"eclipse public license (?:version |v)?2(?: 0)?",
+    **{(f"cc-{k.replace(' ', '-')}", "cc"): rf"cc {k} [1-4] 0" for k in ("by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by")},
+}
 #: Priority, weight, words of which a text has one, and how a name stands in such a license notice.
+LATER = r"(?: or (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?| or greater| only| plus)?"
 NOTICES = (
     (9, 1.0, ("spdx",), r"spdx license identifier (?:{name})"),
-    (8, 0.95, ("under",), r"(?:licensed|released|distributed|published|available|redistributed|provided|made available|shared) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name})(?: licen[cs]e)?"),
+    (9, 0.95, ("dual", "dually", "multi", "triple"), r"(?:dual|dually|multi|triple) licen[cs]ed (?:(?:under|as|with) )?(?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[cs]es?)?"),
+    (8, 0.95, ("under",), r"(?:licen[cs]ed|released|distributed|published|available|redistributed|provided|made available|shared|covered|contributed) under (?:both )?(?:an? )?(?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name})(?: licen[cs]es?)?"),
+    (8, 0.9, ("licensed", "licenced"), r"(?:{name}) licen[cs]ed"),
+    (8, 0.9, ("governed", "protected"), r"(?:governed|protected) by (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[cs]e)?"),
     (7, 0.9, ("under",), r"under (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[cs]e)?"),
     (6, 0.9, ("license", "licence"), r"(?:{name}) licen[cs]e(?: agreement)?"),
-    (6, 0.85, ("license", "licence"), r"licen[cs]e (?:is |type )?(?:the )?(?:{name})"),
+    (6, 0.85, ("license", "licence"), r"licen[cs]e (?:is |type |name )?(?:the )?(?:{name})"),
     (5, 0.8, ("subject", "according", "pursuant"), r"(?:subject|according|pursuant) to (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[cs]e)?"),
 )
-#: Rules by text of the licenses themselves and of general notices.
+#: A name that holds a version says enough by itself.
+BARE = (2, 0.6)
+#: Signatures by text of the licenses themselves, their headers, addresses and general notices (priority, weight, label, keyword, words).
 PHRASES = (
     (10, 1.0, "mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    (10, 0.9, "mit", "portions", r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions"),
+    (10, 0.9, "mit", "opensource", r"opensource org licenses mit(?: license)?(?: php)?"),
+    (11, 1.0, "x11", "consortium", r"except as contained in this notice the name of the x consortium shall not be used"),
     (10, 1.0, "isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
+    (11, 1.0, "hpnd", "documentation", r"permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose"),
     (10, 1.0, "bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    (10, 0.9, "bsd", "redistributions", r"redistributions (?:of source code must retain|in binary form must reproduce) the above copyright notice"),
+    (11, 1.0, "bsd-3-clause", "endorse", r"neither the names? of (?:[^ ]+ ){1,12}?contributors may be used to endorse or promote products"),
+    (11, 1.0, "bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display"),
+    (10, 0.9, "bsd-3-clause", "opensource", r"opensource org licenses bsd 3 clause"),
+    (10, 0.9, "bsd-2-clause", "opensource", r"opensource org licenses bsd 2 clause"),
+    (10, 1.0, "zlib", "altered", r"altered source versions must be plainly marked as such"),
+    (10, 0.9, "zlib", "liable", r"in no event will the authors? be held liable for any damages arising from the use of this software"),
     (10, 1.0, "apache-2", "apache", r"www apache org licenses license 2 0"),
-    (10, 1.0, "gpl", "free software", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    (10, 1.0, "apache-2", "apache", r"apache license version 2 0 january 2004"),
+    (10, 1.0, "apache-2", "compliance", r"you may not use this file except in compliance with the license"),
+    (10, 1.0, "apache-2", "apache", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    (11, 1.0, "apache-1.1", "apache", r"this product includes software developed by the apache (?:software foundation|group)"),
+    (10, 0.9, "gpl", "free software", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    (11, 1.0, "gpl-2", "general public", r"gnu general public license as published by the free software foundation (?:either )?version 2(?: of the license)?(?: or at your option any later version)?"),
+    (11, 1.0, "gpl-3", "general public", r"gnu general public license as published by the free software foundation (?:either )?version 3(?: of the license)?(?: or at your option any later version)?"),
+    (11, 1.0, "lgpl-2.1", "lesser general", r"gnu lesser general public license as published by the free software foundation (?:either )?version 2(?: 1)?(?: of the license)?(?: or at your option any later version)?"),
+    (11, 1.0, "lgpl-3", "lesser general", r"gnu lesser general public license as published by the free software foundation (?:either )?version 3(?: of the license)?(?: or at your option any later version)?"),
+    (11, 1.0, "lgpl-2", "library general", r"gnu library general public license as published by the free software foundation (?:either )?version 2(?: of the license)?(?: or at your option any later version)?"),
+    (11, 1.0, "agpl-3", "affero general", r"gnu affero general public license as published by the free software foundation (?:either )?version 3(?: of the license)?(?: or at your option any later version)?"),
+    (10, 0.9, "gpl-3", "gnu", r"www gnu org licenses gpl 3 0"),
+    (10, 0.9, "gpl-2", "gnu", r"www gnu org licenses (?:old licenses )?gpl 2 0"),
+    (10, 0.9, "lgpl-3", "gnu", r"www gnu org licenses lgpl 3 0"),
+    (10, 0.9, "agpl-3", "gnu", r"www gnu org licenses agpl 3 0"),
+    (9, 0.8, "gpl", "gnu", r"you should have received a copy of the gnu general public license"),
+    (9, 0.8, "lgpl", "gnu", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    (9, 0.8, "agpl", "gnu", r"you should have received a copy of the gnu affero general public license"),
+    (10, 1.0, "gfdl-1.3", "documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    (10, 1.0, "mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    (10, 1.0, "mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    (10, 0.9, "mpl-2", "mozilla", r"mozilla org mpl 2 0"),
+    (10, 1.0, "epl-2", "eclipse", r"made available under the terms of the eclipse public license (?:v |version )?2 0"),
+    (10, 1.0, "epl-1", "eclipse", r"made available under the terms of the eclipse public license (?:v |version )?1 0"),
+    (10, 1.0, "edl-1", "eclipse", r"eclipse distribution license (?:v |version )?1(?: 0)?"),
+    (10, 1.0, "cddl-1", "distribution", r"subject to the terms of the common development and distribution license"),
+    (10, 1.0, "cpl-1", "common public", r"common public license (?:v |version )?1 0"),
+    (10, 1.0, "ms-pl", "microsoft", r"microsoft public license(?: ms pl)?"),
+    (10, 1.0, "ms-rl", "reciprocal", r"microsoft reciprocal license(?: ms rl)?"),
+    (10, 1.0, "osl-3", "software license", r"open software license (?:v |version )?3 0"),
+    (10, 1.0, "afl-3", "academic", r"academic free license (?:v |version )?3 0"),
+    (9, 0.8, "afl", "academic", r"academic free license"),
+    (10, 1.0, "perl", "perl", r"(?:under )?the same terms as perl(?: 5)?(?: itself)?"),
+    (10, 1.0, "artistic-1", "artistic", r"the artistic license(?: 1 0)?"),
+    (10, 1.0, "ruby", "ruby", r"(?:distributed under|the same terms as) (?:the )?ruby(?: s)? license"),
+    (10, 1.0, "php-3.01", "php", r"the php license version 3 01"),
+    (10, 1.0, "zpl-2.1", "zope", r"zope public license(?: zpl)? version 2 1"),
+    (10, 1.0, "w3c", "w3c", r"w3c software (?:and document )?(?:notice and )?license"),
+    (10, 1.0, "unicode", "unicode", r"unicode inc license agreement data files and software"),
+    (10, 1.0, "openssl", "openssl", r"this product includes software developed by the openssl project"),
+    (10, 1.0, "ssleay", "cryptographic", r"this product includes cryptographic software written by eric young"),
+    (10, 1.0, "json", "evil", r"the software shall be used for good not evil"),
+    (10, 1.0, "beerware", "beer", r"you can buy me a beer in return"),
     (10, 1.0, "unlicense", "public domain", r"this is free and unencumbered software released into the public domain"),
+    (10, 0.9, "unlicense", "unlicense", r"unlicense org"),
     (10, 1.0, "wtfpl", "public license", r"do what the fuck you want to public license"),
     (10, 1.0, "boost-1", "boost", r"boost software license version 1 0"),
-    (4, 0.7, "public-domain", "public domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    (3, 0.5, "proprietary", "all rights", r"all rights reserved"),
+    (10, 0.9, "boost-1", "boost", r"www boost org license 1 0(?: txt)?"),
+    (10, 1.0, "0bsd", "bsd", r"(?:bsd zero clause|zero clause bsd)(?: license)?"),
+    (10, 1.0, "0bsd", "0bsd", r"0bsd(?: license)?"),
+    (10, 1.0, "mit-0", "attribution", r"mit no attribution"),
+    (10, 1.0, "ncsa", "ncsa", r"(?:university of illinois )?ncsa open source license"),
+    (10, 1.0, "upl-1", "permissive", r"universal permissive license(?: upl)?(?: (?:v |version )?1 0)?"),
+    (10, 1.0, "mulan-2", "mulan", r"mulan (?:psl|permissive software license) v2"),
+    (10, 1.0, "blueoak-1", "oak", r"blue oak model license(?: version)?(?: 1 0 0)?"),
+    (10, 1.0, "sspl-1", "server side", r"server side public license(?: version 1)?"),
+    (10, 1.0, "busl-1.1", "business source", r"business source license 1 1"),
+    (10, 1.0, "elastic-2", "elastic", r"elastic license(?: version)? 2 0"),
+    (10, 1.0, "commons-clause", "commons", r"commons clause license condition(?: v1 0)?"),
+    (10, 1.0, "polyform-nc", "polyform", r"polyform noncommercial license(?: 1 0 0)?"),
+    (10, 1.0, "sleepycat", "sleepycat", r"sleepycat license"),
+    (10, 1.0, "vim", "vim", r"vim license"),
+    (10, 1.0, "cecill-2.1", "cecill", r"cecill(?: free software)?(?: license)?(?: agreement)?(?: v| version)? ?2 1"),
+    (10, 1.0, "cecill-b", "cecill", r"cecill b(?: license)?"),
+    (10, 1.0, "qpl-1", "public license", r"q public license version 1 0"),
+    (10, 1.0, "lppl-1.3c", "latex", r"latex project public license(?: (?:v |version )?1 3c?)?"),
+    (10, 1.0, "ofl-1.1", "font", r"this font software is licensed under the sil open font license version 1 1"),
+    (10, 0.9, "ofl-1.1", "sil", r"scripts sil org ofl"),
+    (10, 1.0, "odc-by-1", "commons", r"open data commons attribution license(?: v1 0)?"),
+    (10, 1.0, "pddl-1", "dedication", r"(?:open data commons )?public domain dedication and license(?: v1 0)?"),
+    (10, 1.0, "odbl-1", "opendatacommons", r"opendatacommons org licenses odbl"),
+    (10, 1.0, "cc0", "waived", r"to the extent possible under law (?:[^ ]+ ){1,12}?(?:has|have) waived all copyright"),
+    (10, 1.0, "cc0", "creativecommons", r"creativecommons org publicdomain zero 1 0"),
+    (10, 1.0, "cc-pdm", "creativecommons", r"creativecommons org publicdomain mark 1 0"),
+    *((10 + len(k.split()), 1.0, f"cc-{k.replace(' ', '-')}", "creativecommons", rf"creativecommons org licenses {k}(?: [1-4] [05])?") for k in ("by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by")),
+    (10, 1.0, "ogl-3", "government", r"open government licen[cs]e(?: v| version)? ?3 0"),
+    (9, 0.8, "ogl", "government", r"open government licen[cs]e"),
+    (4, 0.7, "public-domain", "public domain", r"(?:released|placed|dedicated|is|are|put) (?:in|into|to) the public domain"),
+    (4, 0.7, "public-domain", "copyright", r"(?:has|have) no known copyright restrictions"),
+    (4, 0.7, "proprietary", "proprietary", r"proprietary and confidential"),
+    (4, 0.8, "proprietary", "unauthorized", r"unauthorized copying of this (?:file|software)(?: via any medium)? is strictly prohibited"),
+    (4, 0.7, "proprietary", "prohibited", r"(?:reproduction|redistribution|copying|use) (?:in whole or in part )?(?:without (?:prior )?(?:written )?permission )?is (?:strictly )?prohibited"),
+    (4, 0.6, "proprietary", "evaluation", r"for (?:internal )?evaluation (?:use|purposes) only"),
+    (4, 0.6, "non-commercial", "commercial", r"for (?:personal )?non commercial use only"),
+    (4, 0.6, "non-commercial", "noncommercial", r"for (?:personal )?noncommercial use only"),
+    (4, 0.6, "non-commercial", "commercial", r"(?:no|not for) commercial use(?: allowed| permitted)?"),
+    (4, 0.6, "research-only", "research", r"for (?:academic and )?research (?:use|purposes) only"),
+    (3, 0.5, "proprietary", "reserved", r"all rights (?:are )?reserved"),
+    (3, 0.5, "proprietary", "vorbehalten", r"alle rechte vorbehalten"),
+    (3, 0.5, "proprietary", "droits", r"tous droits reserves"),
+    (3, 0.5, "proprietary", "derechos", r"todos los derechos reservados"),
 )
+#: Words that, at most NEAR words before a notice of low or middle priority, deny it; and how further names join a notice.
+DENIALS, NEAR = frozenset(("not", "never", "neither", "isn", "aren", "wasn", "no")), 3
+DENIED_BELOW = 10
+JOINS = r"(?: (?:or|and|and or|with|plus|as well as|at your option))?(?: under)?(?: the)?"
 
 
 class Rule(NamedTuple):
@@ -108,15 +233,37 @@ class Rule(NamedTuple):
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules by descending priority; each name gives one rule for each kind of notice."""
+    """All rules by descending priority; each name gives one rule for each kind of notice, and one by itself if it holds a version."""
     whole = r"(?<![^ ])(?:{})(?![^ ])"
     made = [Rule(p, w, label, frozenset(key.split()), frozenset(), re.compile(whole.format(text))) for p, w, label, key, text in PHRASES]
-    made += [Rule(p, w, label, frozenset(key.split()), frozenset(has), re.compile(whole.format(notice.format(name=name)))) for label, key, name in NAMES for p, w, has, notice in NOTICES]
+    made += [Rule(p, w, label, frozenset(key.split()), frozenset(has), re.compile(whole.format(notice.format(name=name) + LATER))) for label, key, name in NAMES for p, w, has, notice in NOTICES]
+    made += [Rule(*BARE, label, frozenset(key.split()), frozenset(), re.compile(whole.format(f"(?:{VERSIONED[label, key]}){LATER}"))) for label, key, _ in NAMES if (label, key) in VERSIONED]
     return tuple(sorted(made, key=lambda r: -r.priority))
 
 
-#: A text without any of these strings has no detection: each rule and base phrase has one of them.
-GATES = (b"licen", b"under", b"cc", b"spdx", b"permission", b"redistribution", b"public", b"rights", b"apache", b"subject", b"according", b"pursuant", b"boost", b"free")
+@cache
+def rules_by_word() -> dict[str, tuple[tuple[int, Rule], ...]]:
+    """The rules, with their order, under one of their keywords."""
+    out: dict[str, list] = {}
+    for k, rule in enumerate(rules()):
+        out.setdefault(max(sorted(rule.keywords), key=len), []).append((k, rule))
+    return {w: tuple(v) for w, v in out.items()}
+
+
+@cache
+def gates() -> tuple[bytes, ...]:
+    """A text without any of these strings has no detection; those that hold another one are left out."""
+    words = sorted({*rules_by_word(), *(phrase.split()[0] for phrase, _ in BASE)}, key=len)
+    short: list[str] = []
+    for w in words:
+        if not any(x in w for x in short):
+            short.append(w)
+    return tuple(w.encode() for w in short)
+
+
+@cache
+def joined_names() -> re.Pattern:
+    return re.compile(JOINS + " (?:" + "|".join(f"(?P<n{k}>{name})" for k, (_, _, name) in enumerate(NAMES)) + f"){LATER}(?: licen[cs]es?)?(?![^ ])")
 
 
 class Found(NamedTuple):
@@ -126,19 +273,51 @@ class Found(NamedTuple):
     weight: float
 
 
+class Covered:
+    """Intervals taken so far, kept as those inside no other, by start; these have ascending ends too."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start)
+        return k > 0 and self.ends[k - 1] >= end
+
+    def add(self, start: int, end: int) -> None:
+        k = bisect_left(self.starts, start)
+        j = bisect_right(self.ends, end, k)
+        self.starts[k:j], self.ends[k:j] = [start], [end]
+
+
 def detections(words: list[str]) -> list[Found]:
-    """What the rules find, after suppression, by start."""
+    """What the rules find, after denial and suppression, by start. Work is in proportion to words and matches."""
     line, have = " ".join(words), frozenset(words)
-    taken: list[Found] = []
-    hits = []
-    for k, rule in enumerate(rules()):
-        if rule.keywords <= have and (not rule.notice or rule.notice & have):
+    at = [0, *accumulate(len(w) + 1 for w in words)]  # the places of the words in the line
+    hits: list[tuple] = []
+
+    def put(rule: Rule, k: int, label: str, s: int, e: int, order: int, denied: bool) -> None:
+        hits.append((-rule.priority, s - e, k, order, Found(bisect_left(at, s), bisect_left(at, e), label, rule.weight), denied))
+
+    by = rules_by_word()
+    for word in have & by.keys():
+        for k, rule in by[word]:
+            if not rule.keywords <= have or (rule.notice and not rule.notice & have):
+                continue
             for m in rule.find.finditer(line):
-                a = line.count(" ", 0, m.start())
-                hits.append((-rule.priority, -(m.end() - m.start()), k, Found(a, a + m[0].count(" ") + 1, rule.label, rule.weight)))
-    for *_, f in sorted(hits):
-        if not any(t.start <= f.start and f.end <= t.end for t in taken):
-            taken.append(f)
+                first = bisect_left(at, m.start())
+                denied = rule.priority < DENIED_BELOW and not DENIALS.isdisjoint(words[max(0, first - NEAR) : first])
+                put(rule, k, rule.label, m.start(), m.end(), 0, denied)
+                if rule.priority > BARE[0] and rule.notice:  # further names of an expression: A or B, A/B, A with B
+                    e = m.end()
+                    while more := joined_names().match(line, e):
+                        put(rule, k, NAMES[int(more.lastgroup[1:])][0], more.start(more.lastgroup), more.end(), 1, denied)
+                        e = more.end()
+    taken, covered = [], Covered()
+    for *_, f, denied in sorted(hits):
+        if not covered.holds(f.start, f.end):
+            covered.add(f.start, f.end)
+            taken += [] if denied else [f]
     return sorted(taken)
 
 
@@ -157,14 +336,14 @@ def base_places(words: list[str]) -> list[tuple[int, str]]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
+        rows, marks = [], gates()
         for c in tx.chunks(batch.column("text")):
             data = tx.LOWER[c.data]
             row, *_ = c.words(WORD[data])
             counts, text = np.bincount(row, minlength=c.n), data.tobytes()
             for k in range(c.n):
                 one = text[c.off[k] : c.off[k + 1]]
-                if not any(g in one for g in GATES):
+                if not any(g in one for g in marks):
                     rows.append((int(counts[k]), 0, None, None, "", "", 0.0))
                     continue
                 words = WORDS.findall(one.decode("utf-8"))
@@ -180,4 +359,4 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scan, "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")

@@ -334,35 +334,76 @@ def test_licenses(docs, texts):
     assert [f.label for f in licenses.detections("licensed under the gnu general public license version 3 or later".split())] == ["gpl-3"]
 
 
-def spelled(parsed):
-    """All texts that a parsed pattern of literals, classes, alternatives and optional groups matches."""
-    out = [""]
+def spelled(parsed, rng):
+    """A random text that a parsed pattern of literals, classes, alternatives and repeats matches."""
+    out = ""
     for op, arg in parsed:
         name = str(op)
         if name == "LITERAL":
-            more = [chr(arg)]
+            out += chr(arg)
         elif name == "IN":
-            more = [chr(c) for kind, one in arg for c in ([one] if str(kind) == "LITERAL" else range(one[0], one[1] + 1))]
+            kind, one = rng.choice(arg)
+            out += "x" if str(kind) == "NEGATE" else chr(one if str(kind) == "LITERAL" else rng.randint(*one))
+        elif name == "NOT_LITERAL":
+            out += "x"
         elif name == "BRANCH":
-            more = [x for part in arg[1] for x in spelled(part)]
+            out += spelled(rng.choice(arg[1]), rng)
         elif name == "SUBPATTERN":
-            more = spelled(arg[-1])
-        elif name == "MAX_REPEAT":
-            assert arg[:2] == (0, 1)
-            more = ["", *spelled(arg[2])]
+            out += spelled(arg[-1], rng)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(spelled(arg[2], rng) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 2))))
         else:
             assert name == "ASSERT_NOT"
-            continue
-        out = [a + b for a in out for b in more]
     return out
 
 
+def plain_detections(words):
+    """All rules over the line without prefilter, and suppression by looking at all that was taken."""
+    line, hits = " ".join(words), []
+    for k, rule in enumerate(licenses.rules()):
+        for m in rule.find.finditer(line):
+            first = line[: m.start()].count(" ")
+            denied = rule.priority < 10 and any(w in licenses.DENIALS for w in words[max(0, first - 3) : first])
+            hits.append((-rule.priority, m.start() - m.end(), k, 0, (first, first + m[0].count(" ") + 1, rule.label, rule.weight), denied))
+            e = m.end()
+            while rule.notice and (more := licenses.joined_names().match(line, e)):
+                s, e = more.start(more.lastgroup), more.end()
+                first = line[:s].count(" ")
+                hits.append((-rule.priority, s - e, k, 1, (first, first + line[s:e].count(" ") + 1, licenses.NAMES[int(more.lastgroup[1:])][0], rule.weight), denied))
+    held, taken = [], []
+    for *_, f, denied in sorted(hits):
+        if not any(t[0] <= f[0] and f[1] <= t[1] for t in held):
+            held.append(f)
+            taken += [] if denied else [f]
+    return sorted(taken)
+
+
+def test_license_detections_by_brute_force():
+    rng = random.Random(9)
+    for _ in range(150):
+        parts = [spelled(re._parser.parse(rng.choice(licenses.rules()).find.pattern), rng) for _ in range(rng.randrange(1, 5))]
+        fill = [rng.choice(["not", "or", "and", "the", "text", "under", "license", "mit", "apache 2 0", "no", "word"]) for _ in range(8)]
+        mixed = parts + fill
+        rng.shuffle(mixed)
+        words = " ".join(mixed).split()
+        assert [tuple(f) for f in licenses.detections(words)] == plain_detections(words)
+    for text, labels in (
+        ("This work is MIT licensed", {"mit"}), ("Dual-licensed MIT/Apache-2.0", {"mit", "apache-2"}), ("GPLv3+ code", {"gpl-3"}), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", {"mit", "apache-2"}),
+        ("It is not licensed under the GPL v3", set()), ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", {"gpl-2"}), ("MIT is a school, and Apache a helicopter.", set()),
+    ):
+        assert {f.label for f in licenses.detections(licenses.WORDS.findall(text.lower()))} == labels, text
+    long_ = "licensed under the mit license and apache license version 2 or gpl v3 ".split() * 20_000
+    assert len(licenses.detections(long_)) == 60_000  # in proportion to the words: minutes if it were not
+
+
 def test_license_keywords_hold_in_every_alternative(spark):
-    for rule in licenses.rules():
-        for line in spelled(re._parser.parse(rule.find.pattern)):
+    rng = random.Random(2)
+    for k, rule in enumerate(licenses.rules()):
+        for line in {spelled(re._parser.parse(rule.find.pattern), rng) for _ in range(12)}:
             have = set(line.split())
             assert rule.find.fullmatch(line) and rule.keywords <= have and (not rule.notice or rule.notice & have), (rule.label, line)
-            assert any(g.decode() in line for g in licenses.GATES), line
+            assert any(g.decode() in line for g in licenses.gates()), line
+            assert any((k, rule) in licenses.rules_by_word()[w] for w in have & licenses.rules_by_word().keys())
     rows = [(1, "Licensed under the Expat license", "mit", 0.95), (2, "under the FreeBSD license", "bsd-2-clause", 0.9), (3, "under the PSF license", "python-2", 0.9)]
     got = licenses.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["labels"], r["score"]) for r in got} == {i: (label, score) for i, _, label, score in rows}
