@@ -186,7 +186,7 @@ PHRASES = (
     (10, 1.0, "polyform-nc", "polyform", r"polyform noncommercial license(?: 1 0 0)?"),
     (10, 1.0, "sleepycat", "sleepycat", r"sleepycat license"),
     (10, 1.0, "vim", "vim", r"vim license"),
-    (10, 1.0, "cecill-2.1", "cecill", r"cecill(?: free software)?(?: license)?(?: agreement)?(?: v| version)? ?2 1"),
+    (10, 1.0, "cecill-2.1", "cecill", r"cecill(?: free software)?(?: license)?(?: agreement)? (?:version |v)?2 1"),
     (10, 1.0, "cecill-b", "cecill", r"cecill b(?: license)?"),
     (10, 1.0, "qpl-1", "public license", r"q public license version 1 0"),
     (10, 1.0, "lppl-1.3c", "latex", r"latex project public license(?: (?:v |version )?1 3c?)?"),
@@ -199,7 +199,7 @@ PHRASES = (
     (10, 1.0, "cc0", "creativecommons", r"creativecommons org publicdomain zero 1 0"),
     (10, 1.0, "cc-pdm", "creativecommons", r"creativecommons org publicdomain mark 1 0"),
     *((10 + len(k.split()), 1.0, f"cc-{k.replace(' ', '-')}", "creativecommons", rf"creativecommons org licenses {k}(?: [1-4] [05])?") for k in ("by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by")),
-    (10, 1.0, "ogl-3", "government", r"open government licen[cs]e(?: v| version)? ?3 0"),
+    (10, 1.0, "ogl-3", "government", r"open government licen[cs]e (?:version |v)?3 0"),
     (9, 0.8, "ogl", "government", r"open government licen[cs]e"),
     (4, 0.7, "public-domain", "public domain", r"(?:released|placed|dedicated|is|are|put) (?:in|into|to) the public domain"),
     (4, 0.7, "public-domain", "copyright", r"(?:has|have) no known copyright restrictions"),
@@ -251,14 +251,14 @@ def rules_by_word() -> dict[str, tuple[tuple[int, Rule], ...]]:
 
 
 @cache
-def gates() -> tuple[bytes, ...]:
-    """A text without any of these strings has no detection; those that hold another one are left out."""
+def gates() -> tuple[tuple[bytes, re.Pattern], ...]:
+    """Beginnings of words, each as bytes and as a pattern: a text without any of them has no detection."""
     words = sorted({*rules_by_word(), *(phrase.split()[0] for phrase, _ in BASE)}, key=len)
     short: list[str] = []
     for w in words:
-        if not any(x in w for x in short):
+        if not w.startswith(tuple(short)):
             short.append(w)
-    return tuple(w.encode() for w in short)
+    return tuple((w.encode(), re.compile(rb"(?<![0-9a-z\x80-\xff])" + w.encode())) for w in short)
 
 
 @cache
@@ -343,7 +343,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, text = np.bincount(row, minlength=c.n), data.tobytes()
             for k in range(c.n):
                 one = text[c.off[k] : c.off[k + 1]]
-                if not any(g in one for g in marks):
+                if not any(g in one and begins.search(one) for g, begins in marks):
                     rows.append((int(counts[k]), 0, None, None, "", "", 0.0))
                     continue
                 words = WORDS.findall(one.decode("utf-8"))

@@ -402,7 +402,7 @@ def test_license_keywords_hold_in_every_alternative(spark):
         for line in {spelled(re._parser.parse(rule.find.pattern), rng) for _ in range(12)}:
             have = set(line.split())
             assert rule.find.fullmatch(line) and rule.keywords <= have and (not rule.notice or rule.notice & have), (rule.label, line)
-            assert any(g.decode() in line for g in licenses.gates()), line
+            assert any(begins.search(line.encode()) for _, begins in licenses.gates()), line
             assert any((k, rule) in licenses.rules_by_word()[w] for w in have & licenses.rules_by_word().keys())
     rows = [(1, "Licensed under the Expat license", "mit", 0.95), (2, "under the FreeBSD license", "bsd-2-clause", 0.9), (3, "under the PSF license", "python-2", 0.9)]
     got = licenses.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
