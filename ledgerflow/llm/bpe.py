@@ -6,7 +6,9 @@ heap, each to all its positions at once, and the pairs that a merge makes are ad
 and decoded strings of words are kept in the worker, so a word is merged once.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text; the strings of special
-tokens are one token each, as in the library; other columns are not read; rows are never merged or lost.
+tokens are one token each, as in the library; of equal pairs the lower rank goes first, and in a run of one symbol the pairs
+from the left; repeated rows are coded each; a very long text is coded whole (some tens of bytes of memory a byte);
+an empty table gives no rows; other columns are not read; rows are never merged or lost.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -25,10 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm._tokens import WordIds, token_rows
+from ledgerflow.llm._spark import in_arrow
+from ledgerflow.llm._tokens import KNOWN, WordIds, token_rows
 
 #: Bytes of text whose new words are merged together.
 TOGETHER = 32 << 20
+#: Code points whose lower case or composition Unicode versions may not agree on.
+UNSURE = re.compile("[^" + "".join(f"{re.escape(chr(lo))}-{re.escape(chr(hi - 1))}" for lo, hi in KNOWN) + "]")
 
 
 def _byte_chars() -> list[str]:
@@ -42,6 +48,7 @@ class WordBpe:
     """A BPE of whole words with a word-end suffix, read from a tokenizers file."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, split = spec["model"], next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -130,8 +137,11 @@ class WordBpe:
         return np.split(sym[live], np.searchsorted(live, ends[:-1]))
 
     def folded(self, text: str) -> str:
+        """The text as the tokenizer's file has it normalised: by the library itself where it holds code points that are not tabled."""
         if text.isascii():
             return text.lower()
+        if UNSURE.search(text):
+            return parts(self.path).normalizer.normalize_str(text)
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # a capital sigma has one lower case here, at word ends too
 
     def whole(self, text: str) -> np.ndarray:
@@ -140,7 +150,10 @@ class WordBpe:
         return np.concatenate(parts).astype(np.uint32)
 
     def plain(self, folded: str) -> np.ndarray:
-        words = self.find(folded)
+        if UNSURE.search(folded):  # classes too may differ between Unicode versions
+            words = [folded[a:b] for _, (a, b) in parts(self.path).pre_tokenizer.pre_tokenize_str(folded)]
+        else:
+            words = self.find(folded)
         return np.concatenate(self.merge(words)).astype(np.uint32) if words else np.zeros(0, np.uint32)
 
     def rows(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -162,6 +175,14 @@ class WordBpe:
         return self.name_bytes[np.repeat(self.name_first[ids] - (ends - size), size) + np.arange(ends[-1])][:-1].tobytes()
 
 
+@cache
+def parts(path: str):
+    """The library's tokenizer, for its normaliser and splitter alone."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @cache
 def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
@@ -193,9 +214,9 @@ def _ids(path: str) -> Callable:
 
 def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs; tokenizer: path of a word BPE file."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests(tokenizer), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _digests(tokenizer), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids array<int>, decoded string for each row of docs."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_ids(tokenizer), "doc_id bigint, ids array<int>, decoded string")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _ids(tokenizer), "doc_id bigint, ids array<int>, decoded string")

@@ -158,6 +158,18 @@ def test_bpe(docs, texts):
     assert one["ids"] == t.encode(NASTY[8], add_special_tokens=False).ids
 
 
+def test_bpe_over_all_of_unicode(spark):
+    """Every code point, inside words, doubled and before a digit; a text of some megabytes; and one word repeated."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"Ab{chr(c)}cD {chr(c)}{chr(c)} {chr(c)}1" for c in points[k : k + 60]) for k in range(0, len(points), 60)]
+    texts += ["Some long text, with 12 words or more. " * 50_000, "la" * 5_000, None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest() for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    got = {r["doc_id"]: r["ids_sha256"] for r in bpe.token_digests(d, path).collect()}
+    assert [k for k, x in enumerate(want) if got[k] != x] == []
+
+
 def test_packing(docs, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
