@@ -1,25 +1,31 @@
 """Main text of HTML pages by tree scoring.
 
 A page becomes a tree of its block elements, without scripts, menus, forms and other furniture (by element,
-and by the words of class, id and role where what they mark is small or mostly links; larger ones only count less, and wrappers of an article, a main or most of the text stay). Each paragraph passes points for its length and commas to its container, half
-to the next and a third to the one above; a container's points are discounted by its share of link text. The best container
-is kept, or the article or main element around it, with those siblings that score like it or are long prose.
+and by the words of class, id and role where what they mark is small or mostly links; larger ones only count less, and
+wrappers of an article, a main or most of the text stay). Each paragraph passes points for its length and commas to its
+container, half to the next and a third to the one above; a container's points are discounted by its share of link text. The
+best container is kept, with those siblings that score like it or are long prose, and headings before it.
 
 Defined cases: a null or empty page gives the empty text, as does one without text outside furniture; unclosed and stray
 tags are allowed; character references are decoded after the markup is read; white space inside a block is one
-space; blocks stand in page order, one a line; repeated rows are worked each; other columns are not read.
+space; blocks stand in page order, one a line; of containers of one score the first in page order is taken; repeated
+rows are worked each; very long and very deep pages take time in proportion to their length; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerflow.llm._spark import in_arrow
+
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.DOTALL)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
@@ -46,80 +52,83 @@ LIKE = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td",
 BARRIER = {"ul", "ol", "dl", "table", "menu", "div", "section", "article", "body"}
 
 
+#: Elements that end an open one like them, by the name under which an element is remembered as open.
+OPEN = {"p"} | set().union(*LIKE.values())
+HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+
 class Node:
-    __slots__ = ("drop", "faint", "kids", "link", "names", "parent", "points", "size", "tag")
+    """An element. Numbers are in page order; what hangs on the elements around one is settled when it opens."""
 
-    def __init__(self, tag: str, names: str, parent: Node | None, drop: bool):
-        self.tag, self.names, self.parent, self.drop = tag, names, parent, drop
-        self.faint, self.points, self.size, self.link = False, 0.0, 0, 0
+    __slots__ = ("depth", "drop", "faint", "head", "inside", "kept", "kids", "link", "names", "near", "number", "outer", "own", "parent", "points", "size", "tag")
+
+    def __init__(self, tag: str, names: str, parent: Node | None, drop: bool, number: int):
+        self.tag, self.names, self.parent, self.drop, self.number = tag, names, parent, drop, number
+        self.faint = self.kept = False
+        self.points, self.size, self.link, self.own, self.head = 0.0, 0, 0, 0, 0
         self.kids: list[Node] = []
-        if parent is not None:
-            parent.kids.append(self)
+        body = tag in ("article", "main")
+        if parent is None:
+            self.depth, self.near, self.inside, self.outer = 0, {}, body, self if body else None
+            return
+        parent.kids.append(self)
+        self.depth, self.inside, self.outer = parent.depth + 1, parent.inside or body, parent.outer or (self if body else None)
+        # open elements up to the next barrier, by tag
+        self.near: dict[str, Node] = {} if tag in BARRIER else {**parent.near, tag: self} if tag in OPEN else parent.near
 
 
 def _furniture(tag: str, names: str, attrs: str, parent: Node) -> tuple[bool, bool]:
     """Whether an element goes with all it holds, and whether its names mark furniture, which its contents decide."""
     if parent.drop or tag in FURNITURE:
         return True, False
-    inside = _inside(parent) is not None
     if tag == "header":
-        return not inside, False
+        return not parent.inside, False
     if tag in ("html", "body", "article", "main"):
         return False, False
     if attrs and HIDDEN.search(attrs):
         return True, False
-    return False, bool(names) and SIGNS.search(HEADING.sub(" ", names) if inside else names) is not None
-
-
-def _inside(n: Node | None) -> Node | None:
-    """The nearest article or main among a node and those around it."""
-    while n is not None and n.tag not in ("article", "main"):
-        n = n.parent
-    return n
-
-
-def _holds(outer: Node, n: Node | None) -> bool:
-    while n is not None and n is not outer:
-        n = n.parent
-    return n is outer
-
-
-def _judge(marked: list[Node], found: list[tuple[Node, str, int]]) -> None:
-    """Of the nodes that names mark: small or link-dense ones go, others are faint, and wrappers of the page's text stay as they are."""
-    total, own_of, size_of, bodies, holders = 0, {}, {}, {}, set()
-    for n, words, linked in found:
-        prose = len(words) - linked
-        total += prose
-        up: Node | None = n
-        while up is not None:
-            own_of[id(up)] = own_of.get(id(up), 0) + prose
-            size_of[id(up)] = size_of.get(id(up), 0) + len(words)
-            if up.tag in ("article", "main"):
-                bodies[id(up)] = up
-            up = up.parent
-    for a in bodies.values():
-        up = a.parent
-        while up is not None and id(up) not in holders:
-            holders.add(id(up))
-            up = up.parent
+    return False, bool(names) and SIGNS.search(HEADING.sub(" ", names) if parent.inside else names) is not None
+
+
+def _rivals(nodes: list[Node], least: int) -> list[bool]:
+    """Whether an article or main of at least so many characters outside links stands outside each element (for one that is partly around: so many outside the element)."""
+    is_body = [n.tag in ("article", "main") and n.own >= least for n in nodes]
+    within, above = [int(x) for x in is_body], [0] * len(nodes)
+    for n in reversed(nodes[1:]):
+        within[n.parent.number] += within[n.number]
+    for n in nodes[1:]:
+        above[n.number] = above[n.parent.number] + is_body[n.parent.number]
+    around = [n.outer if n.outer is not n else None for n in nodes]
+    return [within[0] > within[n.number] + above[n.number] or (o is not None and o.own - n.own >= least) for n, o in zip(nodes, around, strict=True)]
+
+
+def _judge(nodes: list[Node], marked: list[Node], total: int) -> None:
+    """Of the nodes that names mark: small or link-dense ones go, others are faint, and wrappers of an article, a main or most of the page's text stay as they are.
+
+    An element named as furniture itself is no wrapper beside any text in an article or main. total: characters outside links.
+    """
+    holders = [False] * len(nodes)
+    for n in reversed(nodes[1:]):
+        holders[n.parent.number] |= holders[n.number] or (n.tag in ("article", "main") and n.size > 0)
+    large, some = _rivals(nodes, SMALL), _rivals(nodes, 1)
     for n in marked:
-        own, size, holder = own_of.get(id(n), 0), size_of.get(id(n), 0), id(n) in holders
-        if holder or 2 * own > total:
-            # an element that is named as furniture itself, beside a text in an article or main, is no wrapper
+        holder = holders[n.number]
+        if holder or 2 * n.own > total:
             itself = any(SIGNS.fullmatch(x) for x in n.names.split())
-            rival = any(own_of[k] - (own if _holds(a, n) else 0) >= SMALL for k, a in bodies.items() if not _holds(n, a))
-            if not rival or not (itself or (not holder and _inside(n) is None)):
+            rival = some[n.number] if itself and not holder and not n.inside else large[n.number]
+            if not rival or not (itself or (not holder and not n.inside)):
                 continue
-        if not holder and (own < SMALL or 2 * own < size):
+        if not holder and (n.own < SMALL or 2 * n.own < n.size):
             n.drop = True
         else:
             n.faint = True
 
 
-def blocks(page: str) -> list[tuple[Node, str]]:
-    """(container, text) of each block outside furniture, in page order; points are passed on the way."""
-    root = Node("", "", None, False)
-    at, found, marked = root, [], []
+def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
+    """(elements in page order, (container, text) of each block outside furniture in page order); points are passed on the way."""
+    root = Node("", "", None, False, 0)
+    nodes, at, found, marked = [root], root, [], []
+    opened: Counter[str] = Counter()  # elements around the place, by tag
     text: list[str] = []
     linked = depth = 0
 
@@ -132,6 +141,11 @@ def blocks(page: str) -> list[tuple[Node, str]]:
             text.clear()
         linked = 0
 
+    def leave() -> None:
+        nonlocal at
+        opened[at.tag] -= 1
+        at = at.parent
+
     pos = 0
     while True:
         m = MARKUP.search(page, pos)
@@ -158,59 +172,66 @@ def blocks(page: str) -> list[tuple[Node, str]]:
             close()
         elif tag in BLOCK:
             if ending:
-                up = at
-                while up.parent is not None and up.tag != tag:
-                    up = up.parent
-                if up.parent is not None:
+                if opened[tag]:
                     close()
-                    at = up.parent
+                    while at.tag != tag:
+                        leave()
+                    leave()
                 elif tag == "p":
                     close()
                 continue
             close()
-            if tag in ENDS_P:
-                up = at
-                while up.parent is not None and up.tag != "p" and up.tag not in BARRIER:
-                    up = up.parent
-                if up.tag == "p":
-                    at = up.parent
-            if tag in LIKE:
-                up = at
-                while up.parent is not None and up.tag not in LIKE[tag] and up.tag not in BARRIER:
-                    up = up.parent
-                if up.tag in LIKE[tag]:
-                    at = up.parent
+            for up in (at.near.get("p") if tag in ENDS_P else None, max((at.near[x] for x in LIKE.get(tag, ()) if x in at.near), key=lambda x: x.depth, default=None)):
+                while up is not None and at.depth >= up.depth:
+                    leave()
             names = " ".join(x or y or z for x, y, z in NAMES.findall(attrs)) if attrs else ""
             drop, sign = _furniture(tag, names, attrs, at)
-            at = Node(tag, names, at, drop)
+            at = Node(tag, names, at, drop, len(nodes))
+            nodes.append(at)
+            opened[tag] += 1
             if sign:
                 marked.append(at)
             if attrs.endswith("/") and tag in ("svg", "canvas", "object"):
-                at = at.parent
+                leave()
     close()
+    for n, words, links in found:
+        n.own += len(words) - links
+        n.size += len(words)
+    total = _summed(nodes, "own", "size")
     if marked:
-        _judge(marked, found)
+        _judge(nodes, marked, total)
+    weight, gone = [1.0] * len(nodes), [False] * len(nodes)
+    for n in nodes:
+        up = n.parent
+        gone[n.number] = n.drop or (up is not None and gone[up.number])
+        weight[n.number] = FAINT if n.faint else weight[up.number] if up is not None else 1.0
+        n.size = 0
     left = []
     for n, words, links in found:
-        up, weight, gone = n, 1.0, False
-        while up is not None:
-            weight, gone, up = FAINT if up.faint else weight, gone or up.drop, up.parent
-        if gone:
+        if gone[n.number]:
             continue
         left.append((n, words))
+        n.size += len(words)
+        n.link += links
+        n.head += len(words) if n.tag in HEADS else 0
         up = n.parent if n.tag in PARAGRAPH and n.parent is not None else n
-        points = weight * (1.0 + words.count(",") + words.count("，") + words.count("、") + min(len(words) // 100, 3))
+        points = weight[n.number] * (1.0 + words.count(",") + words.count("，") + words.count("、") + min(len(words) // 100, 3))
         for share in (1.0, 0.5, 1 / 3):
             up.points += points * share
             if up.parent is None:
                 break
             up = up.parent
-        up = n
-        while up is not None:
-            up.size += len(words)
-            up.link += links
-            up = up.parent
-    return left
+    _summed(nodes, "size", "link", "head")
+    return nodes, left
+
+
+def _summed(nodes: list[Node], *names: str) -> int:
+    """Each element's numbers with those of all it holds; the page's total of the first."""
+    for n in reversed(nodes):
+        if n.parent is not None:
+            for x in names:
+                setattr(n.parent, x, getattr(n.parent, x) + getattr(n, x))
+    return getattr(nodes[0], names[0])
 
 
 def _score(n: Node) -> float:
@@ -220,40 +241,24 @@ def _score(n: Node) -> float:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = blocks(page)
+    nodes, found = blocks(page)
     if not found:
         return ""
-    seen: dict[int, Node] = {}
-    for n, _ in found:
-        up: Node | None = n
-        while up is not None and id(up) not in seen:
-            seen[id(up)] = up
-            up = up.parent
-    holders = [n for n in seen.values() if n.points > 0 and n.tag not in PARAGRAPH - {"td", "th"}]
-    best = max(holders, key=_score)  # the first of equals, which is the outer one of what was met first
-    up = best
-    while up is not None:
-        if up.tag in ("article", "main"):
-            best = up
-            break
-        up = up.parent
-    kept = {id(best)}
+    holders = [n for n in nodes if n.points > 0 and n.size and n.tag not in PARAGRAPH - {"td", "th"}]
+    best = max(holders, key=_score)  # the first of equals, which is the outer one or stands before
+    best.kept = True
     if best.parent is not None and best.tag not in ("main", "body", "html"):
-        least = max(10.0, 0.2 * _score(best))
+        top = _score(best)
         for n in best.parent.kids:
-            density = n.link / n.size if n.size else 1.0
-            like = _score(n) + (0.2 * _score(best) if n.names and n.names == best.names else 0) >= least
-            prose = n.tag == "p" and (n.size > 80 and density < 0.25)
-            if not n.drop and not n.faint and (like or prose):
-                kept.add(id(n))
-    out = []
-    for n, words in found:
-        up = n
-        while up is not None and id(up) not in kept:
-            up = None if up.faint else up.parent
-        if up is not None:
-            out.append(words)
-    return "\n".join(out)
+            if n.drop or n.faint or not n.size:
+                continue
+            like = _score(n) + (0.2 * top if n.names and n.names == best.names else 0) >= max(10.0, 0.2 * top)
+            prose = n.tag == "p" and n.size > 80 and n.link < 0.25 * n.size
+            heading = n.head == n.size and n.number < best.number
+            n.kept = n.kept or like or prose or heading
+    for n in nodes[1:]:
+        n.kept = n.kept or (not n.faint and n.parent.kept)
+    return "\n".join(words for n, words in found if n.kept)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,4 +269,4 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_texts, "page_id bigint, url string, text string, n_chars bigint")
+    return in_arrow(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), _texts, "page_id bigint, url string, text string, n_chars bigint")

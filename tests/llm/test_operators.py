@@ -444,6 +444,18 @@ def test_main_text_inside_wrappers_with_furniture_names(names):
     assert extract.main_text(f"<body><article>{body}{comments}</article></body>") == extract.main_text(f"<body><article>{body}</article>{comments}</body>") == want
 
 
+def test_main_text_of_odd_pages():
+    """A short article beside a longer advert; very deep and very long pages, in time in proportion; and pages that hold nothing."""
+    assert extract.main_text("<body><div class='ad'>Buy more, and more, and still more of this.</div><article><h1>Title</h1><p><b>Short.<br></article><footer>f</footer>") == "Title\nShort."
+    deep = "<div>" * 20_000 + "<p>a text, with commas</p>" * 50 + "</div>" * 20_000
+    assert extract.main_text(deep) == "\n".join(["a text, with commas"] * 50)
+    assert extract.main_text("<p>x<div>" + "<blockquote>" * 20_000 + "</i></p>" + "<li>a" * 20_000).count("a") == 20_000
+    many = "".join(f"<div class=menu><article><p>some words, and more words here {k}</p>" for k in range(20_000))
+    assert extract.main_text(f"<article><p>{'one, two. ' * 500_000}</p></article>{many[:1000]}").startswith("one, two.")
+    assert len(extract.main_text(many)) > 0
+    assert extract.main_text("<div hidden>a</div><form>b</form><!-- c") == ""
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 16))
