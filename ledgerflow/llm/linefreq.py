@@ -7,7 +7,9 @@ above the limit: they travel as one short array to the texts, which are not shuf
 
 Defined cases: lines are compared without the blanks around them; lines of blanks alone are neither counted
 nor dropped; a page has each line once in the count; a null text stays null and counts as a page without
-lines; a null source is a host of its own; repeated rows count as pages each; an empty table gives no rows.
+lines; a null source counts as the empty host; a line at the ratio itself stays, one on MIN_PAGES pages may go; repeated rows
+count as pages each; a very long text is one array of lines, of any length; an empty table gives no rows; other columns
+are handed on whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ def _trimmed(line: Column) -> Column:
 
 def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, drop array<bigint>): hashes of the lines above the ratio."""
-    pages = docs.select(F.coalesce("source", F.lit("")).alias("host"), "text")
+    pages = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), "text")
     total = pages.groupBy("host").agg(F.count("*").alias("pages"))
     keys = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), _trimmed), lambda x: x != ""), lambda x: F.xxhash64(x)))
     counts = pages.select("host", F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
@@ -38,7 +40,7 @@ def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: i
     """(doc, text, n_lines, n_dropped): the row of docs as a struct, its text less boilerplate lines, and counts of lines."""
     drop = small(saved(boilerplate(docs, max_ratio, min_pages)), 10_000)
     rows = docs.select(F.struct(*docs.columns).alias("doc"))
-    joined = rows.join(drop, F.coalesce("doc.source", F.lit("")) == F.col("host"), "left").select("doc", "drop", F.split("doc.text", "\n").alias("lines"))
+    joined = rows.join(drop, F.coalesce(F.col("doc.source").cast("string"), F.lit("")) == F.col("host"), "left").select("doc", "drop", F.split("doc.text", "\n").alias("lines"))
     kept = F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), F.xxhash64(_trimmed(x))) | (_trimmed(x) == ""))
     joined = joined.select("doc", "lines", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
     count = lambda a: F.when(F.col("doc.text").isNull(), 0).otherwise(a).cast("long")

@@ -6,8 +6,9 @@ GROUP pieces (a bound on the work of a task, whatever the input) and fills each
 longest piece that fits, then, if a gap is left, the bin's smallest piece is put back for the two
 unpacked pieces that fill the widened gap best, where those fill more.
 
-Defined cases: a null or empty text is the closing token alone; repeated rows are packed each; a null id is
-kept; an empty table gives no rows; other columns are not read.
+Defined cases: a null or empty text is the closing token alone; repeated rows are packed each, spread over the groups;
+a null id is kept; pieces of one length are taken in the order of doc_id, piece and checksum; a very long text is cut whole
+into as many pieces as it needs; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm._spark import saved
+from ledgerflow.llm._spark import in_arrow, saved
 from ledgerflow.llm._tokens import library
 
 SIZE, CLOSE, GROUP = 2048, 0, 8_000
@@ -47,7 +48,7 @@ def _cut(path: str, size: int) -> Callable:
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; tokenizer: path of a byte-level BPE file."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer, size), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _cut(tokenizer, size), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -106,5 +107,6 @@ def packed(cut: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
         bin_of, offset, _ = best_two_fit(pdf["length"].to_numpy(), size)
         return pdf.assign(sequence_id=pdf["k_group"].to_numpy(np.int64) * (1 << 32) + bin_of, offset=offset).drop(columns="k_group")
 
-    dealt = cut.withColumn("k_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # the place in the written table deals equal pieces out too, and a task that runs again deals them alike
+    dealt = cut.withColumn("k_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("k_group").applyInPandas(fill, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

@@ -14,8 +14,9 @@ visits are doubled, and where no query has a true link recall is logged as unmea
 Shards above BLOCK classes are split into blocks, all of which are searched: a hot cluster is never one task.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing; each
-length is a group of its own; repeated rows count as vectors each; a null vec_id keeps a null component; an empty table gives
-no rows; other columns are not read.
+length is a group of its own; repeated rows count as vectors each; a null vec_id keeps a null component; equally near
+candidates and centroids are taken in the order of their places; very long vectors take fewer rows in the samples; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.llm._graph import components
-from ledgerflow.llm._spark import saved, small
+from ledgerflow.llm._spark import in_arrow, saved, small
 
 log = logging.getLogger(__name__)
 
@@ -43,6 +44,8 @@ PER_SHARD, MOST_SHARDS, SAMPLE, SAMPLE_NUMBERS = 500, 4096, 20_000, 16_000_000
 VISITS, CANDIDATES, DEGREE, ALPHA, BEAM, STEP = 6, 64, 24, 1.2, 48, 4
 #: Members of a tile, visitors of a tile, queries with true links of the recall audit, and the recall aimed at.
 BLOCK, VISITORS, AUDIT, TARGET = 4_000, 8_000, 256, 0.99
+#: Recall below which the result is refused, when all shards were visited.
+LEAST_RECALL = 0.9
 #: Audited first: the vec_ids divisible by this; queries tried at least before recall stays unmeasured or measured on fewer.
 EVERY, LEAST_QUERIES = 50, 4_096
 
@@ -204,7 +207,7 @@ def classes(rows: DataFrame) -> DataFrame:
 
 def search_once(found: DataFrame, c: np.ndarray, visits: int, limit: float) -> DataFrame:
     """key, found (linked vectors of other classes), touched (keys of one node of each local component met) for each class and tile."""
-    dealt = saved(found.mapInArrow(_assign(c, visits), "shard int, place int, key bigint, n bigint, v array<double>"))
+    dealt = saved(in_arrow(found, _assign(c, visits), "shard int, place int, key bigint, n bigint, v array<double>"))
     # one row a shard, at most MOST_SHARDS
     plan = dealt.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.count_if(F.col("place") < 2) / BLOCK)).cast("int").alias("blocks"), F.ceil(F.count("*") / VISITORS).cast("int").alias("chunks"))
     dealt = dealt.join(F.broadcast(saved(plan)), "shard")
@@ -238,7 +241,7 @@ def audit(found: DataFrame, counted: DataFrame, limit: float, wanted: int = AUDI
         if not block:
             break
         q, names = unit(np.array([r["v"] for r in block])), np.array([r["key"] for r in block])
-        truth = found.select("key", "n", "v").mapInArrow(_truth(q, names, limit), "key bigint, truth bigint").groupBy("key").agg(F.sum("truth").alias("truth")).where("truth > 0")
+        truth = in_arrow(found.select("key", "n", "v"), _truth(q, names, limit), "key bigint, truth bigint").groupBy("key").agg(F.sum("truth").alias("truth")).where("truth > 0")
         got = truth.join(counted, "key", "left").agg(F.count("*").alias("c"), F.sum(F.least("truth", F.coalesce("found", F.lit(0))) / F.col("truth")).alias("r")).first()
         recall, seen, tried = recall + (got["r"] or 0.0), seen + got["c"], tried + len(block)
         size = min(4 * size, 4096, max(256, 2_000_000 // width))
@@ -278,6 +281,8 @@ def _groups(found: DataFrame, limit: float, visits: int) -> DataFrame:
         if recall >= TARGET:
             break
         if visits >= len(c):
+            if recall < LEAST_RECALL:
+                raise RuntimeError(f"recall {recall:.3f} with every shard visited")
             log.warning("recall %.3f with every shard visited", recall)
             break
         log.warning("recall %.3f with %d visits: doubling them", recall, visits)

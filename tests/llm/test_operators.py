@@ -499,15 +499,103 @@ def test_components(spark):
     assert all(got[k] == 1 for k in range(1, 41)) and got[100] == 50 and all(got[k] == 200 for k in range(201, 260))
 
 
-def test_pipeline(spark):
+def plain_pipeline(rows, path):
+    """Pieces that corpus_pipeline.run() makes of rows (id, text, source), in plain Python."""
+    texts = lambda rs: [(i, t or "", h or "") for i, t, h in rs]
+    normal = lambda line: re.sub("[0-9]", "0", " ".join(x.lower() if x.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(line)))
+    hosts = {}
+    for _, t, h in texts(rows):
+        hosts.setdefault(h, set()).add(t)
+    lines = {h: Counter(x for t in ts for x in {normal(y) for y in t.split("\n")} if x) for h, ts in hosts.items()}
+    frequent = {h: {x for x, n in c.items() if n > 5 and n > 0.05 * len(hosts[h])} for h, c in lines.items()}
+    stay = []
+    for row, (_, t, h) in zip(rows, texts(rows), strict=True):
+        w = WORD.findall(t)
+        c = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        cover = {p for k in range(len(w) - 4) if c[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+        left = sum(len(x) for y in t.split("\n") if normal(y) not in frequent[h] for x in WORD.findall(y))
+        if len(w) >= 10 and 100 * len(cover) <= 20 * len(w) and left >= 0.3 * sum(map(len, w)):
+            stay.append(row)
+    trim = lambda x: x.strip(" \t\r\v\f")
+    pages, on = Counter(h or "" for _, _, h in stay), Counter((h, x) for _, t, h in texts(stay) for x in {trim(y) for y in t.split("\n")} if x)
+    gone = {(h, x) for (h, x), n in on.items() if n >= 5 and n > 0.1 * pages[h]}
+    stay = [(i, "\n".join(y for y in t.split("\n") if (h or "", trim(y)) not in gone), h) for i, t, h in stay]
+    sets = {k: shingles(t) for k, (_, t, _) in enumerate(sorted(set(stay), key=str))}
+    uniq = sorted(set(stay), key=str)
+    group = brute_components(sets)
+    least = {}
+    for k, (i, _, _) in enumerate(uniq):
+        least[group[k]] = min(least.get(group[k], i), i)
+    kept, done = [], set()
+    for k, r in enumerate(uniq):
+        if not sets[k]:
+            kept += [r] * stay.count(r)
+        elif r[0] == least[group[k]] and group[k] not in done:
+            done.add(group[k])
+            kept.append(r)
+    spans = plain_spans([(k, t) for k, (_, t, _) in enumerate(kept)])
+    out, tokens = Counter(), Tokenizer.from_file(path)
+    for k, (i, t, _) in enumerate(kept):
+        clean, at = "", 0
+        for s, e in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in spans[k].split(",") if x):
+            if s > at or (s == 0 and at == 0):
+                clean += t[at:s] + "[secret]"
+            at = max(at, e)
+        ids = np.array(tokens.encode(clean + t[at:], add_special_tokens=False).ids + [0], "<u4")
+        cut = [0, *range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)]
+        out.update((i, p, a, b - a, zlib.crc32(ids[a:b].tobytes())) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)))
+    return out, [r[0] for r in kept]
+
+
+def test_pipeline(spark, tmp_path):
+    """All five stages against the plain version: rejected, boilerplate, copied, secret and very long documents, nulls, repeated rows and clashing columns."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()]
+    rows += [(20_000 + k, f"Home | About | Contact {k % 3}\n{own(30 if k % 4 else 3)} and more\n  Read the whole story  \n{own(12)}", "site") for k in range(60)]
+    rows += [(21_000 + k, f"Home page of all the news that is here\n{own(1)}", "poor") for k in range(40)]  # depleted
+    rows += [(i, t, "copies") for i, t in near_copies(n=20).items()]
+    rows += [(22_000, f"{own(20)}\npassword = abcdefghijklmnop and {''.join(rng.choice(secretscan.ALPHABETS['base62']) for _ in range(48))} {own(5)}", "s"), (22_001, own(9_000), None)]
+    rows += [(22_002, None, None), (22_003, "", "s"), (22_004, own(12), None), (22_004, own(12), ""), (22_005, "x y z", "s")] + [(22_006, own(15), "s")] * 3
+    d = spark.createDataFrame([(*r, k % 2, 1) for k, r in enumerate(rows)], "doc_id long, text string, source string, node int, k_id int")
+    d = d.where("doc_id <> 22006").unionByName(d.where("doc_id = 22006").withColumn("node", d["node"] * 0))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    want, ids = plain_pipeline(rows, corpus_pipeline.TOKENIZER)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(tuple(r)[:5] for r in out) == want
+    assert 0 < len([i for i in ids if i >= 20_000]) and not [i for i in ids if 21_000 <= i < 21_040] and ids.count(22_006) == 1
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) <= 2048
+    stage = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        assert f(spark, stage, str(tmp_path)).columns == stage.columns, name
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = corpus_pipeline.run(spark, SF).collect()
-    kept = {r["doc_id"] for r in out}
-    rejected = {r["doc_id"] for r in quality.verdicts(docs).where("not kept").collect()}
-    assert not kept & rejected
-    rows = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] not in rejected}  # no line is frequent in so small a table
-    want = brute_components({i: shingles(t) for i, t in rows.items()})
-    assert kept == {i for i in rows if want[i] == i}
-    assert all(o["length"] <= 2048 for o in out)
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_differ_in_nulls_alone(spark):
+    """Rows of one id whose text and source are null or equal are told apart, whatever other columns are called."""
+    x = "".join(f"w{k} " for k in range(100))
+    rows = [(5, None, x), (5, x, None), (5, x, ""), (None, x, "s"), (-(1 << 63), x, "s"), (6, "", None), (6, None, ""), (7, x + "end", "t"), (7, x + "end", "t")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", *(f"1 as {c}" for c in ("k_id", "k_row", "key", "seg", "p", "n", "node", "h", "spans", "doc", "lines", "host", "rep", "kept_doc", "gone_id")))
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in quality.quality_filter(d).collect()) == Counter(r for r in rows if r[1])
+    raw = [len((t or "").encode()) for _, t, _ in rows]
+    out = suffix.removed_digests(d).collect()
+    assert sorted(r["n_bytes"] for r in out) == sorted(raw) and all(r["n_removed"] == min(r["n_bytes"], len(x)) + (3 if r["n_bytes"] > len(x) else 0) for r in out if r["n_bytes"])
+    left = jaccard.near_dedup(d)
+    assert left.columns == d.columns and Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter({(5, None): 1, (6, ""): 1, (6, None): 1, (None, x): 1})
+    lines = linefreq.with_text(linefreq.drop_boilerplate(d), d.columns)
+    assert lines.columns == d.columns and lines.count() == len(rows)
+    clean = linefreq.with_text(secretscan.redact(d), d.columns)
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in clean.collect()) == Counter(rows)
