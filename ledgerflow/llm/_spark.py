@@ -66,7 +66,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES
 
 
 def row_key() -> list:
-    """k_id and k_row: what decides about a document row. Repeated ids may carry other texts or hosts, and a null is neither an empty string nor skipped; rows share a key only if id, text and source are equal (or 64 bits of hash collide under one id)."""
+    """k_id and k_row: what decides about a document row. Repeated ids may carry other texts or hosts, and a null is neither an empty string nor skipped; rows share a key only if id, text and source are equal (or 64 bits of hash collide under one id). A null id ranks as the least number."""
     parts = [F.col("doc_id").isNull(), F.col("text").isNull(), F.coalesce("text", F.lit("")), F.col("source").isNull(), F.coalesce(F.col("source").cast("string"), F.lit(""))]
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k_id"), F.xxhash64(*parts).alias("k_row")]
 
