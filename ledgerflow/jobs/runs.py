@@ -15,14 +15,17 @@ from ledgerflow.sources.transactions import guard_size
 
 
 def run_pipeline(tx: DataFrame, out: str, budget: int = 100, k: int = 5, explain: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Features, split, fit on the early days, score all, evaluate the late ones, write. Returns (scored, metrics)."""
+    """Features, split, fit on the early days, score all, evaluate the late ones, write. Returns (scored, metrics).
+
+    With explain, all written rows carry their reason and factors; scores are the same without.
+    """
     days = written(features.account_days(tx), "features")
     last = split.cutoff(days)
     fitted = model.fit(split.train_rows(days, last), k)
     scored = written(fitted.score(days), "scored")
     late = split.evaluation_rows(scored, last)
     found = written(evaluation.metrics(late, budget), "metrics")
-    sinks.write_scored(scored, f"{out}/scored_cases")
+    sinks.write_scored(explained(scored, fitted.baseline) if explain else scored, f"{out}/scored_cases")
     sinks.write_queue(late, f"{out}/investigation_queue")
     if explain:
         explained(evaluation.queue(late, budget), fitted.baseline).write.parquet(f"{out}/explained_queue")
@@ -38,20 +41,28 @@ def run_benchmark(tx: DataFrame, out: str, report: str | None = None, wanted: It
     last = split.cutoff(scored)
     late = split.evaluation_rows(scored, last)
     curve = written(evaluation.capacity_curve(late, evaluation.capacities(wanted, late.count())), "curve")
-    profile = segments.profiles(late)
-    names = segments.segment_names(profile.collect())
-    profile = segments.named(profile, segments.name_table(tx.sparkSession, names))
+    profile = named_profiles(late)
     targets = [out] + ([report] if report else [])
     sinks.write_small_csv(curve.orderBy("capacity"), *(f"{t}/capacity_curve" for t in targets))
     sinks.write_small_csv(profile.orderBy("cluster"), *(f"{t}/cluster_profiles" for t in targets))
+    found = summary(rows, scored, last, found, curve)
+    for t in targets:
+        sinks.write_json(found, f"{t}/benchmark_summary")
+    return found
+
+
+def named_profiles(rows: DataFrame) -> DataFrame:
+    """segments.profiles() with cluster_name."""
+    profile = segments.profiles(rows)
+    return segments.named(profile, segments.name_table(rows.sparkSession, segments.segment_names(profile.collect())))  # k rows
+
+
+def summary(transactions: int, scored: DataFrame, last, found: DataFrame, curve: DataFrame) -> DataFrame:
+    """One row: the metrics, the transactions, first and last date and cases of both parts, and the curve as a list."""
     line = F.struct("capacity", "hits", "precision", "recall", "lift", "detected_value")
-    summary = found.crossJoin(curve.agg(F.sort_array(F.collect_list(line)).alias("capacity_results"))).withColumn("transactions", F.lit(rows))  # one row each
+    out = found.crossJoin(curve.agg(F.sort_array(F.collect_list(line)).alias("capacity_results"))).withColumn("transactions", F.lit(transactions).cast("long"))  # one row each
     part = {r["part"]: r for r in split.parts(scored, last).collect()}
-    for name in ("train", "evaluation"):
-        summary = summary.withColumns({f"{name}_{c}": F.lit(part[name][c]) for c in ("first_date", "last_date", "cases")})
-    for t in targets:
-        sinks.write_json(summary, f"{t}/benchmark_summary")
-    return summary
+    return out.withColumns({f"{p}_{c}": F.lit(part[p][c]) for p in ("train", "evaluation") for c in ("first_date", "last_date", "cases")})
 
 
 def console_tables(tx: DataFrame, scored: DataFrame, budget: int, chosen: list[int] | None = None) -> dict[str, DataFrame]:

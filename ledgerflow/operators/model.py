@@ -6,7 +6,9 @@ A fitted model is a set of small parameter tables; scoring is a map over the row
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,9 @@ from ledgerflow.operators.scaling import scaled_columns, scaler_of
 from ledgerflow.operators.segments import assigned, baselines
 from ledgerflow.sources.storage import written
 
-SEED, SAMPLE, POOL, GLOBAL_TREES, SEGMENT_TREES = 42, 256, 8_192, 250, 200
+SEED, SAMPLE, DRAWN, GLOBAL_TREES, SEGMENT_TREES = 42, 256, 1_024, 250, 200
+#: Starts of the segmentation, and how many are fitted at a time.
+STARTS, TOGETHER = 10, 5
 LEAST_SEGMENT = max(30, 3 * len(FEATURE_COLUMNS))
 #: Reference values kept for each segment: all up to this number, else that many quantiles.
 GRID = 10_001
@@ -53,19 +57,30 @@ def grow(points: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float,
     return nodes
 
 
-def build_forest(spark: SparkSession, pools: dict[int, np.ndarray]) -> DataFrame:
-    """Trees of every scope (-1: all rows), grown in parallel from bounded pools."""
-    jobs = [(s, t) for s in sorted(pools) for t in range(GLOBAL_TREES if s < 0 else SEGMENT_TREES)]
+def build_forest(near: DataFrame, members: dict[int, int], seed: int = SEED) -> DataFrame:
+    """Trees of every scope (-1: all rows; else a segment of members with enough rows), grown in parallel.
 
-    def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for s, t in zip(pdf["scope"], pdf["tree"], strict=True):
-                rng = np.random.default_rng((SEED + s + 1, t))
-                pool = pools[s]
-                rows = grow(pool[rng.choice(len(pool), min(SAMPLE, len(pool)), replace=False)], rng)
-                yield pd.DataFrame([(s, t, k, *r) for k, r in enumerate(rows)], columns=[c.split()[0] for c in TREE.split(", ")])
+    Each tree has its own SAMPLE rows of all rows of its scope: every row draws a hash for each tree, those below a
+    share of about DRAWN rows a tree go to it, and the least hashes of a tree are its rows. No row is left out of the draw.
+    """
+    total = sum(members.values())
 
-    return spark.createDataFrame(jobs, "scope int, tree int").repartition(8).mapInPandas(trees, TREE)
+    def dealt(rows: DataFrame, scope: int, n: int, trees: int) -> DataFrame:
+        limit = min(1.0, DRAWN / n)
+        hashed = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.pmod(F.xxhash64("case_id", F.lit(scope), F.lit(seed), t), F.lit(1 << 30)).alias("h")))
+        drawn = F.filter(hashed, lambda x: x["h"] <= F.lit(int(limit * (1 << 30))))
+        return rows.select(F.explode(drawn).alias("d"), "case_id", *FEATURE_COLUMNS).select(F.lit(scope).alias("scope"), "d.tree", "d.h", "case_id", *FEATURE_COLUMNS)
+
+    parts = [dealt(near, -1, total, GLOBAL_TREES)]
+    parts += [dealt(near.where(F.col("cluster") == k), k, n, SEGMENT_TREES) for k, n in sorted(members.items()) if n >= LEAST_SEGMENT]
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, t = int(pdf["scope"].iloc[0]), int(pdf["tree"].iloc[0])
+        points = pdf.sort_values(["h", "case_id"]).head(SAMPLE)[FEATURE_COLUMNS].to_numpy(float)
+        rows = grow(points, np.random.default_rng((seed + s + 1, t)))
+        return pd.DataFrame([(s, t, k, *r) for k, r in enumerate(rows)], columns=[c.split()[0] for c in TREE.split(", ")])
+
+    return reduce(DataFrame.unionByName, parts).groupBy("scope", "tree").applyInPandas(tree, TREE)
 
 
 @dataclass
@@ -120,11 +135,16 @@ def ecdf(rows: DataFrame, column: str, reference: dict[int, np.ndarray]) -> Colu
 
 
 def references(rows: DataFrame, columns: list[str], grid: int = GRID) -> dict[str, dict[int, np.ndarray]]:
-    """Sorted reference values of each segment: bounded, by quantiles where a segment has more."""
+    """Sorted reference values of each segment: all of them where a segment has at most grid, else that many quantiles."""
+    sizes = {r["cluster"]: r["n"] for r in rows.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # k rows
+    few = [k for k, n in sizes.items() if n <= grid]
     at = F.array(*(F.lit(float(v)) for v in np.linspace(0, 1, grid)))
-    found = rows.groupBy("cluster").agg(F.count("*").alias("n"), *(F.percentile_approx(c, at, 50 * grid).alias(c) for c in columns))
+    is_few = F.col("cluster").isin(few)
+    exact = rows.where(is_few).groupBy("cluster").agg(*(F.sort_array(F.collect_list(c)).alias(c) for c in columns))
+    rough = rows.where(~is_few).groupBy("cluster").agg(*(F.percentile_approx(c, at, 50 * grid).alias(c) for c in columns))
+    parts = ([exact] if few else []) + ([rough] if len(few) < len(sizes) else [])
     out: dict[str, dict[int, np.ndarray]] = {c: {} for c in columns}
-    for r in found.collect():  # k rows of at most grid numbers
+    for r in (r for p in parts for r in p.collect()):  # k rows of at most grid numbers
         for c in columns:
             out[c][int(r["cluster"])] = np.asarray(r[c], float)
     return out
@@ -155,11 +175,11 @@ class RiskModel:
         return near.select(*kept, "raw.*", "cluster", "center_distance", F.array(*(near[c] for c in FEATURE_COLUMNS)).alias("x"))
 
     def _scored(self, features: DataFrame) -> DataFrame:
-        trees, sizes = self.trees, self.sizes
+        forests_of = features.sparkSession.sparkContext.broadcast({int(s): Forest.of(n, self.sizes[int(s)]) for s, n in self.trees.groupby("scope")})
 
         @F.pandas_udf("double")
         def anomaly(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            forests = {int(s): Forest.of(n, sizes[int(s)]) for s, n in trees.groupby("scope")}
+            forests = forests_of.value
             for cluster, x in parts:
                 points, out = np.stack(x.to_numpy()), np.zeros(len(x))
                 for k in cluster.unique():
@@ -197,7 +217,7 @@ class RiskModel:
         return cls({f: scaler[f] for f in FEATURE_COLUMNS}, {r["cluster"]: list(r["center"]) for r in read("centers").collect()}, read("trees").toPandas(), {r["scope"]: r["size"] for r in read("sizes").collect()}, refs["anomaly"], refs["distance"], [axes["x"], axes["y"]], axes["mean"], read("baselines"))
 
 
-def fit(train: DataFrame, k: int = 5, seed: int = SEED, starts: int = 3) -> RiskModel:
+def fit(train: DataFrame, k: int = 5, seed: int = SEED, starts: int = STARTS) -> RiskModel:
     """Fit on training account-days (case_id, features)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA, VectorAssembler
@@ -209,8 +229,11 @@ def fit(train: DataFrame, k: int = 5, seed: int = SEED, starts: int = 3) -> Risk
         raise ValueError(f"{n} training rows; {10 * k} are needed for {k} segments")
     scaler = scaler_of(train)
     scaled = written(train.select("case_id", *scaled_columns(scaler)), "scaled")
-    vectors = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="v").transform(scaled).select("case_id", "v")
-    best = min((KMeans(k=k, seed=seed + s, featuresCol="v").fit(vectors) for s in range(starts)), key=lambda m: m.summary.trainingCost)
+    vectors = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="v").transform(scaled).select("case_id", "v").persist()
+    with ThreadPoolExecutor(TOGETHER) as pool:  # the fits are small jobs one after the other: some at a time fill the cluster
+        fits = list(pool.map(lambda s: KMeans(k=k, seed=seed + s, featuresCol="v").fit(vectors), range(starts)))
+    best = min(fits, key=lambda m: m.summary.trainingCost)
+    vectors.unpersist()
     centers = {i: [float(x) for x in c] for i, c in enumerate(best.clusterCenters())}
     mean = [float(x) for x in scaled.agg(*(F.avg(c) for c in FEATURE_COLUMNS)).first()]
     less = scaled.select(*((F.col(c) - m).alias(c) for c, m in zip(FEATURE_COLUMNS, mean, strict=True)))
@@ -218,13 +241,8 @@ def fit(train: DataFrame, k: int = 5, seed: int = SEED, starts: int = 3) -> Risk
     axes = [[float(x) for x in a * np.sign(a[np.abs(a).argmax()])] for a in axes]
     near = assigned(scaled, FEATURE_COLUMNS, centers)
     members = {r["cluster"]: r["n"] for r in near.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
-    # bounded, repeatable samples: the rows with the smallest hashes
-    pools: dict[int, np.ndarray] = {}
-    for scope in [-1, *(c for c, m in members.items() if m >= LEAST_SEGMENT)]:
-        rows = near if scope < 0 else near.where(F.col("cluster") == scope)
-        pools[scope] = np.array([list(r) for r in rows.orderBy(F.xxhash64("case_id", F.lit(scope), F.lit(seed)), "case_id").limit(POOL).select(*FEATURE_COLUMNS).collect()])
-    trees = build_forest(spark, pools).toPandas()
-    sizes = {s: min(SAMPLE, len(p)) for s, p in pools.items()}
+    trees = build_forest(near, members, seed).toPandas()  # the trees: a fixed number of at most 511 nodes each
+    sizes = {-1: min(SAMPLE, n)} | {k: min(SAMPLE, m) for k, m in members.items() if m >= LEAST_SEGMENT}
     model = RiskModel(scaler, centers, trees, sizes, {}, {}, axes, mean, baselines(train.limit(0).withColumn("cluster", F.lit(0))))
     scored = written(model._scored(train).select("case_id", *FEATURE_COLUMNS, "cluster", "anomaly", "center_distance"), "scored")
     refs = references(scored, ["anomaly", "center_distance"])

@@ -34,11 +34,17 @@ def fans(tx: DataFrame, out: bool = True, seconds: int = 3600, least: int = 3) -
     """hub, most: hubs that pay (or are paid by) at least so many distinct accounts within the time, and the most they had at once."""
     hub, other = ("from_account", "to_account") if out else ("to_account", "from_account")
     t = derived(tx).select(F.col(hub).alias("hub"), F.col(other).alias("other"), F.unix_timestamp(F.col("timestamp").cast("timestamp")).alias("s"))
-    near = Window.partitionBy("hub", "bucket").orderBy("s").rangeBetween(-seconds, 0)
-    # a hub's time is cut into buckets with an overlap of one window, so a hub is not one task
-    cut = t.withColumn("b", F.floor(F.col("s") / (seconds * 24))).select("hub", "other", "s", "b", F.explode(F.array("b", F.floor((F.col("s") + seconds) / (seconds * 24)))).alias("bucket")).distinct()
-    sized = cut.withColumn("n", F.size(F.collect_set("other").over(near))).where("b = bucket")
-    return sized.groupBy("hub").agg(F.max("n").cast("long").alias("most")).where(F.col("most") >= least)
+    # an account counts from its payment until its next one or the end of the time, so each has one interval at a moment
+    last = F.lead("s").over(Window.partitionBy("hub", "other").orderBy("s"))
+    active = t.distinct().select("hub", "s", F.least(F.coalesce(last, F.col("s") + seconds + 1), F.col("s") + seconds + 1).alias("end"))
+    # a hub's time is cut into buckets, each with the intervals that reach into it, so a hub is not one task
+    width = 24 * (seconds + 1)
+    cut = active.select("hub", "s", "end", F.explode(F.array_distinct(F.array(F.floor(F.col("s") / width), F.floor((F.col("end") - 1) / width)))).alias("bucket"))
+    begins = F.struct(F.greatest("s", F.col("bucket") * width).alias("at"), F.lit(1).alias("step"))
+    ends = F.struct(F.col("end").alias("at"), F.lit(-1).alias("step"))
+    steps = cut.select("hub", "bucket", F.inline(F.array(begins, ends))).groupBy("hub", "bucket", "at").agg(F.sum("step").alias("step"))
+    running = F.sum("step").over(Window.partitionBy("hub", "bucket").orderBy("at"))
+    return steps.withColumn("n", running).groupBy("hub").agg(F.max("n").cast("long").alias("most")).where(F.col("most") >= least)
 
 
 def cycles(tx: DataFrame, length: int = 3, seconds: int = 3600) -> DataFrame:

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.schema import FEATURE_COLUMNS, SEGMENT_NAMES
-
-#: Rows up to which percentiles of a segment are exact; beyond, they come from a sketch of this accuracy.
-EXACT_ROWS, ACCURACY = 20_000_000, 10_000
+from ledgerflow.operators.scaling import ACCURACY, EXACT_ROWS
 
 
 def _quantiles(c: Column, at: list[float], exact: bool) -> Column:
@@ -16,8 +14,13 @@ def _quantiles(c: Column, at: list[float], exact: bool) -> Column:
     return F.percentile(c, ps) if exact else F.percentile_approx(c, ps, ACCURACY)
 
 
-def profiles(scored: DataFrame, exact: bool = True) -> DataFrame:
-    """cluster, cases and six medians."""
+def _few(rows: DataFrame, most: int) -> bool:
+    return rows.limit(most + 1).count() <= most
+
+
+def profiles(scored: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """cluster, cases and six medians: exact up to so many rows, beyond from sketches."""
+    exact = _few(scored, exact_rows)
     parts = F.col("unique_out_counterparties") + F.col("unique_in_counterparties")
     of = {"median_transactions": F.col("total_tx_count"), "median_value": F.col("total_value"), "median_counterparties": parts, "median_cross_currency_share": F.col("cross_currency_share"), "median_cash_share": F.col("cash_share"), "median_flow_ratio": F.col("flow_ratio")}
     if lost := {"cluster", *FEATURE_COLUMNS} - set(scored.columns):
@@ -25,8 +28,9 @@ def profiles(scored: DataFrame, exact: bool = True) -> DataFrame:
     return scored.groupBy("cluster").agg(F.count("*").alias("cases"), *(_quantiles(c.cast("double"), [0.5], exact)[0].alias(n) for n, c in of.items()))
 
 
-def baselines(train: DataFrame, exact: bool = True) -> DataFrame:
-    """cluster, feature, median, scale: q75 - q25, else the sample deviation, else 1."""
+def baselines(train: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """cluster, feature, median, scale: q75 - q25, else the sample deviation, else 1. Quartiles are exact up to so many rows, beyond from sketches."""
+    exact = _few(train, exact_rows)
     out = train.groupBy("cluster").agg(*(F.struct(_quantiles(F.col(c).cast("double"), [0.25, 0.5, 0.75], exact).alias("q"), F.stddev_samp(c).alias("s")).alias(c) for c in FEATURE_COLUMNS))
     spread = lambda c: F.coalesce(F.nullif(F.col(f"{c}.q")[2] - F.col(f"{c}.q")[0], F.lit(0.0)), F.nullif(F.nanvl(F.col(f"{c}.s"), F.lit(None)), F.lit(0.0)), F.lit(1.0))
     return out.select("cluster", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"{c}.q")[1].alias("median"), spread(c).alias("scale")) for c in FEATURE_COLUMNS))))
@@ -39,24 +43,24 @@ def assigned(rows: DataFrame, columns: list[str], centers: dict[int, list[float]
 
 
 def segment_names(profile_rows: list) -> dict[int, str]:
-    """Distinct names, given first to the segment that deviates most (k rows on the driver)."""
-    import numpy as np
+    """Distinct names (k rows on the driver).
 
-    ranked: dict[int, list[tuple[float, str]]] = {}
-    for column, high, low in SEGMENT_NAMES:
-        values = np.array([float(r[column]) for r in profile_rows])
-        spread = float(np.subtract(*np.percentile(values, [75, 25])))
-        if not spread:
-            spread = float(values.std(ddof=1)) if len(values) > 1 else 1.0
-            spread = spread or 1.0
-        for r, v in zip(profile_rows, (values - np.median(values)) / spread, strict=True):
-            ranked.setdefault(int(r["cluster"]), []).append((abs(v), high if v >= 0 else low))
+    A segment's candidates are the sides of its medians, by how far each lies from the median of the segments in spreads. The
+    segment that lies furthest out is named first; each takes its best candidate that is free, or its best one if none is.
+    """
+    import numpy as np
+    import pandas as pd
+
+    medians = [c for c, *_ in SEGMENT_NAMES]
+    table = pd.DataFrame([[r[c] for c in medians] for r in profile_rows], [r["cluster"] for r in profile_rows], medians, float)
+    quarter = table.quantile(0.75) - table.quantile(0.25)
+    spread = quarter.where(quarter != 0, table.std(ddof=1)).replace(0, np.nan).fillna(1.0)
+    out = (table - table.median()) / spread
+    sides = {c: (low, high) for c, high, low in SEGMENT_NAMES}
+    best = {int(k): sorted(((abs(v), sides[c][v >= 0]) for c, v in row.items()), reverse=True) for k, row in out.iterrows()}
     names: dict[int, str] = {}
-    for found in ranked.values():
-        found.sort(reverse=True)
-    for k in sorted(ranked, key=lambda k: -ranked[k][0][0]):
-        free = [n for _, n in ranked[k] if n not in names.values()]
-        names[k] = free[0] if free else ranked[k][0][1]
+    for k, candidates in sorted(best.items(), key=lambda kv: -kv[1][0][0]):
+        names[k] = next((n for _, n in candidates if n not in names.values()), candidates[0][1])
     return names
 
 

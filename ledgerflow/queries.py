@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.schema import FEATURE_COLUMNS, LABEL, LINEAR, TRANSACTION_COLUMNS
+from ledgerflow.functions.schema import FEATURE_COLUMNS, LABEL, LINEAR, SEGMENT_NAMES, TRANSACTION_COLUMNS
 from ledgerflow.jobs import runs
 from ledgerflow.operators import evaluation, explain, features, model, network, scaling, segments, split
 from ledgerflow.sources import sinks
 from ledgerflow.sources.storage import shared_path, written
-from ledgerflow.sources.transactions import derived, fingerprint, from_events, read_csv
+from ledgerflow.sources.transactions import derived, fingerprint, from_events, guard_size, read_csv
 
 BUDGET, FRACTION, PLACES = 100, 0.7, 6
 COUNTS = [c for c in FEATURE_COLUMNS if c.endswith(("count", "parties", "banks", "hours"))]
@@ -36,17 +36,29 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shares(rows: DataFrame, column: str, last: Column, name: str) -> DataFrame:
-    """rows with the share of the segment's training values that are at most the row's, by running counts of distinct values."""
+    """rows with the share of the segment's training values that are at most the row's, by running counts of distinct values.
+
+    Values are dealt to ranges; counts run inside a range, after those of the ranges before, so no segment is one task.
+    """
     per = rows.groupBy("cluster", column).agg(F.count_if(F.col("date") <= last).alias("n"))
-    run = per.withColumn("upto", F.sum("n").over(Window.partitionBy("cluster").orderBy(column))).withColumn("all", F.sum("n").over(Window.partitionBy("cluster")))
-    return rows.join(run.select("cluster", column, F.coalesce(F.try_divide(F.col("upto").cast("double"), "all"), F.lit(0.0)).alias(name)), ["cluster", column])
+    per = written(per.repartitionByRange("cluster", column).withColumn("part", F.spark_partition_id()))
+    down = Window.partitionBy("cluster").orderBy("part")
+    totals = per.groupBy("cluster", "part").agg(F.sum("n").alias("m"))  # a row for each range and segment
+    totals = totals.select("cluster", "part", (F.sum("m").over(down) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy("cluster")).alias("all"))
+    inside = F.sum("n").over(Window.partitionBy("cluster", "part").orderBy(column))
+    run = per.join(F.broadcast(totals), ["cluster", "part"]).select("cluster", column, F.coalesce(F.try_divide((F.col("before") + inside).cast("double"), "all"), F.lit(0.0)).alias(name))
+    return rows.join(run, ["cluster", column])
+
+
+def clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
+    """Account-days with the stand-in cluster, and the cutoff."""
+    f = written(days(spark, sf_dir), "features")
+    return f.withColumn("cluster", F.expr("case when total_tx_count >= 5 then 0 when flow_ratio > 1 then 1 when flow_ratio < -1 then 2 else 3 end")), split.cutoff(f, FRACTION)
 
 
 def stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account-days with stand-in cluster, percentiles, risk and the cutoff."""
-    f = written(days(spark, sf_dir), "features")
-    cut = split.cutoff(f, FRACTION)
-    rows = f.withColumn("cluster", F.expr("case when total_tx_count >= 5 then 0 when flow_ratio > 1 then 1 when flow_ratio < -1 then 2 else 3 end"))
+    rows, cut = clustered(spark, sf_dir)
     rows = shares(shares(rows, "total_value", F.lit(cut), "anomaly_percentile"), "total_tx_count", F.lit(cut), "cluster_distance_percentile")
     return rows.withColumn("risk_score", model.risk(F.col("anomaly_percentile"), F.col("cluster_distance_percentile"))).withColumn("cutoff", F.lit(cut))
 
@@ -114,19 +126,27 @@ def _round(*columns: str) -> str:
 ALL_TX = ", ".join(TRANSACTION_COLUMNS)
 
 
-@query("S1_read_csv", f"with {TX} select {ALL_TX} from tx")
+@query("S1_read_csv", f"with {TX} select {ALL_TX.replace('timestamp', 'date_trunc(\'minute\', timestamp) as timestamp')} from tx")
 def s1(spark, sf_dir):
-    """Write the transfers as a raw CSV, header trap and slash times included, and read them."""
+    """Write the transfers as a raw CSV with slash times and a second Account (with a blank behind it, as Spark writes no name twice), and read them."""
     path = shared_path(spark, "raw")
-    raw = transfers(spark, sf_dir).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    names = ["Timestamp", "From Bank", "Account", "To Bank", "Account.1", "Amount Received", "Receiving Currency", "Amount Paid", "Payment Currency", "Payment Format", "Is Laundering"]
+    raw = transfers(spark, sf_dir).withColumn("timestamp", F.date_format("timestamp", "yyyy/MM/dd HH:mm"))
+    names = ["Timestamp", "From Bank", "Account", "To Bank", "Account ", "Amount Received", "Receiving Currency", "Amount Paid", "Payment Currency", "Payment Format", "Is Laundering"]
     raw.toDF(*names).write.csv(path, header=True)
     return read_csv(spark, path)
 
 
-@query("S9_fingerprint")
+@query("S8_guarded_rows", f"with {TX} select count(*) as transactions from tx")
+def s8(spark, sf_dir):
+    """The rows that the size guard lets through, with a limit that these tables pass."""
+    return spark.createDataFrame([(guard_size(transfers(spark, sf_dir), least=100),)], "transactions long")
+
+
+@query("S9_fingerprint", f"with {TX} select count(*) as n_rows, (select count(distinct ({ALL_TX})) from tx) as n_distinct from tx")
 def s9(spark, sf_dir):
-    return fingerprint(transfers(spark, sf_dir))
+    """The fingerprint's rows beside the distinct ones; that its hash does not depend on order is tested."""
+    t = transfers(spark, sf_dir)
+    return fingerprint(t).select("n_rows").crossJoin(t.distinct().agg(F.count("*").alias("n_distinct")))  # one row each
 
 
 @query("P4_times", f"with {TX} select strftime(timestamp, '%Y/%m/%d %H:%M') as written, date_trunc('minute', timestamp) as read, count(*) as n from tx group by all")
@@ -231,7 +251,11 @@ def f4(spark, sf_dir):
     return rounded(scaling.prepare(days(spark, sf_dir)))
 
 
-@query("F5_money_text")
+def _money_sql(x: str) -> str:
+    return f"case when abs({x}) >= 1e6 then '$' || format('{{:,.1f}}', {x} / 1e6) || 'M' when abs({x}) >= 1e3 then '$' || format('{{:,.1f}}', {x} / 1e3) || 'K' else '$' || format('{{:,.0f}}', {x}) end"
+
+
+@query("F5_money_text", f"with {F_} select case_id, {_money_sql('cast(total_value as double)')} as value_text, {_money_sql('(cast(out_max as double) * 1000)')} as large_text from f")
 def f5(spark, sf_dir):
     return days(spark, sf_dir).select("case_id", explain.money_text(F.col("total_value")).alias("value_text"), explain.money_text(F.col("out_max") * 1000).alias("large_text"))
 
@@ -291,7 +315,11 @@ def m1(spark, sf_dir):
 
 @query("W4_ecdf", f"with {SCORED} select case_id, {_round('anomaly_percentile', 'cluster_distance_percentile')} from s")
 def w4(spark, sf_dir):
-    return rounded(stand_in(spark, sf_dir).select("case_id", "anomaly_percentile", "cluster_distance_percentile"))
+    """By the model's own references and percentile function: exact up to model.GRID training rows a segment."""
+    rows, cut = clustered(spark, sf_dir)
+    rows = written(rows.withColumns({"value": F.col("total_value").cast("double"), "times": F.col("total_tx_count").cast("double")}))
+    refs = model.references(rows.where(F.col("date") <= F.lit(cut)), ["value", "times"])
+    return rounded(rows.select("case_id", model.ecdf(rows, "value", refs["value"]).alias("anomaly_percentile"), model.ecdf(rows, "times", refs["times"]).alias("cluster_distance_percentile")))
 
 
 @query("M6_risk", f"with {SCORED} select case_id, cluster, risk_score from s")
@@ -398,13 +426,25 @@ def u3(spark, sf_dir):
     return segments.profiles(late(spark, sf_dir)).select("cluster", "cases", F.row_number().over(Window.orderBy("cases", "cluster")).alias("place"))
 
 
-@query("M11_segment_names")
+def names_sql(rows: str) -> str:
+    """Views pr and nm(cluster, cluster_name): each segment's name by the greedy rule, from the profiles of some rows."""
+    each = " union all ".join(f"select cluster, {c} as v, '{c}' as m, '{high}' as high, '{low}' as low from pr" for c, high, low in SEGMENT_NAMES)
+    return f"""{PROFILE_SQL.replace(' from e ', f' from {rows} ')}, nv as ({each}),
+ns as (select m, median(v) as mid, coalesce(nullif(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 0), nullif(stddev_samp(v), 0), 1) as spread from nv group by m),
+nz as (select cluster, (v - mid) / spread as z, case when (v - mid) / spread >= 0 then high else low end as name from nv join ns using (m)),
+nl as (select cluster, list(name order by abs(z) desc, name desc) as names, max(abs(z)) as top from nz group by cluster),
+no_ as (select *, row_number() over (order by top desc, cluster) as i from nl),
+nm(i, cluster, cluster_name, used) as (select i, cluster, names[1], [names[1]] from no_ where i = 1
+  union all select o.i, o.cluster, coalesce(list_filter(o.names, lambda x: not list_contains(r.used, x))[1], o.names[1]), list_append(r.used, coalesce(list_filter(o.names, lambda x: not list_contains(r.used, x))[1], o.names[1])) from nm r join no_ o on o.i = r.i + 1)"""
+
+
+@query("M11_segment_names", f"with recursive {SCORED}, {names_sql('e')} select cluster, cases, cluster_name from pr join nm using (cluster)")
 def m11(spark, sf_dir):
     p = written(segments.profiles(late(spark, sf_dir)))
     return segments.named(p.select("cluster", "cases"), segments.name_table(spark, segments.segment_names(p.collect())))
 
 
-@query("J6_named_cases")
+@query("J6_named_cases", f"with recursive {SCORED}, {names_sql('e')} select case_id, cluster, cluster_name from e join nm using (cluster)")
 def j6(spark, sf_dir):
     rows = written(late(spark, sf_dir))
     names = segments.name_table(spark, segments.segment_names(segments.profiles(rows).collect()))
@@ -435,12 +475,36 @@ def m8(spark, sf_dir):
     return f.select("case_id", F.posexplode("factors").alias("n", "x")).select("case_id", (F.col("n") + 1).alias("n"), "x.feature", (F.round("x.deviation", 4) + F.lit(0.0)).alias("deviation"))
 
 
-@query("M9_factor_texts")
+def texts_sql(rows: str) -> str:
+    """View tx9(case_id, alert_reason, alert_factors) of some rows, from their three largest deviations."""
+    percent, share = "format('{{:,.0f}}', {} * 100) || '%'", []
+    for i, (c, label, _, kind) in enumerate(explain.FEATURES):
+        v, m = f"cast(k.{c} as double)", "b.median"
+        if kind == "share":
+            text = f"cast(cast(round_even({v} * k.out_tx_count, 0) as bigint) as varchar) || ' of ' || k.out_tx_count || ' outgoing ' || case when k.out_tx_count = 1 then 'transaction' else 'transactions' end || ' (' || {percent.format(v)} || ') vs segment median ' || {percent.format(m)} || case when k.out_tx_count < 3 then '; limited sample' else '' end"
+        else:
+            sign, d = {"money": ("$", 2), "count": ("", 0)}.get(kind, ("", 2))
+            text = f"'{sign}' || format('{{:,.{d}f}}', {v}) || ' vs segment median {sign}' || format('{{:,.{d}f}}', {m})"
+        share.append(f"select k.case_id, {i} as place, '{c}' as feature, case when {'k.out_tx_count = 0' if c in explain.SHARES else 'false'} then '-infinity'::double else abs(({v} - b.median) / b.scale) end as dev, 'Unusual {label}: ' || {text} as words from {rows} k join b on b.cluster = k.cluster and b.feature = '{c}'")
+    return f"""b as ({BASE_SQL}), dv as ({' union all '.join(share)}), g1 as (select *, {GROUP_SQL} as grp from dv), g2 as (select * from g1 qualify row_number() over (partition by case_id, grp order by dev desc, place) = 1),
+g3 as (select *, row_number() over (partition by case_id order by dev desc, place) as n from g2), tx9 as (select case_id, max(words) filter (where n = 1) as alert_reason, string_agg(words, ' • ' order by n) as alert_factors from g3 where n <= 3 group by case_id)"""
+
+
+@query("M9_factor_texts", f"with {TOP}, {texts_sql('k')} select * from tx9")
 def m9(spark, sf_dir):
     rows, base = _explained(spark, sf_dir)
     return explain.explained(evaluation.queue(rows.where("date > cutoff"), BUDGET), base).select("case_id", "alert_reason", "alert_factors")
 
 
+@query("S2_scored_cases", f"with {SCORED}, {texts_sql('s')} select case_id, date, account_id, cluster, risk_score, alert_reason, alert_factors from s join tx9 using (case_id)")
+def s2(spark, sf_dir):
+    """All scored rows with reason and factors, written by date and read back."""
+    rows, base = _explained(spark, sf_dir)
+    path = shared_path(spark, "scored")
+    sinks.write_scored(explain.explained(rows, base), path)
+    return spark.read.parquet(path).select("case_id", F.col("date").cast("date").alias("date"), "account_id", "cluster", "risk_score", "alert_reason", "alert_factors")
+
+
 @query("P10_chosen_segments", f"with {SCORED} select case_id, cluster from e where cluster in (0, 1)")
 def p10(spark, sf_dir):
     return late(spark, sf_dir).where(F.col("cluster").isin([0, 1])).select("case_id", "cluster")
@@ -576,10 +640,71 @@ def b2(spark, sf_dir):
     return runs.run_benchmark(transfers(spark, sf_dir), shared_path(spark, "bench"), check_size=False)
 
 
-@query("B3_console")
+def _console(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return runs.console_tables(transfers(spark, sf_dir), written(stand_in(spark, sf_dir)), BUDGET)
+
+
+@query("B3_console", f"with recursive {TOP}, {names_sql('s')} select rank, case_id, cluster_name, risk_score from k join nm using (cluster)")
 def b3(spark, sf_dir):
-    """The console's queue on the stand-in scores."""
-    return runs.console_tables(transfers(spark, sf_dir), written(stand_in(spark, sf_dir)), BUDGET)["queue"].select("rank", "case_id", "cluster_name", "risk_score")
+    """The console's queue on the stand-in scores, with names from the profiles of all rows."""
+    return _console(spark, sf_dir)["queue"].select("rank", "case_id", "cluster_name", "risk_score")
+
+
+@query("B3_profiles", f"with recursive {SCORED}, {names_sql('s')} select cluster, cluster_name, cases, {_round(*MEDIANS)} from pr join nm using (cluster)")
+def b3_profiles(spark, sf_dir):
+    return rounded(_console(spark, sf_dir)["profiles"].select("cluster", "cluster_name", "cases", *MEDIANS))
+
+
+@query("B3_metrics", METRICS_SQL)
+def b3_metrics(spark, sf_dir):
+    return rounded(_console(spark, sf_dir)["metrics"])
+
+
+@query("B3_curve", f"{CURVE_SQL} select capacity, hits, {_round('precision', 'recall', 'lift')}, detected_value from v")
+def b3_curve(spark, sf_dir):
+    return rounded(_console(spark, sf_dir)["curve"])
+
+
+@query("B3_nodes", SQL["N2_ego_nodes"])
+def b3_nodes(spark, sf_dir):
+    return _console(spark, sf_dir)["nodes"]
+
+
+@query("B3_edges", SQL["N1_ego_edges"])
+def b3_edges(spark, sf_dir):
+    return _console(spark, sf_dir)["edges"]
+
+
+@query("S6_capacity_curve", SQL["K4_curve"])
+def s6(spark, sf_dir):
+    """The curve as a CSV in two folders; the second is read back."""
+    one, two = shared_path(spark, "curve"), shared_path(spark, "report")
+    sinks.write_small_csv(k4(spark, sf_dir).orderBy("capacity"), one, two)
+    return sinks.read_small_csv(spark, two, "capacity int, hits long, precision double, recall double, lift double, detected_value double")
+
+
+@query("S6_profiles", f"with recursive {SCORED}, {names_sql('e')} select cluster, cluster_name, cases, {_round(*MEDIANS)} from pr join nm using (cluster)")
+def s6_profiles(spark, sf_dir):
+    path = shared_path(spark, "profiles")
+    found = rounded(runs.named_profiles(written(late(spark, sf_dir))).select("cluster", "cluster_name", "cases", *MEDIANS))
+    sinks.write_small_csv(found.orderBy("cluster"), path)
+    return sinks.read_small_csv(spark, path, found.schema)
+
+
+@query(
+    "S7_summary",
+    METRICS_SQL.replace(" from tot, h, ap", f""", (select count(*) from t) as transactions, {', '.join(f"(select {f} from s where date {'<=' if p == 'train' else '>'} cutoff) as {p}_{n}" for p in ('train', 'evaluation') for n, f in (('first_date', 'min(date)'), ('last_date', 'max(date)'), ('cases', 'count(*)')))}, least(25, cases // 10) as n_capacities from tot, h, ap"""),
+)
+def s7(spark, sf_dir):
+    """The benchmark's summary of the stand-in scores, written as JSON and read back (S10); the list of capacities by its length."""
+    rows = written(stand_in(spark, sf_dir))
+    cut = split.cutoff(rows, FRACTION)
+    late_rows = written(split.evaluation_rows(rows, cut))
+    curve = evaluation.capacity_curve(late_rows, budgets_of(late_rows))
+    found = runs.summary(transfers(spark, sf_dir).count(), rows, cut, written(evaluation.metrics(late_rows, BUDGET)), curve)
+    path = shared_path(spark, "summary")
+    sinks.write_json(found, path)
+    return rounded(sinks.read_json(spark, path, found.schema).withColumn("n_capacities", F.size("capacity_results").cast("long")).drop("capacity_results"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

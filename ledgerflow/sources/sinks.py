@@ -24,5 +24,9 @@ def write_small_csv(df: DataFrame, *paths: str) -> None:
         df.coalesce(1).write.csv(path, header=True)
 
 
-def read_small_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def read_small_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)

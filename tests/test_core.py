@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow import queries as core
 from ledgerflow.functions.schema import FEATURE_COLUMNS, SEGMENT_NAMES, TRANSACTION_COLUMNS
+from ledgerflow.jobs import runs
 from ledgerflow.operators import evaluation, explain, features, model, network, segments, split
 from ledgerflow.sources import transactions
 
@@ -144,3 +145,48 @@ def test_partitions_do_not_matter(spark):
     first = sorted(map(tuple, core.rounded(features.account_days(t)).collect()))
     assert first == sorted(map(tuple, core.rounded(features.account_days(t.repartition(7))).collect()))
     assert t.columns == TRANSACTION_COLUMNS
+
+
+def test_size_guard_and_missing_file(spark, day, tmp_path):
+    with pytest.raises(ValueError, match="at least 5000000"):
+        transactions.guard_size(day)
+    assert transactions.guard_size(day, least=4) == 4
+    with pytest.raises(ValueError, match="transactions"):
+        runs.run_benchmark(day, str(tmp_path / "out"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        transactions.read_csv(spark, str(tmp_path / "none.csv")).count()
+
+
+def test_fingerprint_has_no_order(day):
+    rows = [transactions.fingerprint(d).first() for d in (day, day.orderBy(F.desc("timestamp")).repartition(3), day.union(day))]
+    assert rows[0] == rows[1] != rows[2]
+
+
+def test_references_are_exact_where_they_fit(spark):
+    d = spark.createDataFrame([(k % 2, float((k * 37) % 101)) for k in range(200)] + [(3, 5.0)], "cluster int, x double")
+    got = model.references(d, ["x"], grid=150)["x"]
+    assert got[0].tolist() == sorted(float((k * 37) % 101) for k in range(0, 200, 2)) and got[3].tolist() == [5.0]
+    assert len(model.references(d, ["x"], grid=50)["x"][0]) == 50
+    shares = d.select("cluster", "x", model.ecdf(d, "x", got).alias("s")).collect()
+    assert all(r["s"] == pytest.approx(sum(y <= r["x"] for y in got[r["cluster"]]) / len(got[r["cluster"]])) for r in shares)
+
+
+def test_model_jobs(spark, tmp_path):
+    """Trees of all rows; scores alike with and without explanations, after saving, and in any partitioning; texts with three factors."""
+    f = core.written(core.days(spark, "/root/testdata/sf0.001"))
+    train = split.train_rows(f, split.cutoff(f))
+    with pytest.raises(ValueError, match="rows"):
+        model.fit(train.limit(20), k=5)
+    fitted = model.fit(train, k=3, starts=2)
+    scored = fitted.score(f)
+    rows = {r["case_id"]: r for r in scored.collect()}
+    assert len(rows) == f.count() and all(0 <= r["risk_score"] <= 100 and r["cluster"] in range(3) for r in rows.values())
+    told = explain.explained(scored, fitted.baseline).collect()
+    assert all(r["risk_score"] == rows[r["case_id"]]["risk_score"] and len(r["alert_reason"]) > 10 and r["alert_factors"].count(" \u2022 ") == 2 for r in told)
+    fitted.save(spark, str(tmp_path / "model"))
+    again = model.RiskModel.load(spark, str(tmp_path / "model")).score(f.repartition(5)).collect()
+    assert {r["case_id"]: r["risk_score"] for r in again} == {i: r["risk_score"] for i, r in rows.items()}
+    used = fitted.trees.groupby("scope")["tree"].nunique()
+    assert used[-1] == model.GLOBAL_TREES and all(fitted.sizes[s] <= model.SAMPLE for s in used.index)
+    axes = np.array(fitted.axes)
+    assert np.allclose(axes @ axes.T, np.eye(2), atol=1e-6) and all(a[np.abs(a).argmax()] > 0 for a in axes)
