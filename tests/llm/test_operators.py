@@ -456,6 +456,13 @@ def test_main_text_of_odd_pages():
     assert extract.main_text("<div hidden>a</div><form>b</form><!-- c") == ""
 
 
+def test_main_texts_of_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>One &amp; two"), (1, "u", "<p>One &amp; two"), (None, None, None), (2, "", "")], "page_id long, url string, html string").selectExpr("*", "'x' as text", "7 as n_chars")
+    got = sorted((str(r["page_id"]), str(r["url"]), r["text"], r["n_chars"]) for r in extract.main_texts(pages).collect())
+    assert got == [("1", "u", "One & two", 9)] * 2 + [("2", "", "", 0), ("None", "None", "", 0)]
+    assert extract.main_texts(pages.limit(0)).count() == 0
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 16))
@@ -475,6 +482,11 @@ def test_vectors(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.linked_vectors(d).collect()}
     assert got == want
     assert vectors.linked_vectors(d.limit(0)).count() == 0
+    # repeated rows are vectors each; clashing names and a null id do no harm
+    few = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.99, 0.01]), (3, [0.0, 1.0]), (None, [-1.0, 0.0])], d.schema)
+    few = few.selectExpr("*", *(f"1 as {c}" for c in ("key", "n", "least", "v", "shard", "kept", "n_links")))
+    links = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in vectors.linked_vectors(few).collect())
+    assert links == [("1", 2, "1", True), ("1", 2, "1", True), ("2", 2, "1", False), ("3", 0, "3", True), ("None", 0, "None", True)]
 
 
 def test_vector_audit_and_lengths(spark):
