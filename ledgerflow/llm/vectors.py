@@ -44,6 +44,8 @@ PER_SHARD, MOST_SHARDS, SAMPLE, SAMPLE_NUMBERS = 500, 4096, 20_000, 16_000_000
 VISITS, CANDIDATES, DEGREE, ALPHA, BEAM, STEP = 6, 64, 24, 1.2, 48, 4
 #: Members of a tile, visitors of a tile, queries with true links of the recall audit, and the recall aimed at.
 BLOCK, VISITORS, AUDIT, TARGET = 4_000, 8_000, 256, 0.99
+#: Queries that walk a tile in step, times its members (about 11 bytes each).
+WALKS = 500_000
 #: Recall below which the result is refused, when all shards were visited.
 LEAST_RECALL = 0.9
 #: Audited first: the vec_ids divisible by this; queries tried at least before recall stays unmeasured or measured on fewer.
@@ -76,14 +78,15 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> l
     width = min(CANDIDATES, m - 1)
     if width < 1:
         return [np.zeros(0, np.int64)] * m
-    for lo in range(0, m, 256):
-        s = x[lo : lo + 256] @ x.T
+    size = max(1, min(256, 4_000_000 // (width * x.shape[1]), 4_000_000 // m))
+    for lo in range(0, m, size):
+        s = x[lo : lo + size] @ x.T
         rows = np.arange(len(s))
         s[rows, rows + lo] = -np.inf
         near = np.argpartition(-s, width - 1, axis=1)[:, :width]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
         far = 2 - 2 * np.take_along_axis(s, near, 1)
-        between = 2 - 2 * np.einsum("bid,bjd->bij", x[near], x[near])
+        between = 2 - 2 * x[near] @ x[near].transpose(0, 2, 1)
         alive, kept = np.ones_like(near, bool), np.zeros_like(near, bool)
         for _ in range(degree):
             any_, j = alive.any(1), alive.argmax(1)
@@ -100,32 +103,59 @@ def _csr(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], np.cumsum([len(a) for a in lists]))), np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
 
 
-def _neighbours(off: np.ndarray, to: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+def _neighbours(off: np.ndarray, to: np.ndarray, nodes: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """base[i] + neighbour for each edge of each nodes[i]."""
     size = off[nodes + 1] - off[nodes]
     ends = np.cumsum(size)
-    return np.unique(to[np.repeat(off[nodes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)])
+    return to[np.repeat(off[nodes] - (ends - size), size) + np.arange(ends[-1])] + np.repeat(base, size)
 
 
-def range_search(q: np.ndarray, x: np.ndarray, off: np.ndarray, to: np.ndarray, entry: list[int], limit: float) -> np.ndarray:
-    """The nodes found with cosine >= limit, by greedy search with a beam and then by expanding all nodes in range."""
-    score = np.full(len(x), -np.inf)
-    done = np.zeros(len(x), bool)
-    seen = np.array(sorted(set(entry)))
-    score[seen] = x[seen] @ q
+def _best(values: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest values of each row, in any order."""
+    return np.argpartition(-values, k - 1, axis=1)[:, :k] if values.shape[1] > k else np.broadcast_to(np.arange(values.shape[1]), values.shape)
+
+
+def range_search(q: np.ndarray, x: np.ndarray, off: np.ndarray, to: np.ndarray, entry: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of the nodes found with cosine >= limit, by greedy search with a beam and then by expanding all nodes in range.
+
+    The queries walk in step: each turn expands, for all of them at once, the best open nodes of each beam and every new
+    node in range. entry holds the nodes where each query starts; a negative one is none.
+    """
+    n, m = len(q), len(x)
+    score, done, unseen, met = np.full(n * m, -np.inf), np.zeros(n * m, bool), np.ones(n * m, bool), np.zeros(n * m, bool)
+    beam, beam_score = np.zeros((n, BEAM), np.int64), np.full((n, BEAM), -np.inf)
+    step = max(1, 1_000_000 // x.shape[1])
+    row, col = np.nonzero(entry >= 0)
+    new = np.unique(row * m + entry[row, col])
     while True:
-        top = seen[np.argpartition(-score[seen], BEAM - 1)[:BEAM]] if len(seen) > BEAM else seen
-        inside = seen[(score[seen] >= limit) & ~done[seen]]
-        left = top[~done[top]]
-        if not len(left) and not len(inside):
-            return np.flatnonzero(score >= limit)
-        if len(left) > STEP:
-            left = left[np.argpartition(-score[left], STEP - 1)[:STEP]]
-        go = np.union1d(left, inside)
+        if len(new):
+            unseen[new] = False
+            row, node = np.divmod(new, m)
+            for lo in range(0, len(new), step):
+                score[new[lo : lo + step]] = np.einsum("ij,ij->i", q[row[lo : lo + step]], x[node[lo : lo + step]])
+            # the new nodes meet the beams of their queries, a line for each query
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            size = np.diff(first, append=len(row))
+            line, at = np.repeat(np.arange(len(first)), size), np.arange(len(row)) - np.repeat(first, size)
+            fresh, fresh_score = np.zeros((len(first), size.max()), np.int64), np.full((len(first), size.max()), -np.inf)
+            fresh[line, at], fresh_score[line, at] = node, score[new]
+            active = row[first]
+            fresh, fresh_score = np.concatenate((beam[active], fresh), 1), np.concatenate((beam_score[active], fresh_score), 1)
+            top = _best(fresh_score, BEAM)
+            beam[active], beam_score[active] = np.take_along_axis(fresh, top, 1), np.take_along_axis(fresh_score, top, 1)
+        flat = np.arange(n)[:, None] * m + beam
+        left = np.where(done[flat], -np.inf, beam_score)
+        top = _best(left, STEP)
+        go = np.take_along_axis(flat, top, 1)[np.take_along_axis(left, top, 1) > -np.inf]
+        go = np.unique(np.concatenate((go, new[score[new] >= limit])))
+        if not len(go):
+            return np.divmod(np.flatnonzero(score >= limit), m)
         done[go] = True
-        new = _neighbours(off, to, go)
-        new = new[score[new] == -np.inf]
-        score[new] = x[new] @ q
-        seen = np.concatenate((seen, new))
+        node = go % m
+        new = _neighbours(off, to, node, go - node)
+        met[new[unseen[new]]] = True
+        new = np.flatnonzero(met)
+        met[new] = False
 
 
 def _local(x: np.ndarray, off: np.ndarray, to: np.ndarray, limit: float) -> np.ndarray:
@@ -185,16 +215,21 @@ def _search(limit: float) -> Callable:
         home, weight = members["home"].to_numpy(bool), members["n"].to_numpy(np.int64)
         label = _local(x, off, to, limit)
         medoid = int((x @ x.sum(0)).argmax())
-        q, names = unit(np.stack(visitors["v"])), visitors["key"].to_numpy(np.int64)
         found, touched = [], []
-        for k in range(len(q)):
-            at = int(np.searchsorted(key, names[k]))
-            own = at < len(key) and key[at] == names[k]
-            hit = range_search(q[k], x, off, to, [medoid, at] if own else [medoid], limit)
-            hit = hit[(key[hit] != names[k])]
-            found.append(int(weight[hit[home[hit]]].sum()))
-            touched.append(key[np.unique(label[hit])])
-        return pd.DataFrame({"key": names, "found": found, "touched": touched})
+        names, size = visitors["key"].to_numpy(np.int64), max(1, min(512, WALKS // len(x)))
+        for lo in range(0, len(names), size):
+            part = names[lo : lo + size]
+            own = np.minimum(np.searchsorted(key, part), len(key) - 1)
+            entry = np.stack((np.full(len(part), medoid), np.where(key[own] == part, own, -1)), 1)
+            of, hit = range_search(unit(np.stack(visitors["v"].iloc[lo : lo + size])), x, off, to, entry, limit)
+            other = key[hit] != part[of]
+            of, hit = of[other], hit[other]
+            count = np.zeros(len(part), np.int64)
+            np.add.at(count, of, np.where(home[hit], weight[hit], 0))
+            met, node = np.divmod(np.unique(of * len(x) + label[hit]), len(x))
+            found.append(count)
+            touched += np.split(key[node], np.searchsorted(met, np.arange(1, len(part))))
+        return pd.DataFrame({"key": names, "found": np.concatenate(found), "touched": touched})
 
     return search
 

@@ -463,6 +463,21 @@ def test_main_texts_of_rows(spark):
     assert extract.main_texts(pages.limit(0)).count() == 0
 
 
+def test_range_search_in_step():
+    """Queries that walk together find what each finds alone, and in a group denser than the beam all that is in range."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 12))
+    x[:90] = x[0] + 0.1 * rng.normal(size=(90, 12))
+    x = vectors.unit(x)
+    lists = vectors.robust_prune(x)
+    off, to = vectors._csr([np.unique(np.concatenate((a, [j for j, b in enumerate(lists) if i in b]))) for i, a in enumerate(lists)])
+    entry = np.stack((np.full(300, 17), np.where(np.arange(300) % 3, np.arange(300), -1)), 1)
+    of, hit = vectors.range_search(x, x, off, to, entry, 0.9)
+    for k in range(300):
+        assert (vectors.range_search(x[k : k + 1], x, off, to, entry[k : k + 1], 0.9)[1] == hit[of == k]).all()
+    assert {(a, b) for a, b in zip(of, hit) if a < 90 and a % 3} == {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.9)) if a < 90 and a % 3}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 16))
