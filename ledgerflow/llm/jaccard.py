@@ -9,7 +9,9 @@ that pass are checked exactly on the sorted arrays of 64-bit shingle hashes.
 Candidates: two sets with Jaccard >= 0.8 share at least 3 of their 20 smallest hashes, for sets of up to 20
 shingles always, for larger ones but for a chance of 4e-11 a pair (P[Binomial(20, 0.8) <= 2]); there is no cap.
 Groups of near copies are first linked to one leader for each tile; the pairs of a tile are looked at
-only where its members are not yet in one component, so a large group costs links in proportion to its size.
+only where its members are not yet in one component, so a large group costs links in proportion to its size. The
+members of tiles larger than TILE meet by their rarest shingles instead (exact, no chance of a miss), so a passage that very many unlike
+documents hold brings no two of them together.
 Every pair, a leader's too, passes the bitmap bound before its arrays are fetched.
 
 Defined cases: null or blank texts have no shingles, n_shingles 0, and are a component of their own; a text of
@@ -39,6 +41,8 @@ SMALLEST, SHARED, LANES = 20, 3, 16
 BITS = 64 * LANES
 #: Further rounds of leaders (each costs a pass over the open tiles) while the pairs of open tiles exceed OPEN a member, and leaders a tile in each.
 ROUNDS, OPEN, LEADERS = 2, 8, 8
+#: Members of a tile that are still joined pair by pair; those of larger ones meet by their rarest shingles.
+TILE = 200
 
 
 def _sets(c: tx.Chunk) -> Iterator[np.ndarray]:
@@ -115,6 +119,19 @@ def _fits(a: str, b: str):
     return (100 * F.col(a) >= THRESHOLD * F.col(b)) & (100 * F.col(b) >= THRESHOLD * F.col(a))
 
 
+def _rarest(sets: DataFrame) -> DataFrame:
+    """(node, s): of the rarest shingles of each set, as many as leave less than the threshold of the set, those that another set has too.
+
+    Two similar sets share one of them: the order (number of sets, hash) is the same for all, and the rest of either set is too small to hold what they share.
+    """
+    each = saved(sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("s")))
+    held = each.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
+    shared = each.join(held, "s").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("by"))
+    # those that no other set has come first, and take their places
+    places = F.expr(f"size * {100 - THRESHOLD} div 100 + 1 - (size - size(by))").cast("int")
+    return shared.where(places > 0).select("node", F.explode(F.slice("by", F.lit(1), places)).alias("x")).select("node", "x.s")
+
+
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row per row of docs: k_id, k_row, doc_id, node, n; node -> component of the linked classes)."""
     rows = saved(in_arrow(_keyed(docs), _sketch, "k_id bigint, k_row bigint, doc_id bigint, node bigint, n bigint, least array<bigint>, lanes array<bigint>"))
@@ -176,8 +193,17 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         chosen = left.join(least, ["h", "band"]).where(reduce(or_, (x == F.col(f"l{k}") for k, x in enumerate(order)))).select(*left.columns)
         links = saved(links.unionByName(verified(proposed(left.alias("a").join(chosen.alias("b"), may)))))
         left = open_tiles(components(links))
-    # the rest: all pairs of open tiles that the sizes and the bitmaps allow
-    pairs = proposed(left.alias("a").join(left.alias("b"), may & (F.col("a.node") < F.col("b.node"))))
+    # the rest: the pairs of open tiles that the sizes and the bitmaps allow; where a tile is large its members meet by their rarest shingles instead
+    large = saved(left.groupBy("h", "band").agg(F.count("*").alias("m")).where(F.col("m") > TILE).select("h", "band"))
+    if large.isEmpty():
+        pairs = proposed(left.alias("a").join(left.alias("b"), may & (F.col("a.node") < F.col("b.node"))))
+    else:
+        few = saved(left.join(small(large), ["h", "band"], "left_anti"))
+        many = saved(left.join(small(large), ["h", "band"], "left_semi").drop("h", "band", "own").dropDuplicates(["node"]))
+        met = saved(many.join(_rarest(arrays.join(small(many.select("node")), "node", "left_semi")), "node"))
+        rare = met.alias("a").join(met.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & _fits("a.n", "b.n") & bound)
+        pairs = proposed(few.alias("a").join(few.alias("b"), may & (F.col("a.node") < F.col("b.node")))).select("a", "b")
+        pairs = saved(pairs.union(rare.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))).distinct())
     return rows.select("k_id", "k_row", "doc_id", "node", "n"), components(links.unionByName(verified(pairs)))
 
 

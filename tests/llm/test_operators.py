@@ -463,6 +463,32 @@ def test_main_texts_of_rows(spark):
     assert extract.main_texts(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [4, 200])
+def test_jaccard_boilerplate(spark, tile, monkeypatch):
+    """Unlike documents that share a long passage, with near copies at every distance around the limit among them, whatever the tile size from which the rarest shingles decide."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    calls, plain = [], jaccard._rarest
+    monkeypatch.setattr(jaccard, "_rarest", lambda sets: calls.append(1) or plain(sets))
+    rng = np.random.default_rng(9)
+    passage = [f"p{k}" for k in range(40)]
+    rows = []
+    for k in range(60):
+        own = [f"w{x}" for x in rng.integers(0, 10**9, 30)]
+        rows.append(passage + own)
+        if k % 2:
+            rows.append(passage + own[: int(rng.integers(12, 30))])
+    table = [(k, " ".join(w), "x") for k, w in enumerate(rows)]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in rows]
+    label = list(range(len(rows)))
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in range(6):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link_components(spark.createDataFrame(table, "doc_id long, text string, source string")).collect()}
+    assert got == dict(enumerate(label)) and 5 < len(pairs) and len(calls) == (tile == 4)
+
+
 def test_range_search_in_step():
     """Queries that walk together find what each finds alone, and in a group denser than the beam all that is in range."""
     rng = np.random.default_rng(5)
