@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import bpe, extract, jaccard, licenses, linefreq, packing, quality, secretscan, suffix, vectors
+from ledgerflow.llm import bpe, collocations, extract, importance, jaccard, licenses, linefreq, packing, pieces, quality, secretscan, suffix, vectors
 from ledgerflow.llm._spark import table
 
 
@@ -58,6 +58,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc.doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), "text")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality_rules, op2_bpe_coding, op3_vector_dedup, op4_main_text, op5_ngram_jaccard, op6_secret_scan, op7_license_scan, op8_best_two_fit, op9_suffix_dedup, op10_line_dedup)
+    ops = (op1_quality_rules, op2_bpe_coding, op3_vector_dedup, op4_main_text, op5_ngram_jaccard, op6_secret_scan, op7_license_scan, op8_best_two_fit, op9_suffix_dedup, op10_line_dedup, op11_importance_resampling, op12_piece_coding, op13_collocations)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
@@ -124,6 +136,24 @@ k as (select doc_id, string_split(text, chr(10)) as a, case when drop_lines is n
 select doc_id, cast(coalesce(len(a), 0) as bigint) as n_lines, cast(coalesce(len(a) - len(b), 0) as bigint) as n_dropped, cast(len(array_to_string(b, chr(10))) as bigint) as n_chars, array_to_string(b, chr(10)) as text from k
 """
 
+OP13 = f"""
+with p as (select row_number() over () as p, lang, p as text from (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\n\v\f\r]')) as p from documents)),
+w as (select p, lang, unnest(ws) as w, unnest(range(len(ws))) as i from (select p, lang, regexp_extract_all(text, '[^ \t]+') as ws from p)),
+t as (select lang, w as w1, lead(w, 1) over (partition by p order by i) as w2, lead(w, 2) over (partition by p order by i) as w3 from w),
+f1 as (select lang, w1, count(*) as f from t group by all),
+f2 as (select lang, w1, w2, count(*) as f from t where w2 is not null group by all having count(*) >= {collocations.LEAST}),
+f3 as (select lang, w1, w2, w3, count(*) as f from t where w3 is not null group by all having count(*) >= {collocations.LEAST}),
+long as (select lang, w1, w2, max(f) as f from (select lang, w1, w2, f from f3 union all select lang, w2, w3, f from f3) group by all),
+cut as (select c.lang, c.w1 || ' ' || c.w2 as phrase, 1 as j, c.f as a, l.f as l, r.f as r from f2 c join f1 l on l.lang = c.lang and l.w1 = c.w1 join f1 r on r.lang = c.lang and r.w1 = c.w2 left join long g on g.lang = c.lang and g.w1 = c.w1 and g.w2 = c.w2 where g.f is null or 100 * g.f < {collocations.SHARE} * c.f
+  union all select c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 1, c.f, l.f, r.f from f3 c join f1 l on l.lang = c.lang and l.w1 = c.w1 join f2 r on r.lang = c.lang and r.w1 = c.w2 and r.w2 = c.w3
+  union all select c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 2, c.f, l.f, r.f from f3 c join f2 l on l.lang = c.lang and l.w1 = c.w1 and l.w2 = c.w2 join f1 r on r.lang = c.lang and r.w1 = c.w3),
+sc as (select *, (1000000::hugeint * a * a) // (l::hugeint * r) as score from cut),
+low as (select * from sc qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+n as (select lang, sum(f) as n from f1 group by lang),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from low)
+select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score from o join n using (lang) where rank <= {collocations.TOP}
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op3_vector_dedup": OP3, "op5_ngram_jaccard": OP5, "op10_line_dedup": OP10}
+    return {"op1_quality_rules": OP1, "op3_vector_dedup": OP3, "op5_ngram_jaccard": OP5, "op10_line_dedup": OP10, "op13_collocations": OP13}
