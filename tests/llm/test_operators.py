@@ -456,6 +456,59 @@ def test_main_text_of_odd_pages():
     assert extract.main_text("<div hidden>a</div><form>b</form><!-- c") == ""
 
 
+PROSE = [f"Sentence {k}, with commas, and enough words to count as the text of an article. " * 4 for k in range(6)]
+
+
+def page_of(parts, around="<nav><a href=x>one</a></nav>{}<footer>f</footer>"):
+    """(page, text) of blocks (html of a block, its text or None)."""
+    return "<body>" + around.format("".join(h for h, _ in parts)) + "</body>", "\n".join(" ".join(t.split()) for _, t in parts if t)
+
+
+def article_parts(rng):
+    """Blocks of an article in any order, with furniture among them, by a table of what is kept."""
+    main = ("<div>" + "".join(f"<p>{p}</p>" for p in PROSE) + "</div>", "\n".join(p.strip() for p in PROSE))
+    kept = [("<ul><li>first</li><li>second <a href=x>link</a></li></ul>", "first\nsecond link"), ("<table><tr><th>a</th><td>1</td></tr></table>", "a\n1"), ("<pre>x = 1</pre><p>As shown.</p>", "x = 1\nAs shown."), ("<h2>Part two</h2>", "Part two"), ("<section><h3>Notes</h3><p>Short.</p></section>", "Notes\nShort."), ('<p class="side note">Aside.</p>', "Aside."), ('<div class="related-work">Others did it.</div>', "Others did it."), ("<blockquote><blockquote><blockquote><p>Quoted thrice</p></blockquote></blockquote></blockquote>", "Quoted thrice"), ("<dl><dt>term</dt><dd>meaning</dd></dl>", "term\nmeaning"), ("<figure><figcaption>Caption</figcaption></figure>", "Caption"), ("<ol><li>1<ol><li>2</li></ol></li></ol>", "1\n2")]
+    gone = ['<div class="ad">Buy, buy, and buy.</div>', '<div class="share-buttons">Tell friends</div>', '<ul class="related-posts"><li><a href=x>a</a></li></ul>', "<ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>More</a></ul>", '<div id="comments"><article><p>I think, so, and so.</p></article></div>', "<aside>fact</aside>", '<section class="newsletter-signup"><p>Subscribe, now, please.</p></section>', "<form>a <input></form>", "<article><p>me, too, I say</p></article>", '<div class="cookie-notice">We use cookies.</div>', "<script>x('</p>')</script><style>p{}</style>"]
+    parts = rng.sample(kept, rng.randrange(len(kept))) + [(g, None) for g in rng.sample(gone, rng.randrange(len(gone)))]
+    parts.insert(rng.randrange(len(parts) + 1), main)
+    rng.shuffle(parts)
+    return parts
+
+
+def lines(text):
+    return [" ".join(x.split()) for x in text.split("\n")]
+
+
+@pytest.mark.parametrize("around", ["<nav><a href=x>one</a></nav><article>{}</article><footer>f</footer>", "<header>Site</header><main>{}</main><div class=sidebar>s, s, s</div>", "<form><div class=page><article class='post no-nav'>{}</article></div></form>"])
+def test_main_text_keeps_all_of_an_article(around):
+    """Lists, tables, code, sections, headings and notes before and after the main part stay in page order; adverts, menus, comments and forms among them go."""
+    rng = random.Random(around)
+    for _ in range(300):
+        parts = article_parts(rng)
+        page, _ = page_of(parts, around)
+        assert lines(extract.main_text(page)) == [y for _, t in parts if t for y in lines(t)], page
+
+
+def test_main_text_without_an_article_element():
+    body = "".join(f"<p>{p}</p>" for p in PROSE)
+    page = f"<body><div id=page><div class=logo>My site</div><div class=story><h1>Title</h1><div>{body}</div><ul><li>a<li>b</ul><h2>On</h2><div><p>{PROSE[0]}</p></div><table><tr><td>1</table></div><div class=comments>c, c, c</div></div></body>"
+    want = ["Title", *(p.strip() for p in PROSE), "a", "b", "On", PROSE[0].strip(), "1"]
+    assert extract.main_text(page).split("\n") == want
+
+
+def test_main_text_of_any_nesting():
+    """Random trees of tags, closed or not: no exception, no markup in the text, each line of the text in the page, in order."""
+    rng = random.Random(3)
+    tags = sorted(extract.BLOCK | {"a", "b", "span", "article", "main", "br"} | extract.RAW)
+    for _ in range(3000):
+        page = "".join(rng.choice((f"<{t} class={rng.choice(('x', 'ad', 'post', 'comments'))}>", f"</{t}>", f"<{t}>w{k} ", f"w{k}, ")) for k, t in enumerate(rng.choices(tags, k=rng.randrange(1, 40))))
+        words = extract.main_text(page).split()
+        numbers = [int(re.sub(r"\D", "", w)) for w in words]
+        assert numbers == sorted(set(numbers))
+    for nest in (["blockquote"] * 3, ["li", "blockquote", "dd", "pre"], ["blockquote"] * 400):
+        assert extract.main_text("".join(f"<{t}>" for t in nest) + "<p>Hello</p>") == "Hello"
+
+
 def test_main_texts_of_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>One &amp; two"), (1, "u", "<p>One &amp; two"), (None, None, None), (2, "", "")], "page_id long, url string, html string").selectExpr("*", "'x' as text", "7 as n_chars")
     got = sorted((str(r["page_id"]), str(r["url"]), r["text"], r["n_chars"]) for r in extract.main_texts(pages).collect())
