@@ -22,7 +22,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +33,7 @@ from ledgerflow.operators.ranking import ranked
 #: Production parameters: least count of a candidate, words of the longest, share in a hundred at which a longer candidate takes its parts' place, phrases of a language.
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 #: Words of a shard, and bytes of text that are read for one.
-SHARD, GATHER = 1 << 20, 6 << 20
+SHARD, GATHER = 1 << 19, 3 << 20
 #: Bits of the filter of frequent pairs (fixed: 4 MB), and of its hashes.
 BITS, HASHES = 1 << 25, 4
 
@@ -46,13 +45,19 @@ INSIDE = ~(SPLIT | tx.byte_table(b" \t"))
 def suffix_array(rank: np.ndarray, piece: np.ndarray, depth: int) -> np.ndarray:
     """Places ordered by their first depth words or more, by prefix doubling; a run ends with its piece, and goes before its continuations."""
     n, known = len(rank), 1
+    order = np.argsort(rank) if depth == 1 else None
     while known < depth:
         after = np.zeros(n, np.int64)
         if n > known:
             after[:-known] = np.where(piece[:-known] == piece[known:], rank[known:] + 1, 0)
-        rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1]
+        key = rank * (after.max(initial=0) + 1) + after
+        order = np.argsort(key)
         known *= 2
-    return np.argsort(rank, kind="stable")
+        if known < depth:
+            key = key[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))) if n else key
+    return order
 
 
 def prefixes(words: np.ndarray, piece: np.ndarray, order: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +87,7 @@ def intervals(shared: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.ndar
 
 
 class PairFilter:
-    """A Bloom filter of strings of fixed size."""
+    """A Bloom filter of pairs of words, of fixed size."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
@@ -97,25 +102,33 @@ class PairFilter:
         return ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(0)
 
 
-def _hashes(keys: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in keys.to_pylist()), np.uint64, len(keys))
+def _hashes(words: pa.LargeStringArray) -> np.ndarray:
+    """64-bit hashes of some words."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    return tx.range_hashes(np.frombuffer(data, np.uint8), at[:-1], at[1:])
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.LargeStringArray, pa.Array]]:
-    """(words, pieces, names of the words, lang of each word's number) of each shard; a word of two languages has two numbers."""
+def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of words, from theirs."""
+    return tx.mix(left * np.uint64(0xD6E8FEB86659FD93) + right)
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.LargeStringArray, pa.Array, int]]:
+    """(words, pieces, names, langs, n) of each shard: a word's number is that of its lang times the names, plus that of its name; n words begin runs, the others are looked at."""
     for batch in gathered(batches, "text", GATHER):
         langs = batch.column("lang").dictionary_encode()
         lang_of = langs.indices.to_numpy().astype(np.int64)
         for c in tx.chunks(batch.column("text"), GATHER):
             row, start, end = c.words(INSIDE[c.data])
-            ends = np.cumsum(SPLIT[c.data])
+            ends = np.cumsum(SPLIT[c.data], dtype=np.int32)
             piece = np.cumsum(np.concatenate(([0], (row[1:] != row[:-1]) | (ends[start[1:]] != ends[end[:-1] - 1])))) if len(row) else row
             data = tx.LOWER[c.data]
             for lo, hi, last in blocks(len(row), SHARD, LONGEST - 1):
                 words, names = coded(data, start[lo:last], end[lo:last])
-                width = len(names)
-                known, words = np.unique(lang_of[c.first + row[lo:last]] * width + words, return_inverse=True)
-                yield words, piece[lo:last], names.take(pa.array(known % width)).cast(pa.large_string()), langs.dictionary.take(pa.array(known // width)), hi - lo
+                yield lang_of[c.first + row[lo:last]] * len(names) + words, piece[lo:last], names.cast(pa.large_string()), langs.dictionary, hi - lo
 
 
 def _runs(depths: tuple[int, ...], keep: PairFilter | None = None) -> Callable:
@@ -124,21 +137,19 @@ def _runs(depths: tuple[int, ...], keep: PairFilter | None = None) -> Callable:
             order = suffix_array(words, piece, max(depths))
             order = order[order < n]  # runs that begin in the shard
             shared, room = prefixes(words, piece, order, max(depths))
+            own = _hashes(names) if keep is not None else None
             for depth in depths:
                 first, count = intervals(shared, room, depth)
                 at = order[first]
-                each = [words[at + k] for k in range(depth)]
-                if depth == LONGEST and keep is not None and len(at):
+                if keep is not None:
                     good = np.ones(len(at), bool)
-                    for a, b in zip(each, each[1:], strict=False):
-                        pair, where = np.unique(a * len(names) + b, return_inverse=True)
-                        a, b = (names.take(pa.array(x)) for x in np.divmod(pair, len(names)))
-                        good &= keep.may_hold(_hashes(pc.binary_join_element_wise(a, b, BLANK)))[where]
-                    each, count = [x[good] for x in each], count[good]
-                phrase = pc.binary_join_element_wise(*(names.take(pa.array(x)) for x in each), BLANK).cast(pa.string())
-                for lo in range(0, len(phrase), 1 << 16):
-                    part = slice(lo, lo + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(each[0][part])).cast(pa.string()), phrase[part], pa.array(count[part], pa.int64())], names=["lang", "phrase", "f"])
+                    for k in range(depth - 1):
+                        good[good] = keep.may_hold(_pairs(own[words[at[good] + k] % len(names)], own[words[at[good] + k + 1] % len(names)]))
+                    at, count = at[good], count[good]
+                for lo in range(0, len(at), 1 << 16):
+                    part = at[lo : lo + (1 << 16)]
+                    phrase = pc.binary_join_element_wise(*(names.take(pa.array(words[part + k] % len(names))) for k in range(depth)), BLANK).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(words[part] // len(names))).cast(pa.string()), phrase, pa.array(count[lo : lo + (1 << 16)], pa.int64())], names=["lang", "phrase", "f"])
 
     return runs
 
@@ -147,11 +158,13 @@ def _counted(texts: DataFrame, depths: tuple[int, ...], keep: PairFilter | None
     return in_arrow(texts, _runs(depths, keep), "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits of the filter that the batches' pairs set, as (number of a 64-bit word, its bits)."""
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of the filter that the batches' pairs of words set, as (number of a 64-bit word, its bits)."""
     bits = np.zeros(BITS >> 3, np.uint8)
     for batch in batches:
-        for at in PairFilter.places(_hashes(batch.column("phrase"))):
+        known = pc.list_flatten(pc.split_pattern(batch.column("phrase"), " ")).dictionary_encode()
+        both = _hashes(known.dictionary.cast(pa.large_string()))[known.indices.to_numpy()].reshape(-1, 2)
+        for at in PairFilter.places(_pairs(both[:, 0], both[:, 1])):
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
     words = bits.view(np.int64)
     at = np.flatnonzero(words)
@@ -161,7 +174,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _filter(pairs: DataFrame) -> PairFilter:
     """The filter of some pairs, merged from those of the partitions: at most BITS / 64 rows come to the driver."""
     words = np.zeros(BITS >> 6, np.int64)
-    found = in_arrow(pairs.select("phrase"), _sizes, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = in_arrow(pairs.select("phrase"), _bits, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return PairFilter(words.view(np.uint8))
 
