@@ -190,3 +190,63 @@ def test_model_jobs(spark, tmp_path):
     assert used[-1] == model.GLOBAL_TREES and all(fitted.sizes[s] <= model.SAMPLE for s in used.index)
     axes = np.array(fitted.axes)
     assert np.allclose(axes @ axes.T, np.eye(2), atol=1e-6) and all(a[np.abs(a).argmax()] > 0 for a in axes)
+
+
+def plain_scatter_gather(moves, least):
+    """moves: (from, to, second) of one day."""
+    inn, out, pairs = {}, {}, {}
+    for a, b, s in moves:
+        if a != b:
+            inn.setdefault(b, {})[a] = min(s, inn.get(b, {}).get(a, s))
+            out.setdefault(a, {})[b] = max(s, out.get(a, {}).get(b, s))
+    for m in inn:
+        for a, s in inn[m].items():
+            for b, e in out.get(m, {}).items():
+                if s < e and a != b:
+                    pairs.setdefault((a, b), set()).add(m)
+    return {p: len(m) for p, m in pairs.items() if len(m) >= least}
+
+
+def timed(spark, moves, start=dt.datetime(2024, 1, 1)):
+    rows = [(start + dt.timedelta(seconds=int(s)), "1", str(a), "1", str(b), 1.0, "Euro", 1.0, "Euro", "Wire", 0) for a, b, s in moves]
+    return transactions.normalised(spark.createDataFrame(rows, TX.replace("timestamp string", "timestamp timestamp_ntz")))
+
+
+@pytest.mark.parametrize("light", [0, 3, 10_000])
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_scatter_gather_light_and_heavy(spark, least, light):
+    """Few accounts with many payments, so that middles are light, heavy and mixed: the same pairs by brute force."""
+    rng = np.random.default_rng(least)
+    moves = [(f"a{a}", f"a{b}", s) for a, b, s in zip(rng.zipf(1.4, 300) % 25, rng.zipf(1.4, 300) % 25, rng.integers(0, 80_000, 300), strict=True)]
+    got = {(r["source"], r["sink"]): r["middles"] for r in network.scatter_gather(timed(spark, moves), least, light).collect()}
+    assert got == plain_scatter_gather(moves, least) and got
+
+
+def hub_moves(spark, n, extra):
+    """n payers of one hub and n payees, as a table, with a few other transfers."""
+    k = spark.range(n)
+    row = lambda a, b, s: k.select((F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(secs=s)).cast("timestamp_ntz").alias("timestamp"), F.lit("1").alias("from_bank"), a.alias("from_account"), F.lit("1").alias("to_bank"), b.alias("to_account"), F.lit(1.0).alias("amount_received"), F.lit("Euro").alias("receiving_currency"), F.lit(1.0).alias("amount_paid"), F.lit("Euro").alias("payment_currency"), F.lit("Wire").alias("payment_format"), F.lit(0).alias("is_laundering"))
+    name = lambda p: F.concat(F.lit(p), F.col("id").cast("string"))
+    return row(name("p"), F.lit("hub"), F.col("id") % 3000).unionByName(row(F.lit("hub"), name("q"), F.col("id") % 3000 + 1)).unionByName(timed(spark, extra))
+
+
+def test_hub_without_products(spark):
+    """A hub of 100,000 payers and as many payees within an hour: 10**10 pairs are not made, and the few patterns are found."""
+    extra = [("p1", "m", 10), ("m", "q5", 5000), ("q7", "p7", 3500), ("q8", "z", 3200), ("z", "p8", 3300), ("z", "p9", 3301), ("a", "b", 1), ("b", "a", 2)]
+    t = hub_moves(spark, 100_000, extra)
+    assert sorted(map(tuple, network.scatter_gather(t).select("source", "sink", "middles").collect())) == [("p1", "q5", 2)]
+    assert [r["ring"] for r in network.cycles(t, 2, 3600).collect()] == ["a>b"]
+    assert {r["ring"] for r in network.cycles(t, 3, 3600).collect()} == {"p7>hub>q7"}
+    assert {r["ring"] for r in network.cycles(t, 4, 3600).collect()} == {"p8>hub>q8>z"}
+
+
+@pytest.mark.parametrize("accounts", [5, 9])
+def test_rings_among_hubs(spark, accounts):
+    rng = np.random.default_rng(accounts)
+    moves = sorted({(f"a{a}", f"a{b}", int(s)) for a, b, s in zip(rng.zipf(1.5, 160) % accounts, rng.zipf(1.5, 160) % accounts, rng.integers(0, 40_000, 160), strict=True) if a != b})
+    start = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    paths = [[m] for m in moves]
+    for length in (2, 3, 4):
+        paths = [[*p, m] for p in paths for m in moves if m[0] == p[-1][1] and p[-1][2] < m[2] <= p[-1][2] + 3000]
+        want = sorted((">".join(m[0] for m in p), p[0][2] + start, p[-1][2] + start, float(length)) for p in paths if p[-1][1] == p[0][0] and len({m[0] for m in p}) == length)
+        assert sorted(map(tuple, network.cycles(timed(spark, moves), length, 3000).select("ring", "first_s", "last_s", "total").collect())) == want and want
