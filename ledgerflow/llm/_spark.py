@@ -42,7 +42,7 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, f: Callable, schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow in batches of about BATCH_BYTES (a session setting), so that a worker's memory follows its longest row and not 10,000 rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(f, schema)
@@ -58,10 +58,20 @@ def _width(kind: T.DataType, value: Column) -> Column:
     return F.coalesce(F.octet_length(value), F.lit(0)) + 16 if isinstance(kind, T.StringType | T.BinaryType) else F.lit(8)
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands, dots and backticks in it too."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of df as one struct."""
+    return F.struct(*(F.col(quoted(c)) for c in df.columns))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
     """With a broadcast hint if the (saved) table has at most that many rows and bytes; else unchanged, and Spark joins by shuffle and splits skewed keys."""
-    width = reduce(add, (_width(f.dataType, F.col(f.name)) for f in df.schema.fields), F.lit(0)).cast("long")
-    size = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    width = reduce(add, (_width(f.dataType, F.col(quoted(f.name))) for f in df.schema.fields), F.lit(0)).cast("long")
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
     return F.broadcast(df) if size["n"] <= rows and size["b"] <= most else df
 
 
@@ -74,6 +84,6 @@ def row_key() -> list:
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose row_key() is in dropped; all columns of docs are kept as they are."""
     d = small(dropped.select(F.col("k_id").alias("gone_id"), F.col("k_row").alias("gone_row")))
-    keyed = docs.select(F.struct(*docs.columns).alias("kept_doc"), *row_key())
+    keyed = docs.select(whole(docs).alias("kept_doc"), *row_key())
     left = keyed.join(d, (F.col("k_id") == F.col("gone_id")) & (F.col("k_row") == F.col("gone_row")), "left_anti")
     return left.select(*(F.col("kept_doc")[c].alias(c) for c in docs.columns))

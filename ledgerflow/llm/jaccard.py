@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm import _text as tx
 from ledgerflow.llm._graph import components
-from ledgerflow.llm._spark import in_arrow, row_key, saved, small, without
+from ledgerflow.llm._spark import in_arrow, row_key, saved, small, whole, without
 
 THRESHOLD, WORDS = 80, 5
 SMALLEST, SHARED, LANES = 20, 3, 16
@@ -222,7 +222,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     again = saved(named.where("rep is not null").groupBy("k_id", "k_row").agg(F.count("*").alias("n")).where("n > 1").select("k_id", "k_row"))
     if again.isEmpty():
         return kept
-    keyed = kept.select(F.struct(*kept.columns).alias("doc"), *row_key())
+    keyed = kept.select(whole(kept).alias("doc"), *row_key())
     twice = keyed.join(small(again), ["k_id", "k_row"], "left_semi")
     once = twice.groupBy("k_id", "k_row").agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
     return without(kept, again).unionByName(once.select(*(F.col("doc")[c].alias(c) for c in kept.columns)))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm._spark import saved, small
+from ledgerflow.llm._spark import saved, small, whole
 
 #: Production parameters: lines on at least MIN_PAGES pages and more than MAX_RATIO of a host's pages are dropped.
 MAX_RATIO, MIN_PAGES = 0.1, 5
@@ -39,7 +39,7 @@ def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
 def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(doc, text, n_lines, n_dropped): the row of docs as a struct, its text less boilerplate lines, and counts of lines."""
     drop = small(saved(boilerplate(docs, max_ratio, min_pages)), 10_000)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    rows = docs.select(whole(docs).alias("doc"))
     joined = rows.join(drop, F.coalesce(F.col("doc.source").cast("string"), F.lit("")) == F.col("host"), "left").select("doc", "drop", F.split("doc.text", "\n").alias("lines"))
     kept = F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), F.xxhash64(_trimmed(x))) | (_trimmed(x) == ""))
     joined = joined.select("doc", "lines", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(kept).alias("kept"))

@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerflow.llm import _text as tx
-from ledgerflow.llm._spark import in_arrow, row_key, saved, small, without
+from ledgerflow.llm._spark import in_arrow, row_key, saved, small, whole, without
 from ledgerflow.llm.linefreq import with_text
 
 #: Production parameters. A line is frequent when it stands in more than MAX_SHARE of a host's distinct documents, and in more than MAX_DOCS of them: a small floor, below which a share says nothing.
@@ -161,6 +162,6 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """Every row of docs, its text less the frequent lines of its host (a null text stays null), with all its columns; n_chars follows the text."""
     frequent = small(saved(frequent_lines(saved(measure(docs)), max_docs, max_share)), 10_000)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("own_host"))
+    rows = docs.select(whole(docs).alias("doc"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("own_host"))
     rows = rows.join(frequent, F.col("own_host") == F.col("host"), "left").select("doc", "text", "frequent")
-    return with_text(in_arrow(rows, _stripped, f"doc {rows.schema['doc'].dataType.simpleString()}, text string"), docs.columns)
+    return with_text(in_arrow(rows, _stripped, T.StructType([rows.schema["doc"], T.StructField("text", T.StringType())])), docs.columns)

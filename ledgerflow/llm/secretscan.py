@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm._spark import saved
+from ledgerflow.llm._spark import saved, whole
 
 #: The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -220,7 +220,7 @@ def secret_spans(docs: DataFrame, q: float = Q) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]", q: float = Q) -> DataFrame:
     """(doc, text): the row of docs as a struct, and its text with every span replaced by the mark; spans that touch or overlap become one. The rows are written once with what the scan found, as the limits need the whole corpus first."""
-    found = saved(scanned(docs.select(F.struct(*docs.columns).alias("doc"), "text")).select("doc", "s_base", "s_random"))
+    found = saved(scanned(docs.select(whole(docs).alias("doc"), "text")).select("doc", "s_base", "s_random"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     spans = found.select("doc", F.col("doc.text").alias("text"), F.array_sort(F.concat("s_base", _reported(limits(found, q)))).alias("spans"))
 

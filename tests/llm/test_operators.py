@@ -705,3 +705,19 @@ def test_rows_that_differ_in_nulls_alone(spark):
     assert lines.columns == d.columns and lines.count() == len(rows)
     clean = linefreq.with_text(secretscan.redact(d), d.columns)
     assert Counter((r["doc_id"], r["text"], r["source"]) for r in clean.collect()) == Counter(rows)
+
+
+def test_names_with_dots_through_all_stages(spark, tmp_path):
+    """Extra columns with dots, backticks and the operators' own names stay as they are up to the last stage."""
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "lang as `meta.lang`", "named_struct('a.b', doc_id) as `x.y`", "1 as `tick``s`", "2 as doc", "3 as `doc.text`", "4 as node")
+    d.write.parquet(str(tmp_path / "0"))
+    docs = spark.read.parquet(str(tmp_path / "0"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1], 1):
+        out = stage(spark, docs, SF)
+        assert out.columns == d.columns
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    assert docs.where("`meta.lang` <> lang or `x.y`.`a.b` <> doc_id").count() == 0 and docs.count() > 0
+    assert quality.without_frequent_lines(d).columns == d.columns
