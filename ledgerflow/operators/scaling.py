@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.schema import FEATURE_COLUMNS, LINEAR
-
-#: Rows up to which percentiles are exact (their distinct values meet in one task); beyond, sketches of this accuracy are merged.
-EXACT_ROWS, ACCURACY = 20_000_000, 10_000
+from ledgerflow.operators.quantiles import quantiles
 
 
 def prepared(name: str) -> Column:
@@ -22,13 +20,10 @@ def prepare(features: DataFrame) -> DataFrame:
     return features.select("case_id", *(prepared(c).alias(c) for c in FEATURE_COLUMNS))
 
 
-def scaler_table(train: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """feature, center (median), spread (q90 - q10, or 1 where that is 0): exact up to so many rows, beyond from sketches of ACCURACY."""
-    at = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))
-    of = F.percentile if train.limit(exact_rows + 1).count() <= exact_rows else lambda c, at: F.percentile_approx(c, at, ACCURACY)
-    p = train.agg(*(of(prepared(c), at).alias(c) for c in FEATURE_COLUMNS))
-    q = F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c)[1].alias("center"), F.coalesce(F.nullif(F.col(c)[2] - F.col(c)[0], F.lit(0.0)), F.lit(1.0)).alias("spread")) for c in FEATURE_COLUMNS)))
-    return p.select(q)
+def scaler_table(train: DataFrame) -> DataFrame:
+    """feature, center (median), spread (q90 - q10, or 1 where that is 0); exact."""
+    q = quantiles(train, {c: prepared(c) for c in FEATURE_COLUMNS}, (0.1, 0.5, 0.9))
+    return q.select(F.col("name").alias("feature"), F.col("q")[1].alias("center"), F.coalesce(F.nullif(F.col("q")[2] - F.col("q")[0], F.lit(0.0)), F.lit(1.0)).alias("spread"))
 
 
 def scaled_columns(scaler: dict[str, tuple[float, float]]) -> list[Column]:

@@ -6,34 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.schema import FEATURE_COLUMNS, SEGMENT_NAMES
-from ledgerflow.operators.scaling import ACCURACY, EXACT_ROWS
+from ledgerflow.operators.quantiles import quantiles
 
 
-def _quantiles(c: Column, at: list[float], exact: bool) -> Column:
-    ps = F.array(*map(F.lit, at))
-    return F.percentile(c, ps) if exact else F.percentile_approx(c, ps, ACCURACY)
+MEDIANS = {"median_transactions": "total_tx_count", "median_value": "total_value", "median_cross_currency_share": "cross_currency_share", "median_cash_share": "cash_share", "median_flow_ratio": "flow_ratio"}
 
 
-def _few(rows: DataFrame, most: int) -> bool:
-    return rows.limit(most + 1).count() <= most
-
-
-def profiles(scored: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """cluster, cases and six medians: exact up to so many rows, beyond from sketches."""
-    exact = _few(scored, exact_rows)
-    parts = F.col("unique_out_counterparties") + F.col("unique_in_counterparties")
-    of = {"median_transactions": F.col("total_tx_count"), "median_value": F.col("total_value"), "median_counterparties": parts, "median_cross_currency_share": F.col("cross_currency_share"), "median_cash_share": F.col("cash_share"), "median_flow_ratio": F.col("flow_ratio")}
+def profiles(scored: DataFrame) -> DataFrame:
+    """cluster, cases and six exact medians."""
     if lost := {"cluster", *FEATURE_COLUMNS} - set(scored.columns):
         raise ValueError(f"missing columns: {', '.join(sorted(lost))}")
-    return scored.groupBy("cluster").agg(F.count("*").alias("cases"), *(_quantiles(c.cast("double"), [0.5], exact)[0].alias(n) for n, c in of.items()))
-
-
-def baselines(train: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """cluster, feature, median, scale: q75 - q25, else the sample deviation, else 1. Quartiles are exact up to so many rows, beyond from sketches."""
-    exact = _few(train, exact_rows)
-    out = train.groupBy("cluster").agg(*(F.struct(_quantiles(F.col(c).cast("double"), [0.25, 0.5, 0.75], exact).alias("q"), F.stddev_samp(c).alias("s")).alias(c) for c in FEATURE_COLUMNS))
-    spread = lambda c: F.coalesce(F.nullif(F.col(f"{c}.q")[2] - F.col(f"{c}.q")[0], F.lit(0.0)), F.nullif(F.nanvl(F.col(f"{c}.s"), F.lit(None)), F.lit(0.0)), F.lit(1.0))
-    return out.select("cluster", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"{c}.q")[1].alias("median"), spread(c).alias("scale")) for c in FEATURE_COLUMNS))))
+    of = {n: F.col(c) for n, c in MEDIANS.items()} | {"median_counterparties": F.col("unique_out_counterparties") + F.col("unique_in_counterparties")}
+    q = quantiles(scored, {"cases": F.lit(0)} | of, [0.5], ["cluster"]).groupBy("cluster")
+    named = lambda n, v: F.max(F.when(F.col("name") == n, v)).alias(n)
+    order = ("median_transactions", "median_value", "median_counterparties", "median_cross_currency_share", "median_cash_share", "median_flow_ratio")
+    return q.agg(named("cases", F.col("n")), *(named(n, F.col("q")[0]) for n in order))
+
+
+def baselines(train: DataFrame) -> DataFrame:
+    """cluster, feature, median, scale: q75 - q25, else the sample deviation, else 1; exact."""
+    q = quantiles(train, {c: F.col(c) for c in FEATURE_COLUMNS}, [0.25, 0.5, 0.75], ["cluster"])
+    wide = train.groupBy("cluster").agg(*(F.stddev_samp(c).alias(c) for c in FEATURE_COLUMNS))
+    spread = wide.select("cluster", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.nullif(F.nanvl(F.col(c), F.lit(None)), F.lit(0.0)).alias("s")) for c in FEATURE_COLUMNS))))
+    met = q.withColumnRenamed("name", "feature").join(spread, ["cluster", "feature"])
+    return met.select("cluster", "feature", F.col("q")[1].alias("median"), F.coalesce(F.nullif(F.col("q")[2] - F.col("q")[0], F.lit(0.0)), "s", F.lit(1.0)).alias("scale"))
 
 
 def assigned(rows: DataFrame, columns: list[str], centers: dict[int, list[float]]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerflow import queries as core
 from ledgerflow.functions.schema import FEATURE_COLUMNS, SEGMENT_NAMES, TRANSACTION_COLUMNS
 from ledgerflow.jobs import runs
-from ledgerflow.operators import evaluation, explain, features, model, network, segments, split
+from ledgerflow.operators import evaluation, explain, features, model, network, quantiles, ranking, segments, split
 from ledgerflow.sources import transactions
 
 TX = "timestamp string, from_bank string, from_account string, to_bank string, to_account string, amount_received double, receiving_currency string, amount_paid double, payment_currency string, payment_format string, is_laundering int"
@@ -250,3 +250,23 @@ def test_rings_among_hubs(spark, accounts):
         paths = [[*p, m] for p in paths for m in moves if m[0] == p[-1][1] and p[-1][2] < m[2] <= p[-1][2] + 3000]
         want = sorted((">".join(m[0] for m in p), p[0][2] + start, p[-1][2] + start, float(length)) for p in paths if p[-1][1] == p[0][0] and len({m[0] for m in p}) == length)
         assert sorted(map(tuple, network.cycles(timed(spark, moves), length, 3000).select("ring", "first_s", "last_s", "total").collect())) == want and want
+
+
+@pytest.mark.parametrize("sketched", [True, False])
+def test_quantiles_are_exact(spark, sketched):
+    """Against numpy: ties, nulls, few and many values, one value, none, groups of unlike sizes, and infinities."""
+    rng = np.random.default_rng(1)
+    rows = [(0, float(x), float(x % 7), None) for x in rng.normal(0, 1e6, 9000)] + [(1, float(k), 5.0, None) for k in range(3)] + [(2, None, 1e300, None), (2, 4.0, float("inf"), None)]
+    d = spark.createDataFrame(rows, "g int, a double, b double, c double").repartition(5)
+    at = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
+    got = {(r["g"], r["name"]): (r["n"], r["q"]) for r in quantiles.quantiles(d, {"a": F.col("a"), "b": F.col("b"), "c": F.col("c")}, at, ["g"], sketched).collect()}
+    for g in (0, 1, 2):
+        for i, c in enumerate("abc", 1):
+            v = sorted(r[i] for r in rows if r[0] == g and r[i] is not None)
+            want = [None] * len(at)
+            if v:
+                ends = [(v[int(np.floor(p * (len(v) - 1)))], v[int(np.ceil(p * (len(v) - 1)))], p * (len(v) - 1) % 1) for p in at]
+                want = [lo if lo == hi else lo + (hi - lo) * f for lo, hi, f in ends]
+            assert got[g, c][0] == len(v) and got[g, c][1] == pytest.approx(want, rel=1e-12) if v else got[g, c] == (0, want)
+    whole = quantiles.quantiles(d, {"a": F.col("a")}, [0.5]).first()
+    assert whole["q"][0] == pytest.approx(float(np.median([r[1] for r in rows if r[1] is not None])), rel=1e-12)
