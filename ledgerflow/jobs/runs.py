@@ -11,7 +11,7 @@ from ledgerflow.operators import evaluation, features, model, network, segments,
 from ledgerflow.operators.explain import explained
 from ledgerflow.sources import sinks
 from ledgerflow.sources.storage import written
-from ledgerflow.sources.transactions import guard_size
+from ledgerflow.sources.transactions import counted, guarded
 
 
 def run_pipeline(tx: DataFrame, out: str, budget: int = 100, k: int = 5, explain: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -19,28 +19,33 @@ def run_pipeline(tx: DataFrame, out: str, budget: int = 100, k: int = 5, explain
 
     With explain, all written rows carry their reason and factors; scores are the same without.
     """
-    days = written(features.account_days(tx), "features")
+    return _run(written(features.account_days(tx), "features"), out, budget, k, explain)
+
+
+def _run(days: DataFrame, out: str, budget: int, k: int, explain: bool) -> tuple[DataFrame, DataFrame]:
     last = split.cutoff(days)
     fitted = model.fit(split.train_rows(days, last), k)
     scored = written(fitted.score(days), "scored")
     late = split.evaluation_rows(scored, last)
     found = written(evaluation.metrics(late, budget), "metrics")
     sinks.write_scored(explained(scored, fitted.baseline) if explain else scored, f"{out}/scored_cases")
-    sinks.write_queue(late, f"{out}/investigation_queue")
+    sinks.write_queue(evaluation.ranked_cases(late), f"{out}/investigation_queue")
     if explain:
         explained(evaluation.queue(late, budget), fitted.baseline).write.parquet(f"{out}/explained_queue")
     sinks.write_json(found, f"{out}/metrics")
-    fitted.save(tx.sparkSession, f"{out}/model")
+    fitted.save(days.sparkSession, f"{out}/model")
     return scored, found
 
 
 def run_benchmark(tx: DataFrame, out: str, report: str | None = None, wanted: Iterable[int] | None = (50, 100, 250, 500, 1000), k: int = 5, check_size: bool = True) -> DataFrame:
     """The pipeline without explanations, the capacity curve and profiles of the late rows, and a summary row."""
-    rows = guard_size(tx) if check_size else tx.count()
-    scored, found = run_pipeline(tx, out, explain=False, k=k)
+    tx, seen = counted(tx)  # the transactions are read once: their number comes with the features
+    days = written(features.account_days(tx), "features")
+    rows = guarded(seen.get["n"]) if check_size else seen.get["n"]
+    scored, found = _run(days, out, 100, k, False)
     last = split.cutoff(scored)
     late = split.evaluation_rows(scored, last)
-    curve = written(evaluation.capacity_curve(late, evaluation.capacities(wanted, late.count())), "curve")
+    curve = written(evaluation.capacity_curve(late, evaluation.capacities(wanted, found.first()["cases"])), "curve")
     profile = named_profiles(late)
     targets = [out] + ([report] if report else [])
     sinks.write_small_csv(curve.orderBy("capacity"), *(f"{t}/capacity_curve" for t in targets))

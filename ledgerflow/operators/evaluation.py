@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.schema import LABEL
+from ledgerflow.operators import ranking
 
 BINS = 24
 
@@ -19,9 +20,26 @@ def rank_alerts(scored: DataFrame, budget: int) -> DataFrame:
     return scored.orderBy(F.desc("risk_score"), "case_id").limit(budget)
 
 
+#: Budgets up to this many cases are taken by a top-k; larger ones are cut by score first and ranked over ranges.
+SHORT = 100_000
+
+
+def _order() -> list[Column]:
+    return [F.desc("risk_score"), F.col("case_id")]
+
+
+def ranked_cases(scored: DataFrame) -> DataFrame:
+    """All cases with their rank (long), over ranges of risk."""
+    return ranking.ranked(scored, _order())
+
+
 def queue(scored: DataFrame, budget: int) -> DataFrame:
-    """rank_alerts() with its rank; the window is over the budget's rows alone."""
-    return rank_alerts(scored, budget).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("risk_score"), "case_id")))
+    """The best cases by risk with their rank (int). Scores have two decimals, so at most 10,001 counts tell from which score on the budget's cases lie."""
+    if budget <= SHORT:
+        return rank_alerts(scored, budget).withColumn("rank", F.row_number().over(Window.orderBy(*_order())))
+    per = scored.groupBy("risk_score").agg(F.count("*").alias("n")).select("risk_score", (F.sum("n").over(Window.orderBy(F.desc("risk_score"))) - F.col("n")).alias("above"))
+    least = per.where(F.col("above") < budget).agg(F.min("risk_score")).first()[0]
+    return ranked_cases(scored.where(F.col("risk_score") >= F.lit(least))).where(F.col("rank") <= budget).withColumn("rank", F.col("rank").cast("int"))
 
 
 def totals(scored: DataFrame) -> DataFrame:
@@ -52,10 +70,17 @@ def capacities(wanted: Iterable[int] | None, cases: int) -> list[int]:
 
 
 def running(scored: DataFrame, most: int) -> DataFrame:
-    """rank, running hits and running value down the best rows."""
-    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    caught = F.when(F.col(LABEL) > 0, F.col("total_value")).otherwise(0.0)
-    return queue(scored, most).select("rank", "case_id", F.sum(LABEL).over(w).cast("long").alias("hits"), F.sum(caught.cast("decimal(24,4)")).over(w).cast("double").alias("detected_value"))
+    """rank, running hits and running value down the best rows; beyond SHORT rows over ranges of the rank."""
+    w = Window.partitionBy("part_").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    caught = F.when(F.col(LABEL) > 0, F.col("total_value")).otherwise(0.0).cast("decimal(24,4)")
+    best = queue(scored, most).select("rank", "case_id", F.col(LABEL).cast("long").alias("hit"), caught.alias("caught"))
+    if most <= SHORT:
+        parts = best.withColumns({"part_": F.lit(0), "h_": F.lit(0), "v_": F.lit(0)})
+    else:
+        parts = ranking.in_ranges(best, [F.col("rank")])
+        parts = ranking.joined(parts, ranking.before(parts, h_=F.sum("hit"), v_=F.sum("caught")))
+    total = lambda before, c: F.col(before) + F.sum(c).over(w)
+    return parts.select("rank", "case_id", total("h_", "hit").cast("long").alias("hits"), total("v_", "caught").cast("double").alias("detected_value"))
 
 
 def capacity_curve(scored: DataFrame, budgets: list[int]) -> DataFrame:

@@ -111,6 +111,11 @@ def joined_sides(tx: DataFrame) -> DataFrame:
     return outgoing(tx).join(incoming(tx), ["date", "account_id"], "full").fillna(0)
 
 
+def with_reciprocal(sides: DataFrame, counts: DataFrame) -> DataFrame:
+    """The literal form: reciprocal counts joined to the sides, 0 where an account has none."""
+    return sides.join(counts, ["date", "account_id"], "left").fillna(0, ["reciprocal_counterparties"])
+
+
 def cases_per_day(features: DataFrame) -> DataFrame:
     return features.groupBy("date").agg(F.count("*").alias("cases"))
 

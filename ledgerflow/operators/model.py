@@ -5,27 +5,28 @@ A fitted model is a set of small parameter tables; scoring is a map over the row
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.schema import FEATURE_COLUMNS
+from ledgerflow.operators import ranking
 from ledgerflow.operators.scaling import scaled_columns, scaler_of
 from ledgerflow.operators.segments import assigned, baselines
 from ledgerflow.sources.storage import written
 
 SEED, SAMPLE, DRAWN, GLOBAL_TREES, SEGMENT_TREES = 42, 256, 1_024, 250, 200
-#: Starts of the segmentation, and how many are fitted at a time.
-STARTS, TOGETHER = 10, 5
+#: Starts of the segmentation, rows that they are drawn from, most rounds, and the gain of a round at which they end.
+STARTS, STARTING, ROUNDS, TOLERANCE = 10, 10_000, 40, 1e-4
 LEAST_SEGMENT = max(30, 3 * len(FEATURE_COLUMNS))
-#: Reference values kept for each segment: all up to this number, else that many quantiles.
-GRID = 10_001
+#: Distinct reference values up to which a reference is held in the tasks (16 MB); a larger one stays a table.
+IN_TASKS = 1_000_000
 TREE = "scope int, tree int, node int, feature int, threshold double, left int, right int, length double"
 
 
@@ -57,22 +58,35 @@ def grow(points: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float,
     return nodes
 
 
+def _trees_of(case: Column, scope: Column, n: Column, trees: int, seed: int) -> Column:
+    """The trees that a row is dealt to, by one hash: about DRAWN rows a tree, whatever the rows and trees.
+
+    With many rows most go to no tree; with few a row goes to several, from a place on and by a step (prime to their number) of its own.
+    """
+    h = F.xxhash64(case, scope, F.lit(seed))
+    u = F.pmod(h, F.lit(1 << 40)) / float(1 << 40)
+    each = F.lit(float(trees * DRAWN)) / n  # trees a row
+    place = F.floor(u * trees).cast("int")
+    steps = [k for k in range(1, trees) if math.gcd(k, trees) == 1] or [1]
+    step = F.element_at(F.array(*map(F.lit, steps)), F.pmod(F.shiftrightunsigned(h, 40), F.lit(len(steps))).cast("int") + 1)
+    several = F.transform(F.sequence(F.lit(0), F.least(F.ceil(each), F.lit(trees)).cast("int") - 1), lambda k: F.pmod(place + k * step, F.lit(trees)).cast("int"))
+    return F.when(each >= 1, several).when(u < each, F.array(F.floor(u / each * trees).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
 def build_forest(near: DataFrame, members: dict[int, int], seed: int = SEED) -> DataFrame:
     """Trees of every scope (-1: all rows; else a segment of members with enough rows), grown in parallel.
 
-    Each tree has its own SAMPLE rows of all rows of its scope: every row draws a hash for each tree, those below a
-    share of about DRAWN rows a tree go to it, and the least hashes of a tree are its rows. No row is left out of the draw.
+    One pass deals each row to a few trees of both its scopes by two hashes; a tree takes the SAMPLE rows of the least hash of those
+    dealt to it. Every row can be drawn, and what goes over the network does not grow with the rows.
     """
     total = sum(members.values())
-
-    def dealt(rows: DataFrame, scope: int, n: int, trees: int) -> DataFrame:
-        limit = min(1.0, DRAWN / n)
-        hashed = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.pmod(F.xxhash64("case_id", F.lit(scope), F.lit(seed), t), F.lit(1 << 30)).alias("h")))
-        drawn = F.filter(hashed, lambda x: x["h"] <= F.lit(int(limit * (1 << 30))))
-        return rows.select(F.explode(drawn).alias("d"), "case_id", *FEATURE_COLUMNS).select(F.lit(scope).alias("scope"), "d.tree", "d.h", "case_id", *FEATURE_COLUMNS)
-
-    parts = [dealt(near, -1, total, GLOBAL_TREES)]
-    parts += [dealt(near.where(F.col("cluster") == k), k, n, SEGMENT_TREES) for k, n in sorted(members.items()) if n >= LEAST_SEGMENT]
+    sized = {k: n for k, n in members.items() if n >= LEAST_SEGMENT}
+    dealt = lambda scope, n, trees: F.transform(_trees_of(F.col("case_id"), scope, n, trees, seed), lambda t: F.struct(scope.alias("scope"), t.alias("tree")))
+    both = dealt(F.lit(-1), F.lit(float(total)), GLOBAL_TREES)
+    if sized:
+        size = F.element_at(F.create_map(*(F.lit(v) for k, n in sized.items() for v in (k, float(n)))), F.col("cluster"))
+        both = F.when(F.col("cluster").isin(list(sized)), F.concat(both, dealt(F.col("cluster"), size, SEGMENT_TREES))).otherwise(both)
+    drawn = near.select(F.explode(both).alias("d"), "case_id", *FEATURE_COLUMNS).select("d.scope", "d.tree", F.xxhash64("case_id", "d.scope", "d.tree", F.lit(seed)).alias("h"), "case_id", *FEATURE_COLUMNS)
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         s, t = int(pdf["scope"].iloc[0]), int(pdf["tree"].iloc[0])
@@ -80,7 +94,72 @@ def build_forest(near: DataFrame, members: dict[int, int], seed: int = SEED) ->
         rows = grow(points, np.random.default_rng((seed + s + 1, t)))
         return pd.DataFrame([(s, t, k, *r) for k, r in enumerate(rows)], columns=[c.split()[0] for c in TREE.split(", ")])
 
-    return reduce(DataFrame.unionByName, parts).groupBy("scope", "tree").applyInPandas(tree, TREE)
+    return drawn.groupBy("scope", "tree").applyInPandas(tree, TREE)
+
+
+def _sums(columns: list[str], centers: np.ndarray) -> Callable:
+    """For every start at once: the rows nearest to each centre, their sums, and their squared distances."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, k, d = centers.shape
+        n, total, cost = np.zeros((s, k)), np.zeros((s, k, d)), np.zeros((s, k))
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            for i, c in enumerate(centers):
+                far = (c * c).sum(1) - 2 * x @ c.T
+                at = far.argmin(1)
+                n[i] += np.bincount(at, minlength=k)
+                cost[i] += np.bincount(at, far[np.arange(len(x)), at] + (x * x).sum(1), k)
+                one = np.zeros((len(x), k))
+                one[np.arange(len(x)), at] = 1
+                total[i] += one.T @ x
+        i, j = (a.ravel() for a in np.indices((s, k)))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(n.ravel()), pa.array(cost.ravel()), pa.array(list(total.reshape(-1, d)), pa.list_(pa.float64()))], names=["start", "k", "n", "cost", "total"])
+
+    return sums
+
+
+def lloyd_round(rows: DataFrame, columns: list[str], centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the next centres of every start, the costs of the given ones), from one scan: each task sends one row for each centre, and the driver gets their sums."""
+    s, k, d = centers.shape
+    parts = rows.select(*columns).mapInArrow(_sums(columns, centers), "start int, k int, n double, cost double, total array<double>")
+    found = parts.groupBy("start", "k").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*(F.sum(F.col("total")[i]) for i in range(d))).alias("total"))
+    out, cost = centers.copy(), np.zeros(s)
+    for r in found.collect():  # starts x centres
+        cost[r["start"]] += r["cost"]
+        if r["n"]:
+            out[r["start"], r["k"]] = np.array(r["total"]) / r["n"]
+    return out, cost
+
+
+def first_centers(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Centres among some points, each drawn in proportion to the squared distance from those before (k-means++), then moved until they rest."""
+    chosen = [points[rng.integers(len(points))]]
+    for _ in range(k - 1):
+        far = np.min([((points - c) ** 2).sum(1) for c in chosen], axis=0)
+        chosen.append(points[rng.choice(len(points), p=far / far.sum())] if far.sum() else points[rng.integers(len(points))])
+    centers = np.array(chosen)
+    for _ in range(ROUNDS):
+        at = ((centers * centers).sum(1) - 2 * points @ centers.T).argmin(1)
+        moved = np.array([points[at == j].mean(0) if (at == j).any() else centers[j] for j in range(k)])
+        if np.allclose(moved, centers):
+            break
+        centers = moved
+    return centers
+
+
+def segment_centers(rows: DataFrame, columns: list[str], k: int, seed: int = SEED, starts: int = STARTS) -> np.ndarray:
+    """k centres of the rows: starts from STARTING rows of the least hash, then rounds over all rows for all starts at once, and the cheapest start."""
+    first = rows.orderBy(F.xxhash64("case_id", F.lit(seed)), "case_id").limit(STARTING).select(*columns).toPandas().to_numpy(float)  # a fixed number of rows
+    centers = np.array([first_centers(first, k, np.random.default_rng((seed, s))) for s in range(starts)])
+    best, before = centers[0], np.inf
+    for _ in range(ROUNDS):
+        moved, cost = lloyd_round(rows, columns, centers)
+        best = centers[cost.argmin()]
+        if before - cost.min() <= TOLERANCE * cost.min():
+            break
+        before, centers = cost.min(), moved
+    return best
 
 
 @dataclass
@@ -115,39 +194,62 @@ class Forest:
         return 2.0 ** (-total / len(self.roots) / max(mean_path(self.size), 1e-12))
 
 
-def share_at_or_below(reference: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Share of a sorted reference that is at most each value; 0 without a reference."""
-    return np.searchsorted(reference, values, side="right") / len(reference) if len(reference) else np.zeros(len(values))
+def reference_counts(rows: DataFrame, column: str) -> DataFrame:
+    """(cluster, value, n): how often each value stands in each segment."""
+    return rows.groupBy("cluster", F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
-def ecdf(rows: DataFrame, column: str, reference: dict[int, np.ndarray]) -> Column:
-    """The share of the segment's reference values that are at most the row's."""
+def rank_shares(rows: DataFrame, counts: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the share of their segment's reference values that are at most theirs; 0 without a reference.
 
-    @F.pandas_udf("double")
-    def rank(cluster: pd.Series, value: pd.Series) -> pd.Series:
-        out = np.zeros(len(value))
-        for k in cluster.unique():
-            at = (cluster == k).to_numpy()
-            out[at] = share_at_or_below(reference.get(int(k), np.zeros(0)), value.to_numpy()[at])
-        return pd.Series(out)
+    The distinct values of both are dealt to ranges; counts run inside a range, after those of the ranges before, so no segment is one task.
+    """
+    asked = rows.select("cluster", F.col(column).alias("value"), F.lit(0).cast("long").alias("n"))
+    per = counts.select("cluster", "value", "n").unionByName(asked).groupBy("cluster", "value").agg(F.sum("n").alias("n"))
+    parts = ranking.in_ranges(per, [F.col("value")], ["cluster"])
+    parts = ranking.joined(parts, ranking.before(parts, ["cluster"], earlier=F.sum("n")), ["cluster"])
+    upto = F.col("earlier") + F.sum("n").over(Window.partitionBy("cluster", "part_").orderBy("value"))
+    total = counts.groupBy("cluster").agg(F.sum("n").alias("all_"))
+    share = parts.withColumn("upto", upto).join(total, "cluster", "left").select("cluster", F.col("value").alias(column), F.coalesce(F.try_divide(F.col("upto").cast("double"), "all_"), F.lit(0.0)).alias(name))
+    return rows.join(share, ["cluster", column])
 
-    return rank(rows["cluster"], rows[column])
 
+@dataclass
+class Reference:
+    """The reference values of each segment, all of them: as sorted arrays in the tasks where they fit, else as a table of counts. Shares are the same."""
 
-def references(rows: DataFrame, columns: list[str], grid: int = GRID) -> dict[str, dict[int, np.ndarray]]:
-    """Sorted reference values of each segment: all of them where a segment has at most grid, else that many quantiles."""
-    sizes = {r["cluster"]: r["n"] for r in rows.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # k rows
-    few = [k for k, n in sizes.items() if n <= grid]
-    at = F.array(*(F.lit(float(v)) for v in np.linspace(0, 1, grid)))
-    is_few = F.col("cluster").isin(few)
-    exact = rows.where(is_few).groupBy("cluster").agg(*(F.sort_array(F.collect_list(c)).alias(c) for c in columns))
-    rough = rows.where(~is_few).groupBy("cluster").agg(*(F.percentile_approx(c, at, 50 * grid).alias(c) for c in columns))
-    parts = ([exact] if few else []) + ([rough] if len(few) < len(sizes) else [])
-    out: dict[str, dict[int, np.ndarray]] = {c: {} for c in columns}
-    for r in (r for p in parts for r in p.collect()):  # k rows of at most grid numbers
-        for c in columns:
-            out[c][int(r["cluster"])] = np.asarray(r[c], float)
-    return out
+    counts: DataFrame
+    #: values and running counts of each segment, in order
+    arrays: dict[int, tuple[np.ndarray, np.ndarray]] | None
+
+    @classmethod
+    def of(cls, rows: DataFrame, column: str, most: int = IN_TASKS) -> Reference:
+        return cls.read(written(reference_counts(rows, column), "reference"), most)
+
+    @classmethod
+    def read(cls, counts: DataFrame, most: int = IN_TASKS) -> Reference:
+        if counts.count() > most:
+            return cls(counts, None)
+        got = counts.toPandas().sort_values(["cluster", "value"])  # at most that many values
+        return cls(counts, {int(k): (g["value"].to_numpy(float), np.cumsum(g["n"].to_numpy())) for k, g in got.groupby("cluster")})
+
+    def shares(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        """rows with the share of the segment's reference values that are at most the row's."""
+        if self.arrays is None:
+            return rank_shares(rows, self.counts, column, name)
+        arrays = self.arrays
+
+        @F.pandas_udf("double")
+        def share(cluster: pd.Series, value: pd.Series) -> pd.Series:
+            out = np.zeros(len(value))
+            for k in cluster.unique():
+                at = (cluster == k).to_numpy()
+                if int(k) in arrays:
+                    values, upto = arrays[int(k)]
+                    out[at] = np.concatenate(([0], upto))[np.searchsorted(values, value.to_numpy()[at], side="right")] / upto[-1]
+            return pd.Series(out)
+
+        return rows.withColumn(name, share("cluster", column))
 
 
 def risk(anomaly: Column, distance: Column) -> Column:
@@ -162,11 +264,11 @@ class RiskModel:
     centers: dict[int, list[float]]
     trees: pd.DataFrame
     sizes: dict[int, int]
-    anomaly_ref: dict[int, np.ndarray]
-    distance_ref: dict[int, np.ndarray]
+    anomaly_ref: Reference | None
+    distance_ref: Reference | None
     axes: list[list[float]]
     mean: list[float]
-    baseline: DataFrame
+    baseline: DataFrame | None
 
     def _scaled(self, features: DataFrame) -> DataFrame:
         kept = [c for c in features.columns if c not in FEATURE_COLUMNS]
@@ -191,9 +293,11 @@ class RiskModel:
         return rows.withColumn("anomaly", anomaly("cluster", "x"))
 
     def score(self, features: DataFrame) -> DataFrame:
-        """features with cluster, both percentiles, risk and map coordinates: no shuffle."""
+        """features with cluster, both percentiles, risk and map coordinates: no shuffle, unless the references are too large for the tasks."""
         rows = self._scored(features)
-        rows = rows.withColumns({"anomaly_percentile": ecdf(rows, "anomaly", self.anomaly_ref), "cluster_distance_percentile": ecdf(rows, "center_distance", self.distance_ref)})
+        if self.anomaly_ref.arrays is None or self.distance_ref.arrays is None:
+            rows = written(rows, "scored")  # the forests run once, whatever the ranks read
+        rows = self.distance_ref.shares(self.anomaly_ref.shares(rows, "anomaly", "anomaly_percentile"), "center_distance", "cluster_distance_percentile")
         on = lambda axis: F.aggregate(F.zip_with(F.zip_with("x", F.array(*map(F.lit, self.mean)), lambda a, b: a - b), F.array(*map(F.lit, axis)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         return rows.withColumns({"risk_score": risk(F.col("anomaly_percentile"), F.col("cluster_distance_percentile")), "embedding_x": on(self.axes[0]), "embedding_y": on(self.axes[1])}).drop("x", "anomaly", "center_distance")
 
@@ -203,8 +307,8 @@ class RiskModel:
         spark.createDataFrame([(k, v) for k, v in self.centers.items()], "cluster int, center array<double>").write.parquet(f"{path}/centers")
         spark.createDataFrame(self.trees, TREE).write.parquet(f"{path}/trees")
         spark.createDataFrame([(k, v) for k, v in self.sizes.items()], "scope int, size int").write.parquet(f"{path}/sizes")
-        refs = [(n, k, [float(x) for x in v]) for n, d in (("anomaly", self.anomaly_ref), ("distance", self.distance_ref)) for k, v in d.items()]
-        spark.createDataFrame(refs, "name string, cluster int, reference array<double>").write.parquet(f"{path}/references")
+        for name, reference in (("anomaly", self.anomaly_ref), ("distance", self.distance_ref)):
+            reference.counts.write.parquet(f"{path}/reference_{name}")
         spark.createDataFrame([("mean", self.mean), ("x", self.axes[0]), ("y", self.axes[1])], "name string, v array<double>").write.parquet(f"{path}/axes")
         self.baseline.write.parquet(f"{path}/baselines")
 
@@ -212,43 +316,38 @@ class RiskModel:
     def load(cls, spark: SparkSession, path: str) -> RiskModel:
         read = lambda name: spark.read.parquet(f"{path}/{name}")
         scaler = {r["feature"]: (r["center"], r["spread"]) for r in read("scaler").collect()}
-        refs = {n: {r["cluster"]: np.array(r["reference"]) for r in read("references").where(F.col("name") == n).collect()} for n in ("anomaly", "distance")}
+        refs = {n: Reference.read(read(f"reference_{n}")) for n in ("anomaly", "distance")}
         axes = {r["name"]: list(r["v"]) for r in read("axes").collect()}
         return cls({f: scaler[f] for f in FEATURE_COLUMNS}, {r["cluster"]: list(r["center"]) for r in read("centers").collect()}, read("trees").toPandas(), {r["scope"]: r["size"] for r in read("sizes").collect()}, refs["anomaly"], refs["distance"], [axes["x"], axes["y"]], axes["mean"], read("baselines"))
 
 
 def fit(train: DataFrame, k: int = 5, seed: int = SEED, starts: int = STARTS) -> RiskModel:
     """Fit on training account-days (case_id, features)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    spark = train.sparkSession
     n = train.count()
     if n < 10 * k:
         raise ValueError(f"{n} training rows; {10 * k} are needed for {k} segments")
     scaler = scaler_of(train)
     scaled = written(train.select("case_id", *scaled_columns(scaler)), "scaled")
-    vectors = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="v").transform(scaled).select("case_id", "v").persist()
-    with ThreadPoolExecutor(TOGETHER) as pool:  # the fits are small jobs one after the other: some at a time fill the cluster
-        fits = list(pool.map(lambda s: KMeans(k=k, seed=seed + s, featuresCol="v").fit(vectors), range(starts)))
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    vectors.unpersist()
-    centers = {i: [float(x) for x in c] for i, c in enumerate(best.clusterCenters())}
-    mean = [float(x) for x in scaled.agg(*(F.avg(c) for c in FEATURE_COLUMNS)).first()]
-    less = scaled.select(*((F.col(c) - m).alias(c) for c, m in zip(FEATURE_COLUMNS, mean, strict=True)))
-    axes = np.array(PCA(k=2, inputCol="v", outputCol="p").fit(VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="v").transform(less)).pc.toArray()).T
-    axes = [[float(x) for x in a * np.sign(a[np.abs(a).argmax()])] for a in axes]
-    near = assigned(scaled, FEATURE_COLUMNS, centers)
+    centers = {i: [float(x) for x in c] for i, c in enumerate(segment_centers(scaled, FEATURE_COLUMNS, k, seed, starts))}
+    mean, axes = plane(scaled, FEATURE_COLUMNS)
+    near = written(assigned(scaled, FEATURE_COLUMNS, centers), "near")
     members = {r["cluster"]: r["n"] for r in near.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
     trees = build_forest(near, members, seed).toPandas()  # the trees: a fixed number of at most 511 nodes each
     sizes = {-1: min(SAMPLE, n)} | {k: min(SAMPLE, m) for k, m in members.items() if m >= LEAST_SEGMENT}
-    model = RiskModel(scaler, centers, trees, sizes, {}, {}, axes, mean, baselines(train.limit(0).withColumn("cluster", F.lit(0))))
+    model = RiskModel(scaler, centers, trees, sizes, None, None, axes, mean, None)
     scored = written(model._scored(train).select("case_id", *FEATURE_COLUMNS, "cluster", "anomaly", "center_distance"), "scored")
-    refs = references(scored, ["anomaly", "center_distance"])
-    model.anomaly_ref, model.distance_ref = refs["anomaly"], refs["center_distance"]
+    model.anomaly_ref, model.distance_ref = Reference.of(scored, "anomaly"), Reference.of(scored, "center_distance")
     model.baseline = written(baselines(scored), "baselines")
     return model
 
 
-Scorer = Callable[[DataFrame], DataFrame]
+def plane(rows: DataFrame, columns: list[str]) -> tuple[list[float], list[list[float]]]:
+    """(means, two axes of the largest variance, each with its largest loading positive), from one scan of sums and products."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    got = rows.agg(F.count("*").alias("n"), F.array(*(F.avg(c) for c in columns)).alias("mean"), F.array(*(F.covar_pop(columns[i], columns[j]) for i, j in pairs)).alias("products")).first()
+    covariance = np.zeros((len(columns), len(columns)))
+    for (i, j), v in zip(pairs, got["products"], strict=True):
+        covariance[i, j] = covariance[j, i] = v
+    axes = np.linalg.eigh(covariance)[1][:, ::-1][:, :2].T
+    return list(got["mean"]), [[float(x) for x in a * np.sign(a[np.abs(a).argmax()])] for a in axes]
+

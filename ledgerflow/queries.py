@@ -16,7 +16,7 @@ from ledgerflow.jobs import runs
 from ledgerflow.operators import evaluation, explain, features, model, network, scaling, segments, split
 from ledgerflow.sources import sinks
 from ledgerflow.sources.storage import shared_path, written
-from ledgerflow.sources.transactions import derived, fingerprint, from_events, guard_size, read_csv
+from ledgerflow.sources.transactions import derived, file_digests, fingerprint, from_events, guard_size, normalised, read_csv
 
 BUDGET, FRACTION, PLACES = 100, 0.7, 6
 COUNTS = [c for c in FEATURE_COLUMNS if c.endswith(("count", "parties", "banks", "hours"))]
@@ -35,21 +35,6 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.account_days(transfers(spark, sf_dir))
 
 
-def shares(rows: DataFrame, column: str, last: Column, name: str) -> DataFrame:
-    """rows with the share of the segment's training values that are at most the row's, by running counts of distinct values.
-
-    Values are dealt to ranges; counts run inside a range, after those of the ranges before, so no segment is one task.
-    """
-    per = rows.groupBy("cluster", column).agg(F.count_if(F.col("date") <= last).alias("n"))
-    per = written(per.repartitionByRange("cluster", column).withColumn("part", F.spark_partition_id()))
-    down = Window.partitionBy("cluster").orderBy("part")
-    totals = per.groupBy("cluster", "part").agg(F.sum("n").alias("m"))  # a row for each range and segment
-    totals = totals.select("cluster", "part", (F.sum("m").over(down) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy("cluster")).alias("all"))
-    inside = F.sum("n").over(Window.partitionBy("cluster", "part").orderBy(column))
-    run = per.join(F.broadcast(totals), ["cluster", "part"]).select("cluster", column, F.coalesce(F.try_divide((F.col("before") + inside).cast("double"), "all"), F.lit(0.0)).alias(name))
-    return rows.join(run, ["cluster", column])
-
-
 def clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
     """Account-days with the stand-in cluster, and the cutoff."""
     f = written(days(spark, sf_dir), "features")
@@ -59,7 +44,9 @@ def clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
 def stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account-days with stand-in cluster, percentiles, risk and the cutoff."""
     rows, cut = clustered(spark, sf_dir)
-    rows = shares(shares(rows, "total_value", F.lit(cut), "anomaly_percentile"), "total_tx_count", F.lit(cut), "cluster_distance_percentile")
+    train = rows.where(F.col("date") <= F.lit(cut))
+    for column, name in (("total_value", "anomaly_percentile"), ("total_tx_count", "cluster_distance_percentile")):
+        rows = model.rank_shares(rows, model.reference_counts(train, column), column, name)
     return rows.withColumn("risk_score", model.risk(F.col("anomaly_percentile"), F.col("cluster_distance_percentile"))).withColumn("cutoff", F.lit(cut))
 
 
@@ -149,6 +136,23 @@ def s9(spark, sf_dir):
     return fingerprint(t).select("n_rows").crossJoin(t.distinct().agg(F.count("*").alias("n_distinct")))  # one row each
 
 
+@query("S9_file_digests")
+def s9_files(spark, sf_dir):
+    """Bytes and SHA-256 of each file of the events; tested against hashlib."""
+    return file_digests(spark, f"{sf_dir}/events.parquet")
+
+
+@query("P6_odd_values", "select event_id, case when event_id % 7 = 0 then 0.0::double when event_id % 11 = 0 then null else value end as amount_paid, cast(event_id % 17 <> 0 and event_id % 3 = 0 as integer) as is_laundering, cast(event_id % 13 <> 0 and event_type = 'purchase' as integer) as is_cash, cast(event_id % 19 = 0 as integer) as is_cross_currency from events")
+def p6(spark, sf_dir):
+    """P6-P8 where amounts are negative or missing, labels blank or text, formats and currencies missing: the events with such values put in."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i = F.col("event_id")
+    value = F.when(i % 7 == 0, -F.col("value")).when(i % 11 == 0, F.lit(None)).otherwise(F.col("value"))
+    raw = e.select("event_id", F.col("ts").alias("timestamp"), *(F.lit("x").alias(c) for c in ("from_bank", "from_account", "to_bank")), i.cast("string").alias("to_account"), value.alias("amount_received"), F.lit("Euro").alias("receiving_currency"), value.alias("amount_paid"), F.when(i % 19 != 0, "Euro").alias("payment_currency"), F.when(i % 13 != 0, F.when(F.col("event_type") == "purchase", "CASH").otherwise("Wire")).alias("payment_format"), F.when(i % 17 != 0, F.when(i % 3 == 0, "1").otherwise("0")).alias("is_laundering"))
+    t = derived(normalised(raw.drop("event_id")))
+    return t.select(F.col("to_account").cast("long").alias("event_id"), "amount_paid", LABEL, "is_cash", "is_cross_currency")
+
+
 @query("P4_times", f"with {TX} select strftime(timestamp, '%Y/%m/%d %H:%M') as written, date_trunc('minute', timestamp) as read, count(*) as n from tx group by all")
 def p4(spark, sf_dir):
     """Slash times, parsed as the input has them."""
@@ -211,9 +215,11 @@ def j1(spark, sf_dir):
     return features.joined_sides(transfers(spark, sf_dir)).select("date", "account_id", "out_tx_count", "in_tx_count", "out_total", "in_total")
 
 
-@query("J2_with_reciprocal", f"with {F_} select case_id, reciprocal_counterparties from f")
+@query("J2_with_reciprocal", f"with {SIDES} select date, account_id, coalesce(out_tx_count, 0) as out_tx_count, coalesce(in_tx_count, 0) as in_tx_count, cast(coalesce(reciprocal_counterparties, 0) as bigint) as reciprocal_counterparties from o full join i using (date, account_id) left join r using (date, account_id)")
 def j2(spark, sf_dir):
-    return days(spark, sf_dir).select("case_id", "reciprocal_counterparties")
+    """The left join itself; account_days() gets the same counts without it."""
+    t = transfers(spark, sf_dir)
+    return features.with_reciprocal(features.joined_sides(t), features.reciprocal_counts(t)).select("date", "account_id", "out_tx_count", "in_tx_count", "reciprocal_counterparties")
 
 
 @query("J3_reciprocity", f"with {SIDES} select a.date, a.from_account, a.to_account from p a join p b on a.date = b.date and a.from_account = b.to_account and a.to_account = b.from_account")
@@ -315,11 +321,17 @@ def m1(spark, sf_dir):
 
 @query("W4_ecdf", f"with {SCORED} select case_id, {_round('anomaly_percentile', 'cluster_distance_percentile')} from s")
 def w4(spark, sf_dir):
-    """By the model's own references and percentile function: exact up to model.GRID training rows a segment."""
+    """By the model's own references, whole and in the tasks."""
     rows, cut = clustered(spark, sf_dir)
     rows = written(rows.withColumns({"value": F.col("total_value").cast("double"), "times": F.col("total_tx_count").cast("double")}))
-    refs = model.references(rows.where(F.col("date") <= F.lit(cut)), ["value", "times"])
-    return rounded(rows.select("case_id", model.ecdf(rows, "value", refs["value"]).alias("anomaly_percentile"), model.ecdf(rows, "times", refs["times"]).alias("cluster_distance_percentile")))
+    refs = {c: model.Reference.of(rows.where(F.col("date") <= F.lit(cut)), c) for c in ("value", "times")}
+    return rounded(refs["times"].shares(refs["value"].shares(rows, "value", "anomaly_percentile"), "times", "cluster_distance_percentile").select("case_id", "anomaly_percentile", "cluster_distance_percentile"))
+
+
+@query("W4_ecdf_large", f"with {SCORED} select case_id, {_round('anomaly_percentile', 'cluster_distance_percentile')} from s")
+def w4_large(spark, sf_dir):
+    """The same for references of any size: ranks over ranges of values."""
+    return rounded(stand_in(spark, sf_dir).select("case_id", "anomaly_percentile", "cluster_distance_percentile"))
 
 
 @query("M6_risk", f"with {SCORED} select case_id, cluster, risk_score from s")
@@ -337,12 +349,12 @@ def w3(spark, sf_dir):
     return alerts(spark, sf_dir).select("rank", "case_id")
 
 
-@query("S3_queue", f"with {SCORED} select case_id, risk_score from e")
+@query("S3_queue", f"with {SCORED} select row_number() over (order by risk_score desc, case_id) as rank, case_id, risk_score from e")
 def s3(spark, sf_dir):
-    """The whole held-out queue, written in order of risk and read back."""
+    """The whole held-out queue with its ranks, written in their order and read back."""
     path = shared_path(spark, "queue")
-    sinks.write_queue(late(spark, sf_dir).select("case_id", "risk_score"), path)
-    return sinks.read_small_csv(spark, path, "case_id string, risk_score double")
+    sinks.write_queue(evaluation.ranked_cases(late(spark, sf_dir).select("case_id", "risk_score")), path)
+    return sinks.read_small_csv(spark, path, "rank long, case_id string, risk_score double")
 
 
 @query("W2_running", f"with {TOP} select rank, case_id, cast(sum(is_laundering) over (order by rank) as bigint) as hits, cast(sum(cast(case when is_laundering > 0 then total_value else 0 end as decimal(24,4))) over (order by rank) as double) as detected_value from k")

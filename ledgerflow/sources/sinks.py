@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def write_scored(scored: DataFrame, path: str) -> None:
     scored.write.partitionBy("date").parquet(path)
 
 
-def write_queue(scored: DataFrame, path: str) -> None:
-    """All cases from the highest risk down: a range-partitioned sort."""
-    scored.orderBy(F.desc("risk_score"), "case_id").write.csv(path, header=True)
+def write_queue(ranked: DataFrame, path: str) -> None:
+    """All cases with their rank (column rank, first), from the highest risk down: a range-partitioned sort."""
+    ranked.select("rank", *(c for c in ranked.columns if c != "rank")).orderBy("rank").write.csv(path, header=True)
 
 
 def write_json(one_row: DataFrame, path: str) -> None:

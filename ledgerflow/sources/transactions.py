@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.schema import LABEL, TRANSACTION_COLUMNS
@@ -44,7 +44,7 @@ def parsed_time(c: Column) -> Column:
 
 def amount(c: Column) -> Column:
     x = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
-    return F.when(x < 0, 0.0).otherwise(x)
+    return F.when(x <= 0, 0.0).otherwise(x)  # no negative zero
 
 
 def normalised(raw: DataFrame) -> DataFrame:
@@ -98,8 +98,23 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("hash_sum"))
 
 
-def guard_size(df: DataFrame, least: int = LEAST_ROWS) -> int:
-    n = df.count()
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes, sha256 (lowercase hex) of each input file. A file is one value here, so this is for files of at most 2 GB, as the source has it; empty files are not read by Spark and have no row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def guarded(n: int, least: int = LEAST_ROWS) -> int:
     if n < least:
         raise ValueError(f"{n} transactions; at least {least} are needed")
     return n
+
+
+def guard_size(df: DataFrame, least: int = LEAST_ROWS) -> int:
+    return guarded(df.count(), least)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """df with an observation whose n is its rows, known once an action has read df: no scan of its own."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
