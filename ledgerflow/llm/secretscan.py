@@ -1,7 +1,8 @@
 """Secret scans in DataFrame functions alone: fixed patterns, and a battery of randomness tests.
 
-The battery looks at tokens of 20 characters and more that mix letters and digits, outside the spans of the fixed patterns. Each
-gets the encoding that its characters allow (hex, base32, base62, base64), is read as numbers in that alphabet, and is tested for
+The battery looks at tokens of 20 characters and more, outside the spans of the fixed patterns, that mix letters and digits, or upper and
+lower case as often as random letters do (names in camel case seldom do); UUIDs, which name things, are none. Each
+gets the encoding that its characters allow (hex, base32 and base36 in one case, also in groups joined by - or _, base62, base64), is read as numbers in that alphabet, and is tested for
 randomness three times: chi-squared for uniform use of the alphabet, the runs test about the middle, and lag-one serial
 correlation. Fisher's method joins the three p-values; a token stands as random if the joined one is at least LEVEL.
 
@@ -37,10 +38,14 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Changes of case a character from which a token without digits is a candidate; random letters have one in two.
+TURNS = 0.4
 #: Production parameters: false-discovery rate of what is reported; level of the randomness tests; length classes by power of two, the last open; places of -log10 p (100 to a decade, 30 decades).
 Q, LEVEL, CLASSES, BINS = 0.001, 0.01, 5, 3000
 #: Per cent of each letter, a to z, in English text; and of numbers among the letters and numbers of a readable name.
@@ -128,11 +133,14 @@ def _serial(c: Column, n: Column) -> Column:
 
 def battery(token: Column) -> Column:
     """struct<encoding string, p double>: the encoding, and Fisher's p-value for randomness."""
-    encoding = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+$"), "base32").when(token.rlike("^[0-9A-Za-z]+$"), "base62").otherwise("base64")
+    ungrouped = F.regexp_replace(token, "[-_]", "")
+    one_case = F.when(ungrouped.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(ungrouped.rlike("^([A-Z2-7]+|[a-z2-7]+)$"), "base32").when(ungrouped.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36")
+    encoding = F.coalesce(one_case, F.when(token.rlike("^[0-9A-Za-z]+$"), "base62").otherwise("base64"))
     letters = F.create_map(*(F.lit(v) for kv in ALPHABETS.items() for v in kv))
 
     def coded(x: Column) -> Column:
-        plain = F.when(x["encoding"] == "hex", F.lower(x["token"])).otherwise(x["token"])
+        bare = F.regexp_replace(x["token"], "[-_]", "")
+        plain = F.when(x["encoding"] == "base32", F.upper(bare)).when(x["encoding"].isin("hex", "base36"), F.lower(bare)).otherwise(x["token"])
         return F.transform(F.filter(F.split(plain, ""), lambda ch: ch != ""), lambda ch: (F.instr(letters[x["encoding"]], ch) - 1).cast("double"))
 
     def joined(y: Column) -> Column:
@@ -140,7 +148,7 @@ def battery(token: Column) -> Column:
         return _let(surprise, lambda v: F.exp(-v) * (1 + v + v * v / 2))  # chi-squared with six degrees of freedom
 
     def tests(x: Column) -> Column:
-        return _let(F.struct(coded(x).alias("c"), F.length(letters[x["encoding"]]).cast("double").alias("k"), F.length(x["token"]).cast("double").alias("n")), joined)
+        return _let(coded(x), lambda c: joined(F.struct(c.alias("c"), F.length(letters[x["encoding"]]).cast("double").alias("k"), F.size(c).cast("double").alias("n"))))
 
     return _let(F.struct(encoding.alias("encoding"), token.alias("token")), lambda x: F.struct(x["encoding"].alias("encoding"), tests(x).alias("p")))
 
@@ -172,10 +180,11 @@ def _found(text: Column) -> list[Column]:
 
 
 def _candidates(text: Column, base: Column, tokens: Column) -> Column:
-    """array<struct<s, k, e, stratum, bin>> of the tokens that mix letters and digits and are outside the base spans."""
+    """array<struct<s, k, e, stratum, bin>> of the tokens outside the base spans that mix letters and digits, or both cases."""
     free = F.filter(tokens, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     named = F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.substring(text, x["s"] + 1, x["e"] - x["s"]).alias("token")))
-    mixed = F.filter(named, lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]"))
+    turns = lambda t: F.regexp_count(t, F.lit("[a-z](?=[A-Z])|[A-Z](?=[a-z])"))
+    mixed = F.filter(named, lambda x: x["token"].rlike("[A-Za-z]") & ~x["token"].rlike(UUID) & (x["token"].rlike("[0-9]") | (turns(x["token"]) >= TURNS * F.length(x["token"]))))
     tested = F.transform(mixed, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), battery(x["token"]).alias("t"), unlike_text(x["token"]).alias("p")))
     length = lambda x: F.least(F.floor(F.log2((x["e"] - x["s"]) / F.lit(20.0))), F.lit(CLASSES - 1)).cast("string")
     place = lambda x: F.when(x["t"]["p"] < LEVEL, 0).otherwise(F.least(F.floor(-F.log10(F.greatest(x["p"], F.lit(1e-30))) * 100), F.lit(BINS - 1))).cast("int")

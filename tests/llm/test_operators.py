@@ -273,8 +273,9 @@ def tail(z):
 
 def plain_battery(token):
     """(encoding, Fisher's p of the three randomness tests) in plain Python."""
-    name = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token) else "base32" if re.fullmatch("[A-Z2-7]+", token) else "base62" if re.fullmatch("[0-9A-Za-z]+", token) else "base64"
-    c = [secretscan.ALPHABETS[name].index(x) for x in (token.lower() if name == "hex" else token)]
+    bare = token.replace("-", "").replace("_", "")
+    name = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", bare) else "base32" if re.fullmatch("[A-Z2-7]+|[a-z2-7]+", bare) else "base36" if re.fullmatch("[0-9A-Z]+|[0-9a-z]+", bare) else "base62" if re.fullmatch("[0-9A-Za-z]+", token) else "base64"
+    c = [secretscan.ALPHABETS[name].index(x) for x in {"hex": bare.lower(), "base36": bare.lower(), "base32": bare.upper()}.get(name, token)]
     k, n = len(secretscan.ALPHABETS[name]), len(c)
     w = 2 / (9 * (k - 1))
     chi = max(k / n * sum(v * v for v in Counter(c).values()) - n, 0)
@@ -304,7 +305,7 @@ def plain_spans(rows):
     for i, t in rows:
         base[i] = [(m.start(), 0, m.end()) for m in re.finditer(secretscan.ASSIGN, t) if len(m[2]) >= 12] + [(m.start(), 1, m.end()) for m in re.finditer(secretscan.ACCESS, t)] + [(m.start(), 2, m.end()) for m in re.finditer(secretscan.HEX, t)]
         for m in re.finditer(secretscan.TOKEN, t):
-            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < e for a, _, e in base[i]):
+            if re.search("[A-Za-z]", m[0]) and not re.fullmatch("(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", m[0]) and (re.search("[0-9]", m[0]) or sum(x.isalpha() and y.isalpha() and x.islower() != y.islower() for x, y in itertools.pairwise(m[0])) >= 0.4 * len(m[0])) and not any(a < m.end() and m.start() < e for a, _, e in base[i]):
                 name, p = plain_battery(m[0])
                 tests.append((i, m.start(), m.end(), (name, min(int(math.log2(len(m[0]) / 20)), 4)), plain_unlike(m[0]) if p >= secretscan.LEVEL else 1.0))
     for stratum in {x[3] for x in tests}:
@@ -316,7 +317,7 @@ def plain_spans(rows):
     return {i: ",".join(f"{secretscan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(x)) for i, x in base.items()}
 
 
-READABLE_TOKENS = ["TheQuickBrownFox2JumpedOverTheLazyDog", "usr/local/lib/python3/site-packages/numpy", "getElementsByClassName2", "org_apache_spark_sql_catalyst_v2", "user-account-settings-page-v3", "MAX_RETRY_COUNT_PER_HOST_2", "INTERNATIONALIZATION2", "report-2024-01-15-final-version2", "src/main/java/com/acme/Utf8StringTokenizer2", "HttpXmlParserFactoryBeanImpl3", "aaaaaaaaaabbbbbbbbbbcccccccccc1111111111"]
+READABLE_TOKENS = ["TheQuickBrownFox2JumpedOverTheLazyDog", "usr/local/lib/python3/site-packages/numpy", "getElementsByClassName2", "org_apache_spark_sql_catalyst_v2", "user-account-settings-page-v3", "MAX_RETRY_COUNT_PER_HOST_2", "INTERNATIONALIZATION2", "report-2024-01-15-final-version2", "src/main/java/com/acme/Utf8StringTokenizer2", "HttpXmlParserFactoryBeanImpl3", "getElementsByClassName", "HttpXmlToDbBeanImplOfMyApi", "Internationalization", "donaudampfschifffahrtsgesellschaft", "aaaaaaaaaabbbbbbbbbbcccccccccc1111111111"]
 
 
 def test_randomness(spark):
@@ -324,12 +325,18 @@ def test_randomness(spark):
     rng = random.Random(5)
     keys = {(name, n, k): "".join(rng.choice(signs) for _ in range(n)) for name, signs in secretscan.ALPHABETS.items() for n in (20, 24, 32, 40, 64) for k in range(20)}
     keys = {x: f"{t.upper()}" if x[0] == "hex" else t for x, t in keys.items()}
-    rows = [(i, f"see {t} here", "s") for i, t in enumerate([*keys.values(), *READABLE_TOKENS * 20])]
+    one = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    low, cap, letters = "abcdefghijklmnopqrstuvwxyz234567", secretscan.ALPHABETS["base36"].upper(), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys |= {("base32 in lower case", 40, k): one(low, 40) for k in range(20)} | {("base36 in upper case", 40, k): one(cap, 40) for k in range(20)} | {("letters alone", 40, k): one(letters, 40) for k in range(20)}
+    keys |= {("groups of hex", 40, k): "-".join(one("0123456789abcdef", 8) for _ in range(5)) for k in range(20)}
+    uuids = ["-".join(one("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)) for _ in range(5)]
+    rows = [(i, f"see {t} here", "s") for i, t in enumerate([*keys.values(), *READABLE_TOKENS * 20, *uuids])]
     got = {r["doc_id"]: r for r in secretscan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert {i: r["spans"] for i, r in got.items()} == plain_spans([r[:2] for r in rows])
     hits = Counter((name, n) for i, (name, n, _) in enumerate(keys) if got[i]["n_random"])
     least = {20: 10, 24: 10, 32: 13, 40: 17, 64: 19}  # of 20: short tokens give the tests less power
     assert all(hits[name, n] >= m for name in secretscan.ALPHABETS for n, m in least.items()), hits
+    assert all(n >= 14 for (name, _), n in hits.items() if " " in name) and len({name for name, _ in hits if " " in name}) == 4, hits
     assert not any(got[i]["n_random"] for i in range(len(keys), len(rows)))
     assert secretscan.secret_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
