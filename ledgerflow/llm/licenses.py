@@ -39,57 +39,84 @@ WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 NAMES = (
     ("mit", "mit", r"mit"),
     ("mit", "expat", r"expat"),
-    ("apache-1.1", "apache", r"apache(?: software)?(?: license)? (?:version |v)?1 1"),
-    ("apache-2", "apache", r"apache(?: software)?(?: license)? (?:version |v)?2(?: 0)?"),
-    ("gpl-2", "gpl", r"gpl v?2(?: 0)?|gpl version 2(?: 0)?"),
-    ("gpl-2", "general public", r"gnu general public license (?:version |v)?2(?: 0)?"),
-    ("gpl-3", "gpl", r"gpl v?3(?: 0)?|gpl version 3(?: 0)?"),
-    ("gpl-3", "general public", r"gnu general public license (?:version |v)?3(?: 0)?"),
-    ("lgpl-2.1", "lgpl", r"lgpl v?2 1|lgpl version 2 1"),
-    ("lgpl-2.1", "lesser", r"gnu lesser general public license (?:version |v)?2 1"),
-    ("lgpl-3", "lgpl", r"lgpl v?3(?: 0)?|lgpl version 3(?: 0)?"),
-    ("lgpl-3", "lesser", r"gnu lesser general public license (?:version |v)?3(?: 0)?"),
-    ("agpl-3", "agpl", r"agpl v?3(?: 0)?|agpl version 3(?: 0)?"),
-    ("agpl-3", "affero", r"gnu affero general public license (?:version |v)?3(?: 0)?"),
+    ("apache-1.1", "apache", r"apache(?: software)?(?: license)? (?:version |v ?)?1 1"),
+    ("apache-2", "apache", r"apache(?: software)?(?: license)? (?:version |v ?)?2(?: 0)?"),
+    ("gpl-2", "gpl", r"(?:gnu )?gpl (?:version |v ?)?2(?: 0)?"),
+    ("gpl-2", "general public", r"gnu general public license (?:version |v ?)?2(?: 0)?"),
+    ("gpl-3", "gpl", r"(?:gnu )?gpl (?:version |v ?)?3(?: 0)?"),
+    ("gpl-3", "general public", r"gnu general public license (?:version |v ?)?3(?: 0)?"),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl (?:version |v ?)?2 1"),
+    ("lgpl-2.1", "lesser", r"gnu lesser general public license (?:version |v ?)?2 1"),
+    ("lgpl-3", "lgpl", r"(?:gnu )?lgpl (?:version |v ?)?3(?: 0)?"),
+    ("lgpl-3", "lesser", r"gnu lesser general public license (?:version |v ?)?3(?: 0)?"),
+    ("agpl-3", "agpl", r"(?:gnu )?agpl (?:version |v ?)?3(?: 0)?"),
+    ("agpl-3", "affero", r"gnu affero general public license (?:version |v ?)?3(?: 0)?"),
     ("bsd-2-clause", "freebsd", r"freebsd"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)"),
     ("isc", "isc", r"isc"),
-    ("mpl-1.1", "mozilla", r"mozilla public license (?:version |v)?1 1"),
-    ("mpl-2", "mozilla", r"mozilla public license (?:version |v)?2(?: 0)?"),
-    ("mpl-2", "mpl", r"mpl v?2(?: 0)?"),
-    ("epl-1", "eclipse", r"eclipse public license (?:version |v)?1(?: 0)?"),
-    ("epl-2", "eclipse", r"eclipse public license (?:version |v)?2(?: 0)?"),
-    ("cddl-1", "cddl", r"cddl(?: (?:version |v)?1(?: [01])?)?"),
+    ("mpl-1.1", "mozilla", r"mozilla public license (?:version |v ?)?1 1"),
+    ("mpl-2", "mozilla", r"mozilla public license (?:version |v ?)?2(?: 0)?"),
+    ("mpl-2", "mpl", r"mpl (?:version |v ?)?2(?: 0)?"),
+    ("epl-1", "eclipse", r"eclipse public license (?:version |v ?)?1(?: 0)?"),
+    ("epl-2", "eclipse", r"eclipse public license (?:version |v ?)?2(?: 0)?"),
+    ("cddl-1", "cddl", r"cddl(?: (?:version |v ?)?1(?: [01])?)?"),
     ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("boost-1", "boost", r"boost software(?: license)? (?:version |v)?1(?: 0)?"),
+    ("boost-1", "boost", r"boost software(?: license)? (?:version |v ?)?1(?: 0)?"),
     *((f"{k}gpl-{v}", f"{k}gplv{v}", rf"{k}gplv{v}(?: 0)?") for k, v in (("", 2), ("", 3), ("l", 3), ("a", 3))),
     ("mpl-2", "mplv2", r"mplv2(?: 0)?"),
     ("unlicense", "unlicense", r"unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl"),
-    ("artistic-2", "artistic", r"artistic license (?:version |v)?2(?: 0)?"),
+    ("artistic-2", "artistic", r"artistic license (?:version |v ?)?2(?: 0)?"),
     ("python-2", "python", r"python software foundation license(?: version 2)?"),
     ("python-2", "psf", r"psf license"),
     ("postgresql", "postgresql", r"postgresql"),
-    ("odbl-1", "database", r"open database license(?: (?:version |v)?1(?: 0)?)?"),
-    ("ofl-1.1", "sil", r"sil open font license(?: (?:version |v)?1 1)?"),
-    ("eupl-1.2", "european", r"european union public licen[cs]e(?: (?:version |v)?1 2)?"),
+    ("odbl-1", "database", r"open database license(?: (?:version |v ?)?1(?: 0)?)?"),
+    ("ofl-1.1", "sil", r"sil open font license(?: (?:version |v ?)?1 1)?"),
+    ("eupl-1.2", "european", r"european union public licen[cs]e(?: (?:version |v ?)?1 2)?"),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
     *((f"cc-{k.replace(' ', '-')}", "cc", rf"cc {k}(?: [1-4] 0)?") for k in ("by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by")),
     *((f"cc-{k.replace(' ', '-')}", "creative", f"creative commons {w}(?: [1-4] 0)?") for k, w in (("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"), ("by nc sa", "attribution non ?commercial share ?alike"), ("by nc", "attribution non ?commercial"), ("by nd", "attribution no ?deriv(?:ative)?s"), ("by sa", "attribution share ?alike"), ("by", "attribution"))),
 )
+#: Families of licenses without a version: label, keyword, names.
+FAMILIES = (
+    ("apache", "apache", r"apache(?: software)?(?: license)?"),
+    ("gpl", "gpl", r"(?:gnu )?gpl"),
+    ("gpl", "general public", r"(?:gnu )?general public licen[cs]e"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
+    ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[cs]e"),
+    ("lgpl", "library general", r"(?:gnu )?library general public licen[cs]e"),
+    ("agpl", "agpl", r"(?:gnu )?agpl"),
+    ("agpl", "affero", r"(?:gnu )?affero general public licen[cs]e"),
+    ("bsd", "bsd", r"bsd(?: style)?"),
+    ("mpl", "mpl", r"mpl"),
+    ("mpl", "mozilla", r"mozilla public licen[cs]e"),
+    ("epl", "epl", r"epl"),
+    ("epl", "eclipse", r"eclipse public licen[cs]e"),
+    ("eupl", "eupl", r"eupl"),
+    ("artistic", "artistic", r"artistic licen[cs]e"),
+    ("python", "python", r"python(?: software foundation)?"),
+    ("cc", "creative", r"creative commons"),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdl"),
+    ("gfdl", "fdl", r"(?:gnu )?fdl"),
+    ("gfdl", "documentation", r"(?:gnu )?free documentation licen[cs]e"),
+)
+#: Names that may go on a notice of others; "python" is a program more often than a license there.
+JOINED = (*NAMES, *(x for x in FAMILIES if x[0] != "python"))
+#: Of the families, those that are a whole name by themselves.
+WHOLE_FAMILIES = {"general public", "lesser", "library general", "affero", "mozilla", "eclipse", "documentation"}
 #: Of the names, those that say enough by themselves, with the version they must hold.
 VERSIONED = {
-    ("apache-2", "apache"): r"apache(?: software)?(?: license)? (?:version |v)?2 0",
-    ("gpl-2", "gpl"): r"gpl v?2(?: 0)?|gpl version 2(?: 0)?", ("gpl-3", "gpl"): r"gpl v?3(?: 0)?|gpl version 3(?: 0)?",
-    ("gpl-2", "general public"): r"gnu general public license (?:version |v)?2(?: 0)?", ("gpl-3", "general public"): r"gnu general public license (?:version |v)?3(?: 0)?",
-    ("lgpl-2.1", "lgpl"): r"lgpl v?2 1|lgpl version 2 1", ("lgpl-3", "lgpl"): r"lgpl v?3(?: 0)?|lgpl version 3(?: 0)?", ("agpl-3", "agpl"): r"agpl v?3(?: 0)?|agpl version 3(?: 0)?",
-    ("lgpl-2.1", "lesser"): r"gnu lesser general public license (?:version |v)?2 1", ("lgpl-3", "lesser"): r"gnu lesser general public license (?:version |v)?3(?: 0)?", ("agpl-3", "affero"): r"gnu affero general public license (?:version |v)?3(?: 0)?",
+    ("apache-2", "apache"): r"apache(?: software)?(?: license)? (?:version |v ?)?2 0",
+    ("gpl-2", "gpl"): r"(?:gnu )?gpl (?:version |v ?)?2(?: 0)?", ("gpl-3", "gpl"): r"(?:gnu )?gpl (?:version |v ?)?3(?: 0)?",
+    ("gpl-2", "general public"): r"gnu general public license (?:version |v ?)?2(?: 0)?", ("gpl-3", "general public"): r"gnu general public license (?:version |v ?)?3(?: 0)?",
+    ("lgpl-2.1", "lgpl"): r"(?:gnu )?lgpl (?:version |v ?)?2 1", ("lgpl-3", "lgpl"): r"(?:gnu )?lgpl (?:version |v ?)?3(?: 0)?", ("agpl-3", "agpl"): r"(?:gnu )?agpl (?:version |v ?)?3(?: 0)?",
+    ("lgpl-2.1", "lesser"): r"gnu lesser general public license (?:version |v ?)?2 1", ("lgpl-3", "lesser"): r"gnu lesser general public license (?:version |v ?)?3(?: 0)?", ("agpl-3", "affero"): r"gnu affero general public license (?:version |v ?)?3(?: 0)?",
     ("gpl-2", "gplv2"): r"gplv2(?: 0)?", ("gpl-3", "gplv3"): r"gplv3(?: 0)?", ("lgpl-3", "lgplv3"): r"lgplv3(?: 0)?", ("agpl-3", "agplv3"): r"agplv3(?: 0)?", ("mpl-2", "mplv2"): r"mplv2(?: 0)?",
     ("bsd-2-clause", "bsd"): r"bsd 2 clause|2 clause bsd|two clause bsd", ("bsd-3-clause", "bsd"): r"bsd 3 clause|3 clause bsd|three clause bsd", ("bsd-4-clause", "bsd"): r"bsd 4 clause|4 clause bsd|four clause bsd",
-    ("mpl-2", "mpl"): r"mpl (?:v|version )?2 0", ("mpl-2", "mozilla"): r"mozilla public license (?:version |v)?2(?: 0)?", ("mpl-1.1", "mozilla"): r"mozilla public license (?:version |v)?1 1",
-    ("epl-1", "eclipse"): r"eclipse public license (?:version |v)?1(?: 0)?", ("epl-2", "eclipse"): r"eclipse public license (?:version |v)?2(?: 0)?",
+    ("mpl-2", "mpl"): r"mpl (?:version |v ?)?2 0", ("mpl-2", "mozilla"): r"mozilla public license (?:version |v ?)?2(?: 0)?", ("mpl-1.1", "mozilla"): r"mozilla public license (?:version |v ?)?1 1",
+    ("epl-1", "eclipse"): r"eclipse public license (?:version |v ?)?1(?: 0)?", ("epl-2", "eclipse"): r"eclipse public license (?:version |v ?)?2(?: 0)?",
     **{(f"cc-{k.replace(' ', '-')}", "cc"): rf"cc {k} [1-4] 0" for k in ("by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by")},
 }
 #: Priority, weight, words of which a text has one, and how a name stands in such a license notice.
@@ -107,6 +134,9 @@ NOTICES = (
 )
 #: A name that holds a version says enough by itself.
 BARE = (2, 0.6)
+#: Kinds of notice in which a family may stand (not a mere "under", as programs run under others); all of lower priority than any other rule.
+FAMILY_NOTICES = tuple((1 + p / 100, 0.8 * w, has, text) for p, w, has, text in NOTICES if not text.startswith(("under", "(?:subject")))
+FAMILY_BARE = (1, 0.5)
 #: Signatures by text of the licenses themselves, their headers, addresses and general notices (priority, weight, label, keyword, words).
 PHRASES = (
     (10, 1.0, "mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
@@ -186,7 +216,7 @@ PHRASES = (
     (10, 1.0, "polyform-nc", "polyform", r"polyform noncommercial license(?: 1 0 0)?"),
     (10, 1.0, "sleepycat", "sleepycat", r"sleepycat license"),
     (10, 1.0, "vim", "vim", r"vim license"),
-    (10, 1.0, "cecill-2.1", "cecill", r"cecill(?: free software)?(?: license)?(?: agreement)? (?:version |v)?2 1"),
+    (10, 1.0, "cecill-2.1", "cecill", r"cecill(?: free software)?(?: license)?(?: agreement)? (?:version |v ?)?2 1"),
     (10, 1.0, "cecill-b", "cecill", r"cecill b(?: license)?"),
     (10, 1.0, "qpl-1", "public license", r"q public license version 1 0"),
     (10, 1.0, "lppl-1.3c", "latex", r"latex project public license(?: (?:v |version )?1 3c?)?"),
@@ -199,8 +229,106 @@ PHRASES = (
     (10, 1.0, "cc0", "creativecommons", r"creativecommons org publicdomain zero 1 0"),
     (10, 1.0, "cc-pdm", "creativecommons", r"creativecommons org publicdomain mark 1 0"),
     *((10 + len(k.split()), 1.0, f"cc-{k.replace(' ', '-')}", "creativecommons", rf"creativecommons org licenses {k}(?: [1-4] [05])?") for k in ("by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by")),
-    (10, 1.0, "ogl-3", "government", r"open government licen[cs]e (?:version |v)?3 0"),
+    (10, 1.0, "ogl-3", "government", r"open government licen[cs]e (?:version |v ?)?3 0"),
     (9, 0.8, "ogl", "government", r"open government licen[cs]e"),
+    (10, 1.0, "aal", "attribution", r"attribution assurance license"),
+    (10, 1.0, "apsl-2", "apple", r"apple public source license(?: version)?(?: 2 0)?"),
+    (10, 1.0, "apl-1", "adaptive", r"adaptive public license(?: version)?(?: 1 0)?"),
+    (10, 1.0, "artistic-clarified", "artistic", r"clarified artistic license"),
+    (10, 1.0, "bittorrent", "bittorrent", r"bittorrent open source license(?: version 1 [01])?"),
+    (10, 1.0, "bsd-protection", "protection", r"bsd protection license"),
+    (10, 1.0, "bsd-patent", "patent", r"bsd(?: 2 clause)? plus patent license"),
+    (10, 1.0, "bsd-3-clause-clear", "clear", r"(?:the )?clear bsd license"),
+    (10, 1.0, "bsd-3-clause-lbnl", "berkeley", r"lawrence berkeley national labs bsd(?: variant)? license"),
+    (10, 1.0, "bzip2", "bzip2", r"bzip2 license|the program bzip2 the associated library libbzip2"),
+    (10, 1.0, "caldera", "caldera", r"caldera license"),
+    (10, 1.0, "catosl-1.1", "computer associates", r"computer associates trusted open source license(?: 1 1)?"),
+    (10, 1.0, "cdla-permissive", "data", r"community data license agreement permissive(?: (?:version )?[12] 0)?"),
+    (10, 1.0, "cdla-sharing", "data", r"community data license agreement sharing(?: (?:version )?1 0)?"),
+    (10, 1.0, "cecill-c", "cecill", r"cecill c(?: license)?"),
+    (10, 1.0, "cern-ohl", "hardware", r"cern open hardware licen[cs]e(?: version)?(?: [12](?: [0-9])?)?"),
+    (10, 1.0, "clartistic", "clartistic", r"clartistic"),
+    (10, 1.0, "cnri-python", "cnri", r"cnri (?:open source )?(?:python )?license(?: agreement)?"),
+    (10, 1.0, "condor-1.1", "condor", r"condor public license(?: (?:version |v ?)?1 1)?"),
+    (10, 1.0, "cpal-1", "common public", r"common public attribution license(?: version)?(?: 1 0)?"),
+    (10, 1.0, "cua-opl-1", "cua", r"cua office public license(?: version)?(?: 1 0)?"),
+    (10, 1.0, "curl", "curl", r"curl license"),
+    (10, 1.0, "dco", "origin", r"developer certificate of origin(?: version)?(?: 1 1)?"),
+    (10, 1.0, "doc", "ace", r"licensing information for ace"),
+    (10, 1.0, "ecl-2", "educational", r"educational community license(?: version)?(?: 2 0)?"),
+    (10, 1.0, "efl-2", "eiffel", r"eiffel forum license(?: version)?(?: 2)?"),
+    (10, 1.0, "entessa", "entessa", r"entessa public license(?: version)?(?: 1 0)?"),
+    (10, 1.0, "erlpl-1.1", "erlang", r"erlang public license(?: version)?(?: 1 1)?"),
+    (10, 1.0, "etalab-2", "ouverte", r"licence ouverte(?: open licence)?(?: version)?(?: 2 0)?"),
+    (10, 1.0, "eudatagrid", "eu", r"eu datagrid software license"),
+    (10, 1.0, "fair", "instrument", r"usage of the works is permitted provided that this instrument is retained"),
+    (10, 1.0, "frameworx-1", "frameworx", r"frameworx open license(?: 1 0)?"),
+    (10, 1.0, "ftl", "freetype", r"(?:the )?freetype project license|portions of this software are copyright [^ ]+ the freetype project"),
+    (10, 1.0, "gfdl-1.1", "documentation", r"gnu free documentation license version 1 1"),
+    (10, 1.0, "gfdl-1.2", "documentation", r"gnu free documentation license version 1 2"),
+    (10, 1.0, "gfdl-1.3", "documentation", r"gnu free documentation license version 1 3"),
+    (10, 1.0, "glide", "glide", r"3dfx glide source code general public license"),
+    (10, 1.0, "gpl-classpath", "exception", r"as a special exception the copyright holders of this (?:library|program) give you permission to link"),
+    (10, 1.0, "hippocratic-2.1", "hippocratic", r"hippocratic license(?: version)?(?: (?:number )?2 1)?"),
+    (10, 1.0, "ibm-pibs", "ibm", r"this source code has been made available to you by ibm on an as is basis"),
+    (10, 1.0, "icu", "icu", r"icu license(?: icu 1 8 1 and later)?"),
+    (10, 1.0, "ijg", "jpeg", r"this software is based in part on the work of the independent jpeg group"),
+    (10, 1.0, "imagemagick", "imagemagick", r"imagemagick license"),
+    (10, 1.0, "imatix", "imatix", r"imatix standard function library"),
+    (10, 1.0, "info-zip", "info zip", r"(?:the )?info zip license|info zip is defined as the following set of individuals"),
+    (10, 1.0, "intel", "intel", r"intel open source license"),
+    (10, 1.0, "ipa", "ipa", r"ipa font license(?: agreement)?(?: v1 0)?"),
+    (10, 1.0, "ipl-1", "ibm", r"ibm public license(?: version)?(?: 1 0)?"),
+    (10, 1.0, "jasper-2", "jasper", r"jasper license version 2 0"),
+    (10, 1.0, "lal-1.3", "art", r"licence art libre(?: 1 3)?|free art license(?: 1 3)?"),
+    (10, 1.0, "leptonica", "leptonica", r"leptonica license"),
+    (10, 1.0, "lgpllr", "linguistic", r"lesser general public license for linguistic resources"),
+    (10, 1.0, "libpng", "png", r"png reference library license(?: version 2)?"),
+    (10, 1.0, "libpng", "libpng", r"libpng license(?: version 2)?"),
+    (10, 1.0, "libtiff", "silicon", r"the names of sam leffler and silicon graphics may not be used in any advertising"),
+    (10, 1.0, "liliq-p-1.1", "québec", r"licence libre du québec permissive(?: liliq p)?(?: version)?(?: 1 1)?"),
+    (10, 1.0, "liliq-r-1.1", "réciprocité", r"licence libre du québec réciprocité(?: liliq r)?(?: version)?(?: 1 1)?"),
+    (10, 1.0, "llama-2", "llama", r"llama 2 community license(?: agreement)?"),
+    (10, 1.0, "llama-3", "llama", r"(?:meta )?llama 3(?: [1-3])? community license(?: agreement)?"),
+    (10, 1.0, "lucent-1.02", "lucent", r"lucent public license(?: version)?(?: 1 02)?"),
+    (10, 1.0, "miros", "miros", r"(?:the )?miros licence"),
+    (10, 1.0, "mit-advertising", "enlightenment", r"enlightenment license(?: e16)?"),
+    (10, 1.0, "mit-cmu", "carnegie", r"carnegie mellon university makes no representations about the suitability of this software"),
+    (10, 1.0, "mit-modern", "modern", r"mit license modern variant"),
+    (10, 1.0, "motosoto", "motosoto", r"motosoto open source license(?: version)?(?: 0 9 1)?"),
+    (10, 1.0, "multics", "multics", r"multics license"),
+    (10, 1.0, "nasa-1.3", "nasa", r"nasa open source agreement(?: version)?(?: 1 3)?"),
+    (10, 1.0, "naumen", "naumen", r"naumen public license"),
+    (10, 1.0, "nbpl-1", "net boolean", r"net boolean public license(?: v1)?"),
+    (10, 1.0, "ngpl", "nethack", r"nethack general public license"),
+    (10, 1.0, "nokia", "nokia", r"nokia open source license(?: version)?(?: 1 0a)?"),
+    (10, 1.0, "nosl-1", "netizen", r"netizen open source license(?: version)?(?: 1 0)?"),
+    (10, 1.0, "npl-1.1", "netscape", r"netscape public license(?: version)?(?: 1 [01])?"),
+    (10, 1.0, "nposl-3", "non profit", r"non profit open software license(?: version)?(?: 3 0)?"),
+    (10, 1.0, "ntp", "ntp", r"ntp license"),
+    (10, 1.0, "oclc-2", "oclc", r"oclc research public license(?: version)?(?: 2 0)?"),
+    (10, 1.0, "ogtsl", "group", r"open group test suite license"),
+    (10, 1.0, "oldap-2.8", "openldap", r"(?:the )?openldap public license(?: version)?(?: 2 8)?"),
+    (10, 1.0, "openrail", "rail", r"(?:creativeml |bigscience |bigcode )?open rail(?: \+\+)?(?: m)?(?: license)?"),
+    (10, 1.0, "openrail", "openrail", r"(?:creativeml |bigscience |bigcode )?openrail(?: m)?(?: license)?"),
+    (10, 1.0, "oset-2.1", "oset", r"oset (?:foundation )?public license(?: version)?(?: 2 1)?"),
+    (10, 1.0, "parity-7", "parity", r"parity public license(?: 7 0 0)?"),
+    (10, 1.0, "prosperity-3", "prosperity", r"prosperity public license(?: 3 0 0)?"),
+    (10, 1.0, "rpl-1.5", "reciprocal", r"reciprocal public license(?: version)?(?: 1 5)?"),
+    (10, 1.0, "rpsl-1", "realnetworks", r"realnetworks public source license(?: version)?(?: (?:v ?)?1 0)?"),
+    (10, 1.0, "rscpl", "ricoh", r"ricoh source code public license"),
+    (10, 1.0, "sgi-b-2", "sgi", r"sgi free software license b(?: version)?(?: 2 0)?"),
+    (10, 1.0, "simpl-2", "simple", r"simple public license(?: 2 0)?"),
+    (10, 1.0, "sissl-1.1", "sun", r"sun industry standards source license(?: version)?(?: 1 1)?"),
+    (10, 1.0, "spl-1", "sun", r"sun public license(?: version)?(?: 1 0)?"),
+    (10, 1.0, "tcl", "tcl", r"tcl tk license"),
+    (10, 1.0, "ucl-1", "upstream", r"upstream compatibility license(?: (?:version |v ?)?1 0)?"),
+    (10, 1.0, "vsl-1", "vovida", r"vovida software license(?: (?:version |v ?)?1 0)?"),
+    (10, 1.0, "watcom-1", "sybase", r"sybase open watcom public license(?: version)?(?: 1 0)?"),
+    (10, 1.0, "xfree86-1.1", "xfree86", r"xfree86(?: project)? license(?: 1 1)?"),
+    (10, 1.0, "xnet", "x net", r"x net license"),
+    (10, 1.0, "ypl-1.1", "yahoo", r"yahoo public license(?: version)?(?: (?:v ?)?1 1)?"),
+    (10, 1.0, "zend-2", "zend", r"zend(?: engine)? license(?: version)?(?: 2 0)?"),
     (4, 0.7, "public-domain", "public domain", r"(?:released|placed|dedicated|is|are|put) (?:in|into|to) the public domain"),
     (4, 0.7, "public-domain", "copyright", r"(?:has|have) no known copyright restrictions"),
     (4, 0.7, "proprietary", "proprietary", r"proprietary and confidential"),
@@ -238,6 +366,8 @@ def rules() -> tuple[Rule, ...]:
     made = [Rule(p, w, label, frozenset(key.split()), frozenset(), re.compile(whole.format(text))) for p, w, label, key, text in PHRASES]
     made += [Rule(p, w, label, frozenset(key.split()), frozenset(has), re.compile(whole.format(notice.format(name=name) + LATER))) for label, key, name in NAMES for p, w, has, notice in NOTICES]
     made += [Rule(*BARE, label, frozenset(key.split()), frozenset(), re.compile(whole.format(f"(?:{VERSIONED[label, key]}){LATER}"))) for label, key, _ in NAMES if (label, key) in VERSIONED]
+    made += [Rule(p, w, label, frozenset(key.split()), frozenset(has), re.compile(whole.format(notice.format(name=name) + LATER))) for label, key, name in FAMILIES for p, w, has, notice in FAMILY_NOTICES]
+    made += [Rule(*FAMILY_BARE, label, frozenset(key.split()), frozenset(), re.compile(whole.format(f"(?:{name}){LATER}"))) for label, key, name in FAMILIES if key in WHOLE_FAMILIES]
     return tuple(sorted(made, key=lambda r: -r.priority))
 
 
@@ -263,7 +393,7 @@ def gates() -> tuple[tuple[bytes, re.Pattern], ...]:
 
 @cache
 def joined_names() -> re.Pattern:
-    return re.compile(JOINS + " (?:" + "|".join(f"(?P<n{k}>{name})" for k, (_, _, name) in enumerate(NAMES)) + f"){LATER}(?: licen[cs]es?)?(?![^ ])")
+    return re.compile(JOINS + " (?:" + "|".join(f"(?P<n{k}>{name})" for k, (_, _, name) in enumerate(JOINED)) + f"){LATER}(?: licen[cs]es?)?(?![^ ])")
 
 
 class Found(NamedTuple):
@@ -308,10 +438,10 @@ def detections(words: list[str]) -> list[Found]:
                 first = bisect_left(at, m.start())
                 denied = rule.priority < DENIED_BELOW and not DENIALS.isdisjoint(words[max(0, first - NEAR) : first])
                 put(rule, k, rule.label, m.start(), m.end(), 0, denied)
-                if rule.priority > BARE[0] and rule.notice:  # further names of an expression: A or B, A/B, A with B
+                if rule.notice:  # further names of an expression: A or B, A/B, A with B
                     e = m.end()
                     while more := joined_names().match(line, e):
-                        put(rule, k, NAMES[int(more.lastgroup[1:])][0], more.start(more.lastgroup), more.end(), 1, denied)
+                        put(rule, k, JOINED[int(more.lastgroup[1:])][0], more.start(more.lastgroup), more.end(), 1, denied)
                         e = more.end()
     taken, covered = [], Covered()
     for *_, f, denied in sorted(hits):

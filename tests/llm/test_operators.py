@@ -388,7 +388,7 @@ def plain_detections(words):
             while rule.notice and (more := licenses.joined_names().match(line, e)):
                 s, e = more.start(more.lastgroup), more.end()
                 first = line[:s].count(" ")
-                hits.append((-rule.priority, s - e, k, 1, (first, first + line[s:e].count(" ") + 1, licenses.NAMES[int(more.lastgroup[1:])][0], rule.weight), denied))
+                hits.append((-rule.priority, s - e, k, 1, (first, first + line[s:e].count(" ") + 1, licenses.JOINED[int(more.lastgroup[1:])][0], rule.weight), denied))
     held, taken = [], []
     for *_, f, denied in sorted(hits):
         if not any(t[0] <= f[0] and f[1] <= t[1] for t in held):
@@ -415,6 +415,23 @@ def test_license_detections_by_brute_force():
     assert len(licenses.detections(long_)) == 60_000  # in proportion to the words: minutes if it were not
 
 
+#: Notices as they are written, and the labels that a reader would give.
+WRITTEN = {
+    "This is licensed under the Apache License.": "apache", "Licensed under the Apache License, Version 2.0 (the License)": "apache-2", "Code is released under the GNU GPL": "gpl", "see the GNU General Public License for more": "gpl",
+    "licensed under BSD": "bsd", "under the BSD license": "bsd", "a BSD-style license": "bsd", "Eclipse Public License v. 2.0": "epl-2", "Eclipse Public License": "epl", "released under the GNU GPL, version 2": "gpl-2", "GNU LGPL v3 or later": "lgpl-3",
+    "GNU Lesser General Public License": "lgpl", "distributed under the GNU Affero General Public License": "agpl", "Mozilla Public License": "mpl", "MPL v 2.0": "mpl-2", "Licensed under Creative Commons": "cc", "licensed under CC BY-SA 4.0": "cc-by-sa",
+    "not licensed under the GNU GPL": "", "it runs under Apache and Python": "", "GPL": "", "the BSD family of systems": "", "dual licensed under the MIT and Apache licenses": "apache,mit", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
+    "Computer Associates Trusted Open Source License 1.1": "catosl-1.1", "This software is based in part on the work of the Independent JPEG Group.": "ijg", "Licence Libre du Québec Permissive (LiLiQ-P) version 1.1": "liliq-p-1.1", "GNU Free Documentation License, Version 1.2": "gfdl-1.2", "under the Educational Community License, Version 2.0": "ecl-2", "Meta Llama 3.1 Community License Agreement": "llama-3", "CreativeML Open RAIL-M": "openrail",
+}
+
+
+def test_license_notices_as_written():
+    for text, want in WRITTEN.items():
+        words = licenses.WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        assert ",".join(sorted({f.label for f in licenses.detections(words)})) == want, text
+    assert len(licenses.PHRASES) >= 200 and len({(x[2], x[4]) for x in licenses.PHRASES}) == len(licenses.PHRASES)
+
+
 def test_license_keywords_hold_in_every_alternative(spark):
     rng = random.Random(2)
     for k, rule in enumerate(licenses.rules()):
