@@ -623,6 +623,24 @@ def test_vector_audit_and_lengths(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in links} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
 
 
+def test_vectors_are_compared_with_all_where_recall_stays_short(spark, monkeypatch):
+    """A recall that cannot be reached ends in the exact result; recall of tables without links is measured with made-up queries."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(900, 12))
+    x[:300:3] = x[1:301:3] + 0.1 * rng.normal(size=(100, 12))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.9
+    monkeypatch.setattr(vectors, "PER_SHARD", 100)
+    monkeypatch.setattr(vectors, "TARGET", 1.1)
+    got = vectors.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), visits=2).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == {k: int(n) - 1 for k, n in enumerate(links.sum(1))}
+    alone = rng.normal(size=(700, 40))
+    found = spark.createDataFrame([(k, 1, k, v.tolist()) for k, v in enumerate(alone)], "key long, n long, least long, v array<double>")
+    c = vectors.centroids(vectors.unit(alone), 6)
+    assert vectors.planted_recall(found, c, 6, 0.9) > 0.95
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, 50), (None, 3), (7, 7)] + [(200, k) for k in range(201, 260)]
     got = {r["node"]: r["component"] for r in _graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
