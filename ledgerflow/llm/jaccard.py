@@ -23,7 +23,7 @@ word); an empty table gives no rows; other columns are not read, and near_dedup(
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
 
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerflow.llm import _text as tx
 from ledgerflow.llm._graph import components
@@ -43,6 +44,8 @@ BITS = 64 * LANES
 ROUNDS, OPEN, LEADERS = 2, 8, 8
 #: Members of a tile that are still joined pair by pair; those of larger ones meet by their rarest shingles.
 TILE = 200
+#: Counters of the sketch that tells rare shingles from frequent ones (2 MB in each task).
+BUCKETS = 1 << 18
 
 
 def _sets(c: tx.Chunk) -> Iterator[np.ndarray]:
@@ -119,17 +122,44 @@ def _fits(a: str, b: str):
     return (100 * F.col(a) >= THRESHOLD * F.col(b)) & (100 * F.col(b) >= THRESHOLD * F.col(a))
 
 
+def _buckets(shingles: np.ndarray) -> np.ndarray:
+    return (tx.mix(shingles.view(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of the sets fall into each bucket."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        total += np.bincount(_buckets(batch.column("shingles").flatten().to_numpy()), minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
+
+
+def _prefixes(held: np.ndarray) -> Callable:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = []
+            for row in batch.column("shingles"):
+                s = row.values.to_numpy()
+                first.append(s[np.lexsort((s, held[_buckets(s)]))[: len(s) * (100 - THRESHOLD) // 100 + 1]])
+            other = [k for k, name in enumerate(batch.schema.names) if name != "shingles"]
+            rows = batch.select([batch.schema.names[k] for k in other]).take(pa.array(np.repeat(np.arange(len(first)), [len(x) for x in first])))
+            yield rows.append_column("s", pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
+
+    return prefixes
+
+
 def _rarest(sets: DataFrame) -> DataFrame:
-    """(node, s): of the rarest shingles of each set, as many as leave less than the threshold of the set, those that another set has too.
+    """The rows of sets, with s in place of shingles: of the rarest shingles of each set as many as leave less than the threshold of the set, a row each.
 
-    Two similar sets share one of them: the order (number of sets, hash) is the same for all, and the rest of either set is too small to hold what they share.
+    Two similar sets share one of them: the order (shingles in the bucket, shingle) is the same for all, and the rest of either set is too small
+    to hold what they share. The buckets are of a fixed number; where many shingles meet in one the order says less, but stays an order.
     """
-    each = saved(sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("s")))
-    held = each.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
-    shared = each.join(held, "s").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("by"))
-    # those that no other set has come first, and take their places
-    places = F.expr(f"size * {100 - THRESHOLD} div 100 + 1 - (size - size(by))").cast("int")
-    return shared.where(places > 0).select("node", F.explode(F.slice("by", F.lit(1), places)).alias("x")).select("node", "x.s")
+    held = np.zeros(BUCKETS, np.int64)
+    got = in_arrow(sets.select("shingles"), _held, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
+    held[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    kinds = T.StructType([f for f in sets.schema.fields if f.name != "shingles"] + [T.StructField("s", T.LongType())])
+    return in_arrow(sets, _prefixes(held), kinds)
 
 
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -200,7 +230,7 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     else:
         few = saved(left.join(small(large), ["h", "band"], "left_anti"))
         many = saved(left.join(small(large), ["h", "band"], "left_semi").drop("h", "band", "own").dropDuplicates(["node"]))
-        met = saved(many.join(_rarest(arrays.join(small(many.select("node")), "node", "left_semi")), "node"))
+        met = saved(_rarest(saved(arrays.join(small(many), "node"))))
         rare = met.alias("a").join(met.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & _fits("a.n", "b.n") & bound)
         pairs = proposed(few.alias("a").join(few.alias("b"), may & (F.col("a.node") < F.col("b.node")))).select("a", "b")
         pairs = saved(pairs.union(rare.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))).distinct())
