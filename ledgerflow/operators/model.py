@@ -341,13 +341,26 @@ def fit(train: DataFrame, k: int = 5, seed: int = SEED, starts: int = STARTS) ->
     return model
 
 
+def _products(columns: list[str]) -> Callable:
+    """Of a task's rows: their number, sums, and sums of products of each two columns, by place."""
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(columns) + 1, len(columns) + 1))
+        for batch in batches:
+            x = np.column_stack([np.ones(len(batch)), *(batch.column(c).to_numpy(zero_copy_only=False) for c in columns)])
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["place", "v"])
+
+    return products
+
+
 def plane(rows: DataFrame, columns: list[str]) -> tuple[list[float], list[list[float]]]:
     """(means, two axes of the largest variance, each with its largest loading positive), from one scan of sums and products."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    got = rows.agg(F.count("*").alias("n"), F.array(*(F.avg(c) for c in columns)).alias("mean"), F.array(*(F.covar_pop(columns[i], columns[j]) for i, j in pairs)).alias("products")).first()
-    covariance = np.zeros((len(columns), len(columns)))
-    for (i, j), v in zip(pairs, got["products"], strict=True):
-        covariance[i, j] = covariance[j, i] = v
-    axes = np.linalg.eigh(covariance)[1][:, ::-1][:, :2].T
-    return list(got["mean"]), [[float(x) for x in a * np.sign(a[np.abs(a).argmax()])] for a in axes]
-
+    d = len(columns) + 1
+    total = np.zeros(d * d)
+    for r in rows.select(*columns).mapInArrow(_products(columns), "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).collect():  # a number of places
+        total[r["place"]] = r["v"]
+    total = total.reshape(d, d) / max(total[0], 1)
+    mean = total[0, 1:]
+    axes = np.linalg.eigh(total[1:, 1:] - np.outer(mean, mean))[1][:, ::-1][:, :2].T
+    return [float(x) for x in mean], [[float(x) for x in a * np.sign(a[np.abs(a).argmax()])] for a in axes]

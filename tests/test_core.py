@@ -222,6 +222,14 @@ def test_segments_cost_no_more_than_full_fits(spark):
     assert costs[0] == pytest.approx(cost(got)) == costs[1] and np.allclose(moved[0], moved[1][::-1])
 
 
+def test_plane_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 4)) @ rng.normal(size=(4, 4)) + [3, 0, -2, 9]
+    mean, axes = model.plane(spark.createDataFrame(x.tolist(), "a double, b double, c double, d double").repartition(4), list("abcd"))
+    want = np.linalg.svd(x - x.mean(0))[2][:2]
+    assert np.allclose(mean, x.mean(0)) and np.allclose(axes, [a * np.sign(a[np.abs(a).argmax()]) for a in want], atol=1e-6)
+
+
 def test_file_digests_and_observed_counts(spark, tmp_path):
     import hashlib
 
