@@ -10,7 +10,7 @@ and what it lets through by mistake is counted all the same and dropped by its c
 frequent has frequent parts.
 
 Defined cases: a null or empty text has no words; a null lang is `und`; words keep all characters but A-Z as they are; a run at the
-least count is a candidate; scores are exact whole numbers (decimals of 38 digits: counts below 10**16); of cuts with one score the
+least count is a candidate; scores are exact whole numbers (decimals of 38 digits: counts below 10**15); of cuts with one score the
 first counts; phrases of one score and count go by their UTF-8 bytes; repeated rows count each; a very long text is worked in
 stretches; an empty table gives no rows; other columns are not read.
 """
