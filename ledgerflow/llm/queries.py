@@ -136,6 +136,27 @@ k as (select doc_id, string_split(text, chr(10)) as a, case when drop_lines is n
 select doc_id, cast(coalesce(len(a), 0) as bigint) as n_lines, cast(coalesce(len(a) - len(b), 0) as bigint) as n_dropped, cast(len(array_to_string(b, chr(10))) as bigint) as n_chars, array_to_string(b, chr(10)) as text from k
 """
 
+OP11 = rf"""
+with b as (select i, case when i % 2 = 1 then xor(i // 2, 3988292384) else i // 2 end as v1 from range(256) r(i)),
+tab as (select list(v order by i) as t from (select i, list_reduce([v1, 0, 0, 0, 0, 0, 0, 0], lambda a, z: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end) as v from b)),
+d as (select row_number() over () as r, doc_id, {_LOWER} as text from documents),
+w as (select r, regexp_extract_all(text, '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') as w from d),
+t as (select r, w as w1, lead(w, 1) over p as w2, lead(w, 2) over p as w3 from (select r, unnest(w) as w, unnest(range(len(w))) as i from w) window p as (partition by r order by i)),
+f as (select r, x, count(*) as k from (select r, w1 as x from t union all select r, w1 || ' ' || w2 from t where w2 is not null union all select r, w1 || ' ' || w2 || ' ' || w3 from t where w3 is not null) group by r, x),
+bw as (select row_number() over () as r, regexp_extract_all({_LOWER}, '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') as w from benchmark),
+bt as (select r, w as w1, lead(w, 1) over p as w2, lead(w, 2) over p as w3 from (select r, unnest(w) as w, unnest(range(len(w))) as i from bw) window p as (partition by r order by i)),
+bf as (select x, count(*) as k from (select w1 as x from bt union all select w1 || ' ' || w2 from bt where w2 is not null union all select w1 || ' ' || w2 || ' ' || w3 from bt where w3 is not null) group by x),
+u as (select x, hex(encode(x)) as h from (select x from f union select x from bf)),
+c as (select x, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: cast('0x' || h[i:i + 1] as bigint))), lambda a, y: xor(a // 256, t[xor(a, y) % 256 + 1])), 4294967295) % {importance.BUCKETS} as bucket from u, tab),
+s as (select bucket, sum(k) as s from f join c using (x) group by bucket),
+tt as (select bucket, sum(k) as t from bf join c using (x) group by bucket),
+g as (select i as bucket, cast(floor(1000 * ln((cast(coalesce(t, 0) as double) + 1) * (coalesce((select sum(s) from s), 0) + {importance.BUCKETS}) / ((cast(coalesce(s, 0) as double) + 1) * (coalesce((select sum(t) from tt), 0) + {importance.BUCKETS})))) as bigint) as gain from range({importance.BUCKETS}) r(i) left join s on s.bucket = i left join tt on tt.bucket = i),
+wt as (select r, sum(k) as n_features, sum(k * gain) as weight from f join c using (x) join g using (bucket) group by r),
+sc as (select d.doc_id, len(w.w) as n, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || sha256('{importance.SALT}:' || coalesce(cast(doc_id as varchar), ''))[1:8] as bigint) + 0.5::double) / 4294967296::double))) as bigint) as score from d join w using (r) left join wt using (r)),
+o as (select *, row_number() over (partition by n >= {importance.LEAST_WORDS} order by score desc, doc_id nulls first) as place, count(*) filter (where n >= {importance.LEAST_WORDS}) over () as can from sc)
+select doc_id, cast(n_features as bigint) as n_features, cast(weight as bigint) as weight, cast(score as bigint) as score, case when n >= {importance.LEAST_WORDS} and place <= {importance.PERCENT} * can // 100 then place end as rank from o
+"""
+
 OP13 = f"""
 with p as (select row_number() over () as p, lang, p as text from (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\n\v\f\r]')) as p from documents)),
 w as (select p, lang, unnest(ws) as w, unnest(range(len(ws))) as i from (select p, lang, regexp_extract_all(text, '[^ \t]+') as ws from p)),
@@ -156,4 +177,4 @@ select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op3_vector_dedup": OP3, "op5_ngram_jaccard": OP5, "op10_line_dedup": OP10, "op13_collocations": OP13}
+    return {"op1_quality_rules": OP1, "op3_vector_dedup": OP3, "op5_ngram_jaccard": OP5, "op10_line_dedup": OP10, "op11_importance_resampling": OP11, "op13_collocations": OP13}

@@ -72,6 +72,17 @@ def test_importance(spark, docs, block, monkeypatch):
     assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, len(drawn) + 1)) and len(drawn)
 
 
+def test_importance_by_sql(spark, tmp_path, docs):
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(queries.oracle_sql()["op11_importance_resampling"])
+    got = queries.op11_importance_resampling(spark, str(tmp_path))
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
+
+
 def test_importance_of_nothing(spark, docs):
     none = spark.read.parquet(f"{SF}/benchmark.parquet").limit(0)
     assert importance.resampled(docs.limit(0), none).count() == 0
