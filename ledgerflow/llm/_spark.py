@@ -8,6 +8,8 @@ from collections.abc import Callable
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +50,18 @@ def in_arrow(df: DataFrame, f: Callable, schema: str | T.StructType) -> DataFram
     return df.mapInArrow(f, schema)
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _members(values: pd.Series, among: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None or a is None else np.isin(v, a) for v, a in zip(values, among, strict=True)], dtype=object)
+
+
+def members(values: Column, among: Column) -> Column:
+    """Which values (longs) of a row's list stand in its other list, place by place; null where none does. Work is in proportion to both lengths (a sort of one): hash sets find the rows with a hit, and only those go to Python."""
+    hits = F.array_intersect(values, among)
+    some = F.size(hits) > 0
+    return _members(F.when(some, values), F.when(some, hits))
+
+
 def _width(kind: T.DataType, value: Column) -> Column:
     """About the bytes of a value."""
     if isinstance(kind, T.ArrayType):

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm._spark import saved, small, whole
+from ledgerflow.llm._spark import BATCH_BYTES, members, saved, small, whole
 
 #: Production parameters: lines on at least MIN_PAGES pages and more than MAX_RATIO of a host's pages are dropped.
 MAX_RATIO, MIN_PAGES = 0.1, 5
@@ -41,8 +41,10 @@ def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: i
     drop = small(saved(boilerplate(docs, max_ratio, min_pages)), 10_000)
     rows = docs.select(whole(docs).alias("doc"))
     joined = rows.join(drop, F.coalesce(F.col("doc.source").cast("string"), F.lit("")) == F.col("host"), "left").select("doc", "drop", F.split("doc.text", "\n").alias("lines"))
-    kept = F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), F.xxhash64(_trimmed(x))) | (_trimmed(x) == ""))
-    joined = joined.select("doc", "lines", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    keys = F.when(F.col("drop").isNotNull(), F.transform("lines", lambda x: F.xxhash64(_trimmed(x))))
+    joined = joined.select("doc", "lines", keys.alias("keys"), "drop").select("doc", "lines", members(F.col("keys"), F.col("drop")).alias("gone"))
+    joined = joined.select("doc", "lines", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.get("gone", i) | (_trimmed(x) == ""))).alias("kept"))
     count = lambda a: F.when(F.col("doc.text").isNull(), 0).otherwise(a).cast("long")
     text = F.when(F.size("lines") == F.size("kept"), F.col("doc.text")).otherwise(F.array_join("kept", "\n"))
     return joined.select("doc", text.alias("text"), count(F.size("lines")).alias("n_lines"), count(F.size("lines") - F.size("kept")).alias("n_dropped"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerflow.llm import _text as tx
-from ledgerflow.llm._spark import in_arrow, row_key, saved, small, whole, without
+from ledgerflow.llm._spark import BATCH_BYTES, in_arrow, members, row_key, saved, small, whole, without
 from ledgerflow.llm.linefreq import with_text
 
 #: Production parameters. A line is frequent when it stands in more than MAX_SHARE of a host's distinct documents, and in more than MAX_DOCS of them: a small floor, below which a share says nothing.
@@ -112,8 +112,9 @@ def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_S
     """measure() without its arrays, with base_failed, left_chars (outside frequent lines) and kept."""
     measured = saved(measure(docs))
     frequent = small(saved(frequent_lines(measured, max_docs, max_share)), 10_000)
-    judged = measured.join(frequent, "host", "left")
-    gone = F.expr("case when frequent is null then 0L else aggregate(zip_with(lines, weights, (l, w) -> case when array_contains(frequent, l) then w else 0L end), 0L, (a, b) -> a + b) end")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    judged = measured.join(frequent, "host", "left").withColumn("gone", members(F.col("lines"), F.col("frequent")))
+    gone = F.expr("case when gone is null then 0L else aggregate(zip_with(gone, weights, (g, w) -> case when g then w else 0L end), 0L, (a, b) -> a + b) end")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (
         judged.withColumn("left_chars", F.col("word_chars") - gone)

@@ -95,6 +95,19 @@ def test_line_frequency(spark):
     assert linefreq.drop_boilerplate(d.limit(0)).count() == 0
 
 
+def test_line_lists_of_very_long_pages(spark):
+    """Twelve pages of 40,000 lines that are all frequent, with blank lines between and some of their own: work is not lines times frequent lines (2 * 10^10 steps, minutes)."""
+    shared = [f"menu entry number {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}" for k in range(40_000)]
+    own = [[f"page {chr(97 + p)} own line {chr(97 + j)}" for j in range(5)] for p in range(12)]
+    rows = [(p, "\n".join([own[p][0], *shared[:20_000], "", *own[p][1:4], " ", *shared[20_000:], own[p][4]]), "h") for p in range(12)] + [(12, "a line that no other page has", "h"), (13, None, "h")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in linefreq.drop_boilerplate(d).selectExpr("doc.doc_id", "text", "n_lines", "n_dropped").collect()}
+    assert got == {p: ("\n".join([own[p][0], "", *own[p][1:4], " ", own[p][4]]), 40_007, 40_000) for p in range(12)} | {12: (rows[12][1], 1, 0), 13: (None, 0, 0)}
+    judged = {r["doc_id"]: (r["left_chars"], r["kept"]) for r in quality.verdicts(d).collect()}
+    assert judged[0] == (sum(len(w) for x in own[0] for w in x.split()), False)
+    assert all(judged[p] == (judged[0][0], False) for p in range(12)) and judged[13] == (0, False)
+
+
 def brute_components(sets):
     parent = {i: i for i in sets}
 
