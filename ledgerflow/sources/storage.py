@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The tables of the innermost scratch() of this thread.
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
@@ -16,7 +22,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         where = sc.getCheckpointDir()
-    return f"{where}/{name}-{uuid.uuid4().hex}"
+    path = f"{where}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:
@@ -24,3 +33,17 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end, after an error too. Results that are still to be read, as they come lazily, have to be written inside, not with written(); tables of an inner scratch() go with it, those of other threads stay."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for p in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,6 +1,7 @@
 """Account-day library: fixtures with known answers, and the SQL forms on the small tables."""
 
 import datetime as dt
+import pathlib
 
 import duckdb
 import numpy as np
@@ -11,7 +12,7 @@ from ledgerflow import queries as core
 from ledgerflow.functions.schema import FEATURE_COLUMNS, SEGMENT_NAMES, TRANSACTION_COLUMNS
 from ledgerflow.jobs import runs
 from ledgerflow.operators import evaluation, explain, features, model, network, quantiles, ranking, segments, split
-from ledgerflow.sources import transactions
+from ledgerflow.sources import storage, transactions
 
 TX = "timestamp string, from_bank string, from_account string, to_bank string, to_account string, amount_received double, receiving_currency string, amount_paid double, payment_currency string, payment_format string, is_laundering int"
 
@@ -243,6 +244,29 @@ def test_file_digests_and_observed_counts(spark, tmp_path):
     assert seen.get["n"] == 1234
 
 
+def test_scratch_tables_go(spark, tmp_path):
+    """Tables of quantiles, of a nested block and of a block that fails are gone; results, tables from outside and the folder stay."""
+    kept = storage.written(spark.range(5), "outside")
+    shared = pathlib.Path(kept.inputFiles()[0].removeprefix("file:")).parent.parent
+    before = set(shared.iterdir())
+    rows = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
+    with storage.scratch(spark):
+        once = storage.written(rows, "rows")
+        with storage.scratch(spark):
+            storage.written(rows, "inner")
+            assert len(set(shared.iterdir()) - before) == 2
+        assert len(set(shared.iterdir()) - before) == 1
+        once.groupBy("g").agg(F.sum("x").alias("x")).write.parquet(str(tmp_path / "sums"))
+    assert set(shared.iterdir()) == before
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "sums")).collect()} == {(0, 249500.0), (1, 250000.0)}
+    with pytest.raises(ValueError, match="stop"), storage.scratch(spark):
+        storage.written(rows)
+        raise ValueError("stop")
+    assert set(shared.iterdir()) == before and kept.count() == 5
+    storage.written(rows)
+    assert len(set(shared.iterdir()) - before) == 1
+
+
 def test_model_jobs(spark, tmp_path):
     """Trees of all rows; scores alike with and without explanations, after saving, and in any partitioning; texts with three factors."""
     f = core.written(core.days(spark, "/root/testdata/sf0.001"))
