@@ -44,8 +44,8 @@ BITS = 64 * LANES
 ROUNDS, OPEN, LEADERS = 2, 8, 8
 #: Members of a tile that are still joined pair by pair; those of larger ones meet by their rarest shingles.
 TILE = 200
-#: Counters of the sketch that tells rare shingles from frequent ones (2 MB in each task).
-BUCKETS = 1 << 18
+#: Counters of the sketch that tells rare shingles from frequent ones (8 MB in each task), the counters of a row of it, and how far they count.
+BUCKETS, RANGE, MOST = 1 << 22, 1 << 14, (1 << 16) - 1
 
 
 def _sets(c: tx.Chunk) -> Iterator[np.ndarray]:
@@ -127,38 +127,55 @@ def _buckets(shingles: np.ndarray) -> np.ndarray:
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles of the sets fall into each bucket."""
-    total = np.zeros(BUCKETS, np.int64)
+    """How many shingles of the task's sets fall into each bucket: for each range of buckets a row with those that are in use."""
+    total = np.zeros(BUCKETS, np.uint16)
     for batch in batches:
-        total += np.bincount(_buckets(batch.column("shingles").flatten().to_numpy()), minlength=BUCKETS)
+        at, n = np.unique(_buckets(batch.column("shingles").flatten().to_numpy()), return_counts=True)
+        total[at] = np.minimum(total[at] + n, MOST)
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
+    ranges, first = np.unique(at // RANGE, return_index=True)
+    off = pa.array(np.append(first, len(at)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in ((at % RANGE).astype(np.int16), total[at].astype(np.int32))]
+    yield pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), *lists], names=["range", "place", "n"])
+
+
+def _met(parts: pa.Table) -> pa.Table:
+    """The tasks' rows of one range as one: its counters."""
+    place, n = (parts.column(c).combine_chunks().flatten().to_numpy() for c in ("place", "n"))
+    total = np.minimum(np.bincount(place, n, RANGE), MOST).astype(np.uint16)
+    return pa.table({"range": parts.column("range").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
 
 
 def _prefixes(held: np.ndarray) -> Callable:
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = []
+            first, common = [np.zeros(0, np.int64)], []
             for row in batch.column("shingles"):
                 s = row.values.to_numpy()
-                first.append(s[np.lexsort((s, held[_buckets(s)]))[: len(s) * (100 - THRESHOLD) // 100 + 1]])
-            other = [k for k, name in enumerate(batch.schema.names) if name != "shingles"]
-            rows = batch.select([batch.schema.names[k] for k in other]).take(pa.array(np.repeat(np.arange(len(first)), [len(x) for x in first])))
-            yield rows.append_column("s", pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
+                n = held[_buckets(s)]
+                at = np.lexsort((s, n))[: len(s) * (100 - THRESHOLD) // 100 + 1]
+                first.append(s[at[n[at] > 1]])
+                common.append(int((n > 1).sum()))
+            of = np.repeat(np.arange(len(common)), [len(x) for x in first[1:]])
+            rows = batch.select([name for name in batch.schema.names if name != "shingles"]).take(pa.array(of))
+            yield rows.append_column("s", pa.array(np.concatenate(first))).append_column("common", pa.array(np.array(common, np.int64)[of]))
 
     return prefixes
 
 
 def _rarest(sets: DataFrame) -> DataFrame:
-    """The rows of sets, with s in place of shingles: of the rarest shingles of each set as many as leave less than the threshold of the set, a row each.
+    """The rows of sets, with s in place of shingles: of the rarest shingles of each set as many as leave less than the threshold of the set, a row each, but none for
+    those that no other set holds; and common, how many of the set's shingles others may hold.
 
-    Two similar sets share one of them: the order (shingles in the bucket, shingle) is the same for all, and the rest of either set is too small
-    to hold what they share. The buckets are of a fixed number; where many shingles meet in one the order says less, but stays an order.
+    Two similar sets share one of the rarest: the order (shingles in the bucket, shingle) is the same for all, and the rest of either set is too small
+    to hold what they share. A shingle alone in its bucket is in no other set, so nothing meets by it. The buckets are of a fixed number; where many
+    shingles meet in one the order says less, but stays an order, and fewer are known to be alone.
     """
-    held = np.zeros(BUCKETS, np.int64)
-    got = in_arrow(sets.select("shingles"), _held, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
-    held[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    kinds = T.StructType([f for f in sets.schema.fields if f.name != "shingles"] + [T.StructField("s", T.LongType())])
+    held = np.zeros(BUCKETS, np.uint16)
+    parts = in_arrow(sets.select("shingles"), _held, "range int, place array<smallint>, n array<int>")
+    for r in parts.groupBy("range").applyInArrow(_met, "range int, n binary").collect():  # BUCKETS / RANGE rows at most
+        held[r["range"] * RANGE : (r["range"] + 1) * RANGE] = np.frombuffer(r["n"], np.uint16)
+    kinds = T.StructType([f for f in sets.schema.fields if f.name != "shingles"] + [T.StructField("s", T.LongType()), T.StructField("common", T.LongType())])
     return in_arrow(sets, _prefixes(held), kinds)
 
 
@@ -231,7 +248,8 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         few = saved(left.join(small(large), ["h", "band"], "left_anti"))
         many = saved(left.join(small(large), ["h", "band"], "left_semi").drop("h", "band", "own").dropDuplicates(["node"]))
         met = saved(_rarest(saved(arrays.join(small(many), "node"))))
-        rare = met.alias("a").join(met.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & _fits("a.n", "b.n") & bound)
+        most = F.least("a.common", "b.common")  # no pair shares more
+        rare = met.alias("a").join(met.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & _fits("a.n", "b.n") & ((100 + THRESHOLD) * most >= THRESHOLD * (F.col("a.n") + F.col("b.n"))) & bound)
         pairs = proposed(few.alias("a").join(few.alias("b"), may & (F.col("a.node") < F.col("b.node")))).select("a", "b")
         pairs = saved(pairs.union(rare.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))).distinct())
     return rows.select("k_id", "k_row", "doc_id", "node", "n"), components(links.unionByName(verified(pairs)))

@@ -776,3 +776,19 @@ def test_names_with_dots_through_all_stages(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(k)))
     assert docs.where("`meta.lang` <> lang or `x.y`.`a.b` <> doc_id").count() == 0 and docs.count() > 0
     assert quality.without_frequent_lines(d).columns == d.columns
+
+
+def test_rarest_shingles_without_those_of_one_set(spark):
+    """Sets of a shared passage and shingles of their own bring no rows; two that differ little meet, and no set counts shingles of its own as common. The sketch is a row for each task and range."""
+    rng = np.random.default_rng(3)
+    passage = [int(x) for x in rng.integers(-(2**62), 2**62, 100)]
+    sets = [passage + [int(x) for x in rng.integers(-(2**62), 2**62, 50)] for _ in range(200)]
+    sets.append(sets[0][:-5] + [1, 2, 3])
+    table = spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "node long, shingles array<long>").repartition(7)
+    got = jaccard._rarest(table).collect()
+    meet = {k for k in range(len(sets)) for j in (0, 200) if k != j and k in (0, 200)}
+    by = {r["node"]: {q["s"] for q in got if q["node"] == r["node"]} for r in got}
+    assert meet <= set(by) and by[0] & by[200] and len(got) < 150  # 31 rows a set before
+    assert all(100 <= r["common"] <= 110 for r in got if r["node"] not in meet)
+    held = jaccard.in_arrow(table.select("shingles"), jaccard._held, "range int, place array<smallint>, n array<int>")
+    assert held.count() <= 7 * jaccard.BUCKETS // jaccard.RANGE and held.selectExpr("sum(aggregate(n, 0, (a, x) -> a + x))").first()[0] == sum(map(len, sets))
