@@ -183,13 +183,19 @@ class Forest:
         return cls(*(nodes[c].to_numpy() for c in ("feature", "threshold")), nodes["left"].to_numpy() + shift, nodes["right"].to_numpy() + shift, nodes["length"].to_numpy(), base, size)
 
     def anomaly(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
+        """Of each point. A leaf leads to itself, so all points take the same number of steps."""
+        leaf, node = self.feature < 0, np.arange(len(self.feature))
+        feature, threshold = np.where(leaf, 0, self.feature), np.where(leaf, np.inf, self.threshold)
+        next_ = np.column_stack([np.where(leaf, node, self.right), np.where(leaf, node, self.left)]).ravel()  # past the threshold or not a number, then within it
+        steps, reached = 0, self.roots
+        while len(reached := reached[~leaf[reached]]):
+            steps, reached = steps + 1, np.concatenate([self.left[reached], self.right[reached]])
+        total, flat = np.zeros(len(x)), np.ascontiguousarray(x, float).ravel()
+        first = np.arange(len(x)) * x.shape[1]
         for root in self.roots:
             at = np.full(len(x), root)
-            while (inner := self.feature[at] >= 0).any():
-                go = x[rows, np.maximum(self.feature[at], 0)] <= self.threshold[at]
-                at = np.where(inner, np.where(go, self.left[at], self.right[at]), at)
+            for _ in range(steps):
+                at = next_[2 * at + (flat[first + feature[at]] <= threshold[at])]
             total += self.length[at]
         return 2.0 ** (-total / len(self.roots) / max(mean_path(self.size), 1e-12))
 

@@ -60,6 +60,38 @@ def test_histogram_bins_every_score_as_the_sql_does(spark):
     assert sorted(map(tuple, evaluation.risk_histogram(scored).collect())) == sorted(bins)
 
 
+def test_quantiles_open_no_row_for_each_value(spark):
+    """Both passes read the rows as they are: none is made for each column of each row (24,000 here), and what the second hands on are values inside brackets."""
+    d = spark.range(8_000).select(*(F.xxhash64("id", F.lit(k)).cast("double").alias(f"v{k}") for k in range(3)))
+    bounds = {0: {i: ([-1e17], [1e17]) for i in range(3)}}
+    rows = d.select(F.lit(0).alias("g_"), *(F.col(f"v{k}").alias(f"c{k}") for k in range(3))).repartition(2).mapInArrow(quantiles._counts(bounds), "g_ int, i_ int, p int, value double, n bigint").collect()
+    assert len(rows) < 1_000 and {r["i_"] for r in rows} == {0, 1, 2}
+    want = [d.where(f"v{k} < -1e17").count() for k in range(3)]
+    assert [sum(r["n"] for r in rows if r["i_"] == k and r["value"] is None) for k in range(3)] == want
+    odd = spark.createDataFrame([(0, float("nan")), (0, 1.0), (0, None), (0, -0.0), (0, float("nan"))], "g_ int, c0 double").coalesce(1)
+    got = odd.mapInArrow(quantiles._counts({0: {0: ([0.0, float("nan")], [1.0, float("nan")])}}), "g_ int, i_ int, p int, value double, n bigint").collect()
+    assert sorted((r["p"], str(r["value"]), r["n"]) for r in got) == [(0, "-0.0", 1), (0, "1.0", 1), (0, "None", 0), (1, "None", 2), (1, "nan", 2)]
+
+
+def test_forest_walk_is_the_trees_own(spark):
+    """Every point ends in the leaf that its comparisons lead to, infinities and NaN too."""
+    rng = np.random.default_rng(2)
+    rows = [(0, t, k, *r) for t in range(5) for k, r in enumerate(model.grow(rng.normal(size=(64, 4)).round(1), rng))]
+    forest = model.Forest.of(model.pd.DataFrame(rows, columns=[c.split()[0] for c in model.TREE.split(", ")]), 64)
+    x = rng.normal(size=(50, 4)).round(1)
+    x[0], x[1, 2], x[2, 1] = np.inf, -np.inf, np.nan
+    nodes = {(t, k): r for _, t, k, *r in rows}
+    for point, got in zip(x, forest.anomaly(x), strict=True):
+        total = 0.0
+        for t in range(5):
+            at = 0
+            while nodes[t, at][0] >= 0:
+                f, threshold, left, right, _ = nodes[t, at]
+                at = left if point[f] <= threshold else right
+            total += nodes[t, at][4]
+        assert got == 2.0 ** (-total / 5 / model.mean_path(64))
+
+
 def test_split_by_volume(spark):
     rows = [(dt.date(2024, 1, d), f"c{d}-{i}") for d, n in ((1, 70), (2, 20), (3, 5), (4, 5)) for i in range(n)]
     f = spark.createDataFrame(rows, "date date, case_id string")
