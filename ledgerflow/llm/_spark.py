@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
 from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +47,35 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What forgets a cache that an operator's tasks leave in a Python worker for its next ones.
+CACHES: list[Callable[[], None]] = []
+_last: str | None = None
+
+
+def tidy(operator: str) -> None:
+    """At a task's start: where the worker's last task was another operator's, caches are forgotten and free memory goes back to the system. Spark uses workers again, so each would keep what all operators before it held at most."""
+    global _last
+    if _last not in (None, operator):
+        for forget in CACHES:
+            forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+    _last = operator
+
+
 def in_arrow(df: DataFrame, f: Callable, schema: str | T.StructType) -> DataFrame:
-    """df.mapInArrow in batches of about BATCH_BYTES (a session setting), so that a worker's memory follows its longest row and not 10,000 rows."""
+    """df.mapInArrow in batches of about BATCH_BYTES (a session setting), so that a worker's memory follows its longest row and not 10,000 rows; a worker that comes from another operator is tidied first."""
+    operator = f.__module__
+
+    @wraps(f)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(operator)
+        return f(batches)
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(task, schema)
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))

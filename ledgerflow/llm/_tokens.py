@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 from ledgerflow.llm import _text as tx
+from ledgerflow.llm._spark import CACHES
 
 LETTER, NUMBER, OTHER, BLANK, RARE = 1, 2, 3, 4, 5
 #: Code point ranges whose classes all Unicode versions of the last ten years agree on.
@@ -200,3 +201,6 @@ class Library:
 @cache
 def library(path: str) -> Library:
     return Library(path)
+
+
+CACHES.append(library.cache_clear)

@@ -792,3 +792,15 @@ def test_rarest_shingles_without_those_of_one_set(spark):
     assert all(100 <= r["common"] <= 110 for r in got if r["node"] not in meet)
     held = jaccard.in_arrow(table.select("shingles"), jaccard._held, "range int, place array<smallint>, n array<int>")
     assert held.count() <= 7 * jaccard.BUCKETS // jaccard.RANGE and held.selectExpr("sum(aggregate(n, 0, (a, x) -> a + x))").first()[0] == sum(map(len, sets))
+
+
+def test_workers_forget_what_another_operator_kept():
+    """The tokenizer's words stay between tasks of one operator, and go with the first task of another."""
+    from ledgerflow.llm import _spark, _tokens
+
+    _spark.tidy("one")
+    held = _tokens.library(public_tokenizers.path("byte_bpe_50k.json"))
+    _spark.tidy("one")
+    assert _tokens.library(public_tokenizers.path("byte_bpe_50k.json")) is held
+    _spark.tidy("another")
+    assert _tokens.library.cache_info().currsize == 0
