@@ -24,8 +24,8 @@ def run_pipeline(tx: DataFrame, out: str, budget: int = 100, k: int = 5, explain
 
 def _run(days: DataFrame, out: str, budget: int, k: int, explain: bool) -> tuple[DataFrame, DataFrame]:
     last = split.cutoff(days)
-    fitted = model.fit(split.train_rows(days, last), k)
-    scored = written(fitted.score(days), "scored")
+    fitted, scored = model.fit_score(days, last, k)
+    scored = written(scored, "scored")
     late = split.evaluation_rows(scored, last)
     found = written(evaluation.metrics(late, budget), "metrics")
     sinks.write_scored(explained(scored, fitted.baseline) if explain else scored, f"{out}/scored_cases")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +20,45 @@ def baseline_map(baselines: DataFrame) -> DataFrame:
     return baselines.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("median", "scale")))).alias("base"))
 
 
+def _largest(top: int) -> Callable:
+    """Of each row's values, medians and scales, in feature order: the largest deviations, at most one of a group. Column expressions for 19 features make a method that Java does not compile."""
+    groups = {g: i for i, g in enumerate(dict.fromkeys(g for _, _, g, _ in FEATURES))}
+    group, share = np.array([groups[g] for _, _, g, _ in FEATURES]), np.array([f in SHARES for f in FEATURE_COLUMNS])
+    names, sent = pa.array(FEATURE_COLUMNS), FEATURE_COLUMNS.index("out_tx_count")
+
+    @F.arrow_udf("array<struct<feature:string,deviation:double,value:double,median:double>>")
+    def largest(values: pa.Array, medians: pa.Array, scales: pa.Array) -> pa.Array:
+        value, median, scale = (a.flatten() for a in (values, medians, scales))
+        wide = lambda a: a.to_numpy(zero_copy_only=False).reshape(-1, len(FEATURE_COLUMNS))
+        known = wide(pc.and_(pc.and_(value.is_valid(), median.is_valid()), scale.is_valid()))
+        v = wide(value)
+        idle = share & (v[:, [sent]] == 0)  # shares of nothing come last
+        with np.errstate(invalid="ignore"):
+            key = np.where(idle, np.inf, -np.abs((v - wide(median)) / wide(scale)))
+        known = known | idle
+        order, row = np.argsort(key, axis=1, kind="stable"), np.arange(len(v))  # NaN after all others, ties by feature order
+        met, taken, chosen = np.zeros((len(v), len(groups)), bool), np.zeros(len(v), int), np.zeros(order.shape, bool)
+        for j in range(order.shape[1]):
+            at = order[:, j]
+            chosen[:, j] = known[row, at] & ~met[row, group[at]] & (taken < top)
+            met[row, group[at]] |= chosen[:, j]
+            taken += chosen[:, j]
+        place = order[chosen]
+        flat = pa.array(np.repeat(row, taken) * order.shape[1] + place)
+        told = pa.StructArray.from_arrays([names.take(pa.array(place)), pa.array(-key.ravel()[flat.to_numpy()]), value.take(flat), median.take(flat)], ["feature", "deviation", "value", "median"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(taken)), pa.int32()), told)
+
+    return largest
+
+
 def factors(rows: DataFrame, baselines: DataFrame, top: int = 3) -> DataFrame:
     """rows with factors array<struct<feature, deviation, value, median>>: at most one of a group, ties by feature order."""
-    one = lambda i, f, group: F.struct(
-        (F.when(F.lit(f in SHARES) & (F.col("out_tx_count") == 0), F.lit(float("inf"))).otherwise(-F.abs((F.col(f).cast("double") - F.col("base")[f]["median"]) / F.col("base")[f]["scale"]))).alias("key"),
-        F.lit(i).alias("place"), F.lit(f).alias("feature"), F.lit(group).alias("group"), F.col(f).cast("double").alias("value"), F.col("base")[f]["median"].alias("median"),
-    )
-    every = F.array_sort(F.array(*(one(i, f, group) for i, (f, _, group, _) in enumerate(FEATURES))))
-    joined = rows.join(F.broadcast(baseline_map(baselines)), "cluster", "left").withColumn("every", every)
-    firsts = F.filter("every", lambda x: x["place"] == F.array_min(F.transform(F.filter("every", lambda y: (y["group"] == x["group"]) & ((y["key"] < x["key"]) | ((y["key"] == x["key"]) & (y["place"] <= x["place"])))), lambda y: F.when((y["key"] == x["key"]) & (y["place"] == x["place"]), y["place"]).otherwise(-1))))
-    return joined.withColumn("factors", F.transform(F.slice(firsts, 1, top), lambda x: F.struct(x["feature"].alias("feature"), (-x["key"]).alias("deviation"), x["value"].alias("value"), x["median"].alias("median")))).drop("every", "base")
+    each = lambda part: F.array(*(F.col("base")[f][part] for f in FEATURE_COLUMNS))
+    base = baseline_map(baselines).select("cluster", each("median").alias("base_medians"), each("scale").alias("base_scales"))
+    none = F.array(*[F.lit(None).cast("double")] * len(FEATURE_COLUMNS))
+    joined = rows.join(F.broadcast(base), "cluster", "left")
+    values = F.array(*(F.col(f).cast("double") for f in FEATURE_COLUMNS))
+    return joined.withColumn("factors", _largest(top)(values, F.coalesce("base_medians", none), F.coalesce("base_scales", none))).drop("base_medians", "base_scales")
 
 
 def _text(x: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import date
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from ledgerflow.functions.schema import FEATURE_COLUMNS
 from ledgerflow.operators import ranking
 from ledgerflow.operators.scaling import scaled_columns, scaler_of
-from ledgerflow.operators.segments import assigned, baselines
+from ledgerflow.operators.segments import assigned, baselines, nearest
+from ledgerflow.operators.split import train_rows
 from ledgerflow.sources.storage import written
 
 SEED, SAMPLE, DRAWN, GLOBAL_TREES, SEGMENT_TREES = 42, 256, 1_024, 250, 200
@@ -276,36 +278,47 @@ class RiskModel:
     mean: list[float]
     baseline: DataFrame | None
 
-    def _scaled(self, features: DataFrame) -> DataFrame:
-        kept = [c for c in features.columns if c not in FEATURE_COLUMNS]
-        scaled = features.select(*kept, F.struct(*FEATURE_COLUMNS).alias("raw"), *scaled_columns(self.scaler))
-        near = assigned(scaled, FEATURE_COLUMNS, self.centers)
-        return near.select(*kept, "raw.*", "cluster", "center_distance", F.array(*(near[c] for c in FEATURE_COLUMNS)).alias("x"))
-
     def _scored(self, features: DataFrame) -> DataFrame:
+        """features with cluster, center_distance, anomaly and map coordinates, all from one pass of the scaled values through the tasks."""
+        kept = [c for c in features.columns if c not in FEATURE_COLUMNS]
+        centers, mean, axes = self.centers, self.mean, self.axes
         forests_of = features.sparkSession.sparkContext.broadcast({int(s): Forest.of(n, self.sizes[int(s)]) for s, n in self.trees.groupby("scope")})
 
-        @F.pandas_udf("double")
-        def anomaly(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @F.arrow_udf("cluster int, center_distance double, anomaly double, embedding_x double, embedding_y double")
+        def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             forests = forests_of.value
-            for cluster, x in parts:
-                points, out = np.stack(x.to_numpy()), np.zeros(len(x))
-                for k in cluster.unique():
-                    at = (cluster == k).to_numpy()
-                    out[at] = forests.get(int(k), forests[-1]).anomaly(points[at])
-                yield pd.Series(out)
-
-        rows = self._scaled(features)
-        return rows.withColumn("anomaly", anomaly("cluster", "x"))
+            for part in parts:
+                points = part.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(mean))
+                columns = list(np.ascontiguousarray(points.T))
+                cluster, far = nearest(columns, centers)
+                anomaly = np.zeros(len(points))
+                for k in np.unique(cluster):
+                    at = cluster == k
+                    anomaly[at] = forests.get(int(k), forests[-1]).anomaly(points[at])
+                on = [sum(((x - m) * a for x, m, a in zip(columns, mean, axis, strict=True)), np.zeros(len(points))) for axis in axes]
+                yield pa.StructArray.from_arrays([pa.array(v) for v in (cluster, far, anomaly, *on)], ["cluster", "center_distance", "anomaly", "embedding_x", "embedding_y"])
+
+        rows = features.select(*kept, *FEATURE_COLUMNS, found(F.array(*scaled_columns(self.scaler))).alias("found"))
+        return rows.select(*kept, *FEATURE_COLUMNS, "found.*")
+
+    def _ranked(self, rows: DataFrame) -> DataFrame:
+        """The rows of _scored() with both percentiles and risk."""
+        rows = self.distance_ref.shares(self.anomaly_ref.shares(rows, "anomaly", "anomaly_percentile"), "center_distance", "cluster_distance_percentile")
+        last = ["anomaly_percentile", "cluster_distance_percentile", "risk_score", "embedding_x", "embedding_y"]
+        rows = rows.withColumn("risk_score", risk(F.col("anomaly_percentile"), F.col("cluster_distance_percentile"))).drop("anomaly", "center_distance")
+        return rows.select(*(c for c in rows.columns if c not in last), *last)
 
     def score(self, features: DataFrame) -> DataFrame:
         """features with cluster, both percentiles, risk and map coordinates: no shuffle, unless the references are too large for the tasks."""
         rows = self._scored(features)
         if self.anomaly_ref.arrays is None or self.distance_ref.arrays is None:
             rows = written(rows, "scored")  # the forests run once, whatever the ranks read
-        rows = self.distance_ref.shares(self.anomaly_ref.shares(rows, "anomaly", "anomaly_percentile"), "center_distance", "cluster_distance_percentile")
-        on = lambda axis: F.aggregate(F.zip_with(F.zip_with("x", F.array(*map(F.lit, self.mean)), lambda a, b: a - b), F.array(*map(F.lit, axis)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        return rows.withColumns({"risk_score": risk(F.col("anomaly_percentile"), F.col("cluster_distance_percentile")), "embedding_x": on(self.axes[0]), "embedding_y": on(self.axes[1])}).drop("x", "anomaly", "center_distance")
+        return self._ranked(rows)
+
+    def _refer(self, scored: DataFrame) -> None:
+        """Take the references and baselines from the training rows of a written _scored()."""
+        self.anomaly_ref, self.distance_ref = Reference.of(scored, "anomaly"), Reference.of(scored, "center_distance")
+        self.baseline = written(baselines(scored), "baselines")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Parameter tables as Parquet."""
@@ -327,8 +340,8 @@ class RiskModel:
         return cls({f: scaler[f] for f in FEATURE_COLUMNS}, {r["cluster"]: list(r["center"]) for r in read("centers").collect()}, read("trees").toPandas(), {r["scope"]: r["size"] for r in read("sizes").collect()}, refs["anomaly"], refs["distance"], [axes["x"], axes["y"]], axes["mean"], read("baselines"))
 
 
-def fit(train: DataFrame, k: int = 5, seed: int = SEED, starts: int = STARTS) -> RiskModel:
-    """Fit on training account-days (case_id, features)."""
+def _shaped(train: DataFrame, k: int, seed: int, starts: int) -> RiskModel:
+    """Scaler, segments, map and forests of the training rows: all that _scored() needs."""
     n = train.count()
     if n < 10 * k:
         raise ValueError(f"{n} training rows; {10 * k} are needed for {k} segments")
@@ -340,13 +353,24 @@ def fit(train: DataFrame, k: int = 5, seed: int = SEED, starts: int = STARTS) ->
     members = {r["cluster"]: r["n"] for r in near.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
     trees = build_forest(near, members, seed).toPandas()  # the trees: a fixed number of at most 511 nodes each
     sizes = {-1: min(SAMPLE, n)} | {k: min(SAMPLE, m) for k, m in members.items() if m >= LEAST_SEGMENT}
-    model = RiskModel(scaler, centers, trees, sizes, None, None, axes, mean, None)
-    scored = written(model._scored(train).select("case_id", *FEATURE_COLUMNS, "cluster", "anomaly", "center_distance"), "scored")
-    model.anomaly_ref, model.distance_ref = Reference.of(scored, "anomaly"), Reference.of(scored, "center_distance")
-    model.baseline = written(baselines(scored), "baselines")
+    return RiskModel(scaler, centers, trees, sizes, None, None, axes, mean, None)
+
+
+def fit(train: DataFrame, k: int = 5, seed: int = SEED, starts: int = STARTS) -> RiskModel:
+    """Fit on training account-days (case_id, features)."""
+    model = _shaped(train, k, seed, starts)
+    model._refer(written(model._scored(train).select("case_id", *FEATURE_COLUMNS, "cluster", "anomaly", "center_distance"), "scored"))
     return model
 
 
+def fit_score(features: DataFrame, last: date, k: int = 5, seed: int = SEED, starts: int = STARTS) -> tuple[RiskModel, DataFrame]:
+    """fit() on the days up to last, and score() of all rows: each row goes through the forests once."""
+    model = _shaped(train_rows(features, last), k, seed, starts)
+    rows = written(model._scored(features), "scored")
+    model._refer(train_rows(rows, last))
+    return model, model._ranked(rows)
+
+
 def _products(columns: list[str]) -> Callable:
     """Of a task's rows: their number, sums, and sums of products of each two columns, by place."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +34,33 @@ def baselines(train: DataFrame) -> DataFrame:
     return met.select("cluster", "feature", F.col("q")[1].alias("median"), F.coalesce(F.nullif(F.col("q")[2] - F.col("q")[0], F.lit(0.0)), "s", F.lit(1.0)).alias("scale"))
 
 
+def nearest(columns: list[np.ndarray], centers: dict[int, list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """(the nearest centre, the lowest number of ties, and its distance) of each point. Terms are added in the order of the columns; NaN is the largest distance, as in Spark."""
+    at = best = None
+    for k, center in sorted(centers.items()):
+        far = np.zeros(len(columns[0]))
+        for x, v in zip(columns, center, strict=True):
+            far += (x - v) * (x - v)
+        far = np.sqrt(far)
+        if best is None:
+            at, best = np.full(len(far), k, np.int32), far
+        else:
+            closer = (far < best) | (np.isnan(best) & ~np.isnan(far))
+            at[closer], best[closer] = k, far[closer]
+    return at, best
+
+
 def assigned(rows: DataFrame, columns: list[str], centers: dict[int, list[float]]) -> DataFrame:
-    """rows with cluster (the nearest centre, the lowest number of ties) and center_distance, as column expressions."""
-    far = [F.struct(F.sqrt(sum(((F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v)) for c, v in zip(columns, center, strict=True)), F.lit(0.0))).alias("d"), F.lit(k).alias("k")) for k, center in sorted(centers.items())]
-    return rows.withColumn("near", F.array_min(F.array(*far))).withColumns({"cluster": F.col("near.k"), "center_distance": F.col("near.d")}).drop("near")
+    """rows with cluster (the nearest centre, the lowest number of ties) and center_distance (null if a column is). Column expressions for 19 columns make a method that Java does not compile."""
+
+    @F.arrow_udf("cluster int, center_distance double")
+    def near(x: pa.Array) -> pa.Array:
+        parts = x.flatten()
+        at, far = nearest([c.to_numpy(zero_copy_only=False) for c in parts], centers)
+        lost = np.any([c.is_null().to_numpy(zero_copy_only=False) for c in parts], axis=0)
+        return pa.StructArray.from_arrays([pa.array(np.where(lost, min(centers), at), pa.int32()), pa.array(far, mask=lost)], ["cluster", "center_distance"])
+
+    return rows.withColumn("near", near(F.struct(*(F.col(c).cast("double").alias(c) for c in columns)))).withColumns({"cluster": F.col("near.cluster"), "center_distance": F.col("near.center_distance")}).drop("near")
 
 
 def segment_names(profile_rows: list) -> dict[int, str]:
@@ -44,7 +69,6 @@ def segment_names(profile_rows: list) -> dict[int, str]:
     A segment's candidates are the sides of its medians, by how far each lies from the median of the segments in spreads. The
     segment that lies furthest out is named first; each takes its best candidate that is free, or its best one if none is.
     """
-    import numpy as np
     import pandas as pd
 
     medians = [c for c, *_ in SEGMENT_NAMES]

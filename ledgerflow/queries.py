@@ -618,26 +618,26 @@ def n5(spark, sf_dir):
 # the fitted model and whole jobs ---------------------------------------------------------------------------------
 
 
-def _fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, model.RiskModel]:
+def _fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, model.RiskModel, DataFrame]:
+    """Account-days, the model of the early ones, and the scores of all."""
     f = written(days(spark, sf_dir), "features")
-    return f, model.fit(split.train_rows(f, split.cutoff(f, FRACTION)))
+    return f, *model.fit_score(f, split.cutoff(f, FRACTION))
 
 
 @query("M5_model_scores")
 def m5(spark, sf_dir):
     """M2, M5, M7, M10: segments, forests and the map of the fitted model, for every account-day."""
-    f, fitted = _fitted(spark, sf_dir)
-    return fitted.score(f)
+    return _fitted(spark, sf_dir)[2]
 
 
 @query("S5_saved_model")
 def s5(spark, sf_dir):
     """Scores of the model after saving and loading, beside those before."""
-    f, fitted = _fitted(spark, sf_dir)
+    f, fitted, scored = _fitted(spark, sf_dir)
     path = shared_path(spark, "model")
     fitted.save(spark, path)
     again = model.RiskModel.load(spark, path)
-    return fitted.score(f).select("case_id", "risk_score").join(again.score(f).select("case_id", F.col("risk_score").alias("again")), "case_id")
+    return scored.select("case_id", "risk_score").join(again.score(f).select("case_id", F.col("risk_score").alias("again")), "case_id")
 
 
 @query("B1_pipeline")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow import queries as core
-from ledgerflow.functions.schema import FEATURE_COLUMNS, SEGMENT_NAMES, TRANSACTION_COLUMNS
+from ledgerflow.functions.schema import FEATURE_COLUMNS, FEATURES, SEGMENT_NAMES, TRANSACTION_COLUMNS
 from ledgerflow.jobs import runs
 from ledgerflow.operators import evaluation, explain, features, model, network, quantiles, ranking, segments, split
 from ledgerflow.sources import storage, transactions
@@ -92,6 +92,52 @@ def test_forest_walk_is_the_trees_own(spark):
         assert got == 2.0 ** (-total / 5 / model.mean_path(64))
 
 
+def test_factors_by_hand(spark):
+    """Values, ties, idle senders, missing values and segments against a plain walk; no lambda over the features runs for each row."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i % 4), *(None if rng.random() < 0.1 else float(rng.integers(0, 4)) for _ in FEATURE_COLUMNS)) for i in range(300)]
+    data = spark.createDataFrame(rows, "id int, cluster int, " + ", ".join(f"{c} double" for c in FEATURE_COLUMNS))
+    base = {(k, f): (float(rng.integers(0, 3)), float(rng.integers(1, 3))) for k in range(3) for f in FEATURE_COLUMNS}
+    told = explain.factors(data, spark.createDataFrame([(*key, *v) for key, v in base.items()], "cluster int, feature string, median double, scale double"))
+    assert "lambda" not in told._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: [tuple(x) for x in r["factors"]] for r in told.collect()}
+    for i, k, *values in rows:
+        keys = []
+        for place, (v, (f, _, group, kind)) in enumerate(zip(values, FEATURES, strict=True)):
+            median, scale = base.get((k, f), (None, None))
+            if kind == "share" and values[0] == 0:
+                keys.append((float("inf"), place, group, f, v, median))
+            elif v is not None and median is not None:
+                keys.append((-abs((v - median) / scale), place, group, f, v, median))
+        want, met = [], set()
+        for key, _, group, f, v, median in sorted(keys, key=lambda x: x[:2]):
+            if group not in met and len(want) < 3:
+                met.add(group)
+                want.append((f, -key, v, median))
+        assert got[i] == want
+
+
+def test_nearest_centres_in_the_tasks(spark):
+    """As the column expressions had it: ties to the lowest number, a missing value gives no distance, NaN the largest."""
+    rows = [(0.0, 0.0), (1.0, 0.0), (5.0, 5.0), (None, 1.0), (float("nan"), 1.0), (float("inf"), 1.0)]
+    near = segments.assigned(spark.createDataFrame(rows, "a double, b double").coalesce(1), ["a", "b"], {4: [2.0, 0.0], 1: [0.0, 0.0], 7: [5.0, 4.0]})
+    assert "ArrowEvalPython" in near._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["cluster"], str(r["center_distance"])) for r in near.collect()]
+    assert got == [(1, "0.0"), (1, "1.0"), (7, "1.0"), (1, "None"), (1, "nan"), (1, "inf")]
+
+
+def test_runs_send_each_row_through_the_forests_once(spark, tmp_path, monkeypatch):
+    """Training rows were scored for the references, and then again with all others."""
+    passes, scored = [], model.RiskModel._scored
+    monkeypatch.setattr(model.RiskModel, "_scored", lambda self, rows: passes.append(1) or scored(self, rows))
+    f = storage.written(core.days(spark, "/root/testdata/sf0.001"))
+    last = split.cutoff(f)
+    fitted, together = model.fit_score(f, last, starts=2)
+    assert len(passes) == 1
+    apart = model.fit(split.train_rows(f, last), starts=2).score(f)
+    assert apart.columns == together.columns and sorted(map(tuple, apart.collect())) == sorted(map(tuple, together.collect())) and fitted.baseline.count() > 0
+
+
 def test_split_by_volume(spark):
     rows = [(dt.date(2024, 1, d), f"c{d}-{i}") for d, n in ((1, 70), (2, 20), (3, 5), (4, 5)) for i in range(n)]
     f = spark.createDataFrame(rows, "date date, case_id string")
