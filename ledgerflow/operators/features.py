@@ -1,8 +1,8 @@
 """Account-day features.
 
-Each transfer gives two legs, one for each side. Legs are grouped by day, account and counterparty, then by day and
-account: two shuffles of shrinking partial sums replace five distinct counts, a self-join and two outer joins,
-and a hub account is spread over its counterparties. Money is summed exactly, to four places.
+Each transfer gives two legs, one for each side, that are summed by day and account. Counterparties and banks are grouped
+by day and pair first, and come to the same sums as flags: two shuffles of shrinking rows of fixed width replace five
+distinct counts, a self-join and two outer joins, and a hub account is spread over its counterparties. Money is summed exactly, to four places.
 """
 
 from __future__ import annotations
@@ -39,42 +39,48 @@ def incoming(tx: DataFrame) -> DataFrame:
 
 def legs(tx: DataFrame) -> DataFrame:
     """Two rows a transfer: what its sender and what its receiver sees."""
-    t = derived(tx)
-    side = lambda out, account, other, bank, money: F.struct(
-        F.lit(out).alias("out"), F.col(account).alias("account_id"), F.col(other).alias("counterparty"), F.col(bank).alias("bank"), F.col(money).alias("amount"),
+    side = lambda out, account, money: F.struct(
+        F.lit(out).alias("out"), F.col(account).alias("account_id"), F.col(money).alias("amount"),
         F.expr("shiftleft(1, hour)").alias("hours"), "is_cash", "is_cross_currency", F.col(LABEL).alias("label"),
     )
-    both = F.array(side(True, "from_account", "to_account", "to_bank", "amount_paid"), side(False, "to_account", "from_account", "from_bank", "amount_received"))
-    return t.select("date", F.inline(both))
+    both = F.array(side(True, "from_account", "amount_paid"), side(False, "to_account", "amount_received"))
+    return derived(tx).select("date", F.inline(both))
 
 
-def by_counterparty(tx: DataFrame) -> DataFrame:
-    """Partial sums by day, account and counterparty, for each side."""
-    out, inn = F.col("out"), ~F.col("out")
-    pick = lambda side, c: F.when(side, F.col(c))
-    return legs(tx).groupBy("date", "account_id", "counterparty").agg(
-        F.count_if(out).alias("out_n"), F.count_if(inn).alias("in_n"),
-        F.sum(pick(out, "amount").cast(MONEY)).alias("out_sum"), F.sum(pick(inn, "amount").cast(MONEY)).alias("in_sum"),
-        F.count(pick(out, "amount")).alias("out_known"), F.count(pick(inn, "amount")).alias("in_known"),
-        F.max(pick(out, "amount")).alias("out_top"), F.max(pick(inn, "amount")).alias("in_top"),
-        F.sum(pick(out, "is_cash")).alias("cash"), F.sum(pick(out, "is_cross_currency")).alias("cross"), F.max("label").alias("label"),
-        F.bit_or(pick(out, "hours")).alias("hours"), F.collect_set(pick(out, "bank")).alias("out_banks"), F.collect_set(pick(inn, "bank")).alias("in_banks"),
-    )
+def met(tx: DataFrame) -> DataFrame:
+    """(date, account_id, other, party, paid, received): each counterparty (party) and each counterparty's bank that an account paid or was paid by on a day.
+
+    The two accounts of a transfer are one key in their order, whichever of them paid. Values are of fixed width, so that
+    hash aggregation does it: sets of banks were sorted.
+    """
+    sender, receiver = F.col("from_account"), F.col("to_account")
+    turned, own = F.coalesce(receiver < sender, receiver.isNull()), sender.eqNullSafe(receiver)
+    row = lambda party, a, b, there, back: F.struct(F.lit(party).alias("party"), a.alias("a"), b.alias("b"), there.alias("there"), back.alias("back"))
+    pair = row(True, F.when(turned, receiver).otherwise(sender), F.when(turned, sender).otherwise(receiver), ~turned | own, turned | own)
+    banks = row(False, sender, F.col("to_bank"), F.lit(True), F.lit(False)), row(False, receiver, F.col("from_bank"), F.lit(False), F.lit(True))
+    keys = derived(tx).select("date", F.inline(F.array(pair, *banks))).where("party or b is not null")
+    once = keys.groupBy("date", "party", "a", "b").agg(F.max("there").alias("there"), F.max("back").alias("back"))
+    seen = lambda a, b, paid, received: F.struct(F.col(a).alias("account_id"), F.col(b).alias("other"), F.col(paid).alias("paid"), F.col(received).alias("received"))
+    one, two = seen("a", "b", "there", "back"), seen("b", "a", "back", "there")
+    return once.select("date", "party", F.inline(F.when(F.col("party") & ~F.col("a").eqNullSafe(F.col("b")), F.array(one, two)).otherwise(F.array(one))))
 
 
 def account_days(tx: DataFrame) -> DataFrame:
     """case_id, date, account_id, the 19 features, label: one row for each account and day."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    banks = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
-    day = by_counterparty(tx).groupBy("date", "account_id").agg(
-        F.sum("out_n").alias("out_tx_count"), F.sum("in_n").alias("in_tx_count"),
-        F.sum("out_sum").alias("out_sum"), F.sum("in_sum").alias("in_sum"), F.sum("out_known").alias("out_known"), F.sum("in_known").alias("in_known"),
-        zero(F.max("out_top")).alias("out_max"), zero(F.max("in_top")).alias("in_max"),
-        F.count_if(F.col("out_n") > 0).alias("unique_out_counterparties"), F.count_if(F.col("in_n") > 0).alias("unique_in_counterparties"),
-        banks("out_banks").alias("unique_out_banks"), banks("in_banks").alias("unique_in_banks"),
-        F.coalesce(F.bit_count(F.bit_or("hours")), F.lit(0)).cast("long").alias("active_out_hours"),
-        F.sum("cash").alias("cash"), F.sum("cross").alias("cross"),
-        F.count_if((F.col("out_n") > 0) & (F.col("in_n") > 0)).alias("reciprocal_counterparties"), F.max("label").alias(LABEL),
+    out, inn, party, paid, received = F.col("out"), ~F.col("out"), F.col("party"), F.col("paid"), F.col("received")
+    pick = lambda side, c: F.when(side, F.col(c))
+    both = legs(tx).unionByName(met(tx).drop("other"), allowMissingColumns=True)
+    day = both.groupBy("date", "account_id").agg(
+        F.count_if(out).alias("out_tx_count"), F.count_if(inn).alias("in_tx_count"),
+        F.sum(pick(out, "amount").cast(MONEY)).alias("out_sum"), F.sum(pick(inn, "amount").cast(MONEY)).alias("in_sum"),
+        F.count(pick(out, "amount")).alias("out_known"), F.count(pick(inn, "amount")).alias("in_known"),
+        zero(F.max(pick(out, "amount"))).alias("out_max"), zero(F.max(pick(inn, "amount"))).alias("in_max"),
+        F.count_if(party & paid).alias("unique_out_counterparties"), F.count_if(party & received).alias("unique_in_counterparties"),
+        F.count_if(~party & paid).alias("unique_out_banks"), F.count_if(~party & received).alias("unique_in_banks"),
+        F.coalesce(F.bit_count(F.bit_or(pick(out, "hours"))), F.lit(0)).cast("long").alias("active_out_hours"),
+        F.sum(pick(out, "is_cash")).alias("cash"), F.sum(pick(out, "is_cross_currency")).alias("cross"),
+        F.count_if(party & paid & received).alias("reciprocal_counterparties"), F.max("label").alias(LABEL),
     )
     money = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     full = day.withColumns(
@@ -98,8 +104,8 @@ def pairs(tx: DataFrame) -> DataFrame:
 
 def reciprocal_pairs(tx: DataFrame) -> DataFrame:
     """Pairs of a day that exist in both directions; a transfer to oneself is its own reciprocal."""
-    both = by_counterparty(tx).where("out_n > 0 and in_n > 0")
-    return both.select("date", F.col("account_id").alias("from_account"), F.col("counterparty").alias("to_account"))
+    both = met(tx).where("party and paid and received")
+    return both.select("date", F.col("account_id").alias("from_account"), F.col("other").alias("to_account"))
 
 
 def reciprocal_counts(tx: DataFrame) -> DataFrame:

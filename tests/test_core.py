@@ -36,6 +36,25 @@ def test_account_days_by_hand(day):
     assert (b["out_tx_count"], b["in_tx_count"], b["reciprocal_counterparties"], b["total_value"], b["cash_share"], b["is_laundering"]) == (1, 2, 1, 180, 0, 1)
 
 
+def test_account_days_are_hash_sums(spark):
+    """Counterparties and banks of a day against plain sets (banks that differ for one pair, transfers to oneself, missing ids), without an aggregate that sorts."""
+    rng, ids = np.random.default_rng(3), ["A", "B", "C", "D", None]
+    pick = lambda of: of[rng.integers(len(of))]
+    moves = [(dt.datetime(2024, 1, 1 + int(rng.integers(2)), int(rng.integers(24))), pick(["1", "2", None]), pick(ids), pick(["1", "2", "3", None]), pick(ids)) for _ in range(60)]
+    kind = "timestamp timestamp_ntz, from_bank string, from_account string, to_bank string, to_account string"
+    fixed = {"amount_received": F.lit(2.0), "receiving_currency": F.lit("Euro"), "amount_paid": F.lit(3.0), "payment_currency": F.lit("Euro"), "payment_format": F.lit("Wire"), "is_laundering": F.lit(0)}
+    days = features.account_days(spark.createDataFrame(moves, kind).withColumns(fixed))
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    got = {(r["date"], r["account_id"]): r for r in days.collect()}
+    assert set(got) == {(t.date(), a) for t, _, f, _, g in moves for a in (f, g)}
+    for (day, a), r in got.items():
+        paid, received = [(b, g) for t, _, f, b, g in moves if t.date() == day and f == a], [(b, f) for t, b, f, _, g in moves if t.date() == day and g == a]
+        to, by = {g for _, g in paid}, {f for _, f in received}
+        want = [len(paid), len(received), len(to), len(by), len({b for b, _ in paid} - {None}), len({b for b, _ in received} - {None}), len(to & by), 3.0 * len(paid), 2.0 * len(received)]
+        assert [r[c] for c in ("out_tx_count", "in_tx_count", "unique_out_counterparties", "unique_in_counterparties", "unique_out_banks", "unique_in_banks", "reciprocal_counterparties", "out_total", "in_total")] == want
+
+
 def test_raw_csv_header_times_and_nulls(spark, tmp_path):
     head = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering\n"
     (tmp_path / "a.csv").write_text(head + "2022/09/01 00:20,1,A,2,B,-5,Euro,10.0,,Wire,\n2025-01-01 10:00,1,A,2,B,NA,Euro,10.0,Euro,cash,1\n")
