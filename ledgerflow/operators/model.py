@@ -26,6 +26,8 @@ from ledgerflow.sources.storage import written
 SEED, SAMPLE, DRAWN, GLOBAL_TREES, SEGMENT_TREES = 42, 256, 1_024, 250, 200
 #: Starts of the segmentation, rows that they are drawn from, most rounds, and the gain of a round at which they end.
 STARTS, STARTING, ROUNDS, TOLERANCE = 10, 10_000, 40, 1e-4
+#: Starts whose costs differ by this share or less hold the same segments in another order: the first is taken, as their sums differ by the order of rows.
+ALIKE = 1e-9
 LEAST_SEGMENT = max(30, 3 * len(FEATURE_COLUMNS))
 #: Distinct reference values up to which a reference is held in the tasks (16 MB); a larger one stays a table.
 IN_TASKS = 1_000_000
@@ -157,7 +159,7 @@ def segment_centers(rows: DataFrame, columns: list[str], k: int, seed: int = SEE
     best, before = centers[0], np.inf
     for _ in range(ROUNDS):
         moved, cost = lloyd_round(rows, columns, centers)
-        best = centers[cost.argmin()]
+        best = centers[np.flatnonzero(cost <= cost.min() * (1 + ALIKE))[0]]
         if before - cost.min() <= TOLERANCE * cost.min():
             break
         before, centers = cost.min(), moved

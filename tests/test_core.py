@@ -328,6 +328,17 @@ def test_segments_cost_no_more_than_full_fits(spark):
     assert costs[0] == pytest.approx(cost(got)) == costs[1] and np.allclose(moved[0], moved[1][::-1])
 
 
+def test_starts_that_tie_do_not_go_by_rounding(spark, monkeypatch):
+    """Starts that find the same segments have costs that differ by the order of the sums alone."""
+    rows = spark.createDataFrame([(str(i), float(i % 7), float(i % 3)) for i in range(60)], "case_id string, a double, b double")
+    chosen = []
+    for costs in ([2e6, 1e6, 1e6 * (1 - 1e-15), 2e6], [2e6, 1e6 * (1 - 1e-15), 1e6, 2e6]):
+        monkeypatch.setattr(model, "lloyd_round", lambda rows, columns, centers, costs=costs: (centers, np.array(costs)))
+        chosen.append(model.segment_centers(rows, ["a", "b"], 3, starts=4).tolist())
+    first = rows.orderBy(F.xxhash64("case_id", F.lit(model.SEED)), "case_id").select("a", "b").toPandas().to_numpy(float)
+    assert chosen[0] == chosen[1] == model.first_centers(first, 3, np.random.default_rng((model.SEED, 1))).tolist()
+
+
 def test_plane_against_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 4)) @ rng.normal(size=(4, 4)) + [3, 0, -2, 9]
